@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quietwave.functions.types import struct_of
+
 
 def wrap(angle: Column, period: float) -> Column:
     """Angle wrapped to [-period/2, period/2)."""
@@ -71,7 +73,7 @@ def _vincenty(lat1, lon1, lat2, lon2, tolerance=1e-12, steps=200):
     return (b * big_a * (sigma - ds), np.degrees(fwd) % 360.0, (np.degrees(back) + 180.0) % 360.0)
 
 
-@F.pandas_udf("metres double, azimuth double, back_azimuth double")
+@F.pandas_udf(struct_of("metres", "azimuth", "back_azimuth"))
 def ellipsoid_path(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Metres, azimuth and back-azimuth between (lat1, lon1) and (lat2, lon2) on WGS84."""
     for columns in batches:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietwave.functions.types import DOUBLES, struct_of
+
 M6 = ["m1", "m2", "m3", "m4", "m5", "m6"]
 
 # Fixed values: (source element, sign) per target element, element 1 first.
@@ -150,7 +152,7 @@ def _plane(normal: np.ndarray, slip: np.ndarray) -> np.ndarray:
     return np.stack([np.degrees(strike) % 360.0, np.degrees(dip), np.degrees(np.arctan2(up_dip, along))], 1)
 
 
-@F.pandas_udf("strike1 double, dip1 double, rake1 double, strike2 double, dip2 double, rake2 double")
+@F.pandas_udf(struct_of("strike1", "dip1", "rake1", "strike2", "dip2", "rake2"))
 def nodal_planes(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Both nodal planes of a north-east-down tensor, the smaller (strike, dip, rake) first."""
     for columns in batches:
@@ -163,7 +165,7 @@ def nodal_planes(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Ser
                            columns=["strike1", "dip1", "rake1", "strike2", "dip2", "rake2"])
 
 
-@F.pandas_udf("t array<double>, n array<double>, p array<double>")
+@F.pandas_udf(struct_of("t", "n", "p", kind=DOUBLES))
 def principal_axes(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Unit vectors of the tension, null and pressure axes, third component >= 0."""
     for columns in batches:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quietwave.functions.types import DOUBLES
 from quietwave.operators.traces import to_array
 
 BLOCK_BYTES = 256 * 1024 * 1024
@@ -123,7 +124,7 @@ def solve_toeplitz(vectors: DataFrame, cov: DataFrame, keys: list[str], x: str =
     return vectors.join(columns, keys).withColumn(out, _solve_columns(F.col("_c"), F.col(x))).drop("_c")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def _solve_columns(columns: pd.Series, traces: pd.Series) -> pd.Series:
     groups: dict = {}
     for row, column in enumerate(columns):

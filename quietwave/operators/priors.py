@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietwave.functions.draws import normal, uniform
@@ -41,8 +42,6 @@ def gaussian_draw(keys: list, stream: str, args: list) -> Column:
 
 def truncated_gaussian_draw(keys: list, stream: str, args: list) -> Column:
     """args = [means, variances, lower bounds, upper bounds]; inverse-CDF draw."""
-    from statistics import NormalDist
-
     out = []
     for d, (m, v, lo, hi) in enumerate(zip(*args)):
         sd = math.sqrt(float(v))
@@ -140,9 +139,7 @@ def mechanism_table(moments: DataFrame, m0: str = "m0", names: list[str] | None
     entries = []
     for name in names or list(MECHANISMS):
         e = np.array(MECHANISMS[name], float)
-        size = math.sqrt((np.sum(e[:3] ** 2) + 2 * np.sum(e[3:] ** 2)) / 2)
-        # the six-element norm of the mechanism list counts each off-diagonal once
-        size = math.sqrt(np.sum(e**2) / 2) or size
+        size = math.sqrt(np.sum(e**2) / 2)  # each of the six listed elements counts once
         entries.append(F.struct(F.lit(name).alias("mechanism"), F.array(*[F.lit(float(v / size)) for v in e]).alias("unit")))
     spread = moments.withColumn("_e", F.explode(F.array(*entries)))
     mw = (F.log10(m0) - 9.1) / 1.5
@@ -247,8 +244,6 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
 def stair_profile(layers: DataFrame, model: list[str], layer: str = "layer", thickness: str = "thickness",
                   values: list[str] | None = None, top: float = 0.0) -> DataFrame:
     """Running depth and two rows (top and bottom edge) per layer.  A model has few layers."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*model).orderBy(layer).rowsBetween(Window.unboundedPreceding, 0)
     deep = layers.withColumn("bottom", F.sum(thickness).over(order) + F.lit(top))
     edges = F.array(F.struct(F.lit(0).alias("edge"), (F.col("bottom") - F.col(thickness)).alias("depth")),

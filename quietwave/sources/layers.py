@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LAYER_FIELDS = ["thickness", "vp", "vs", "rho", "qp", "qs"]
@@ -24,8 +24,6 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("model_id"), F.posexplode(F.split("value", "\n")).alias("layer", "value"))
     rows = parse_layer_lines(files)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("model_id").orderBy("layer")
     return rows.withColumn("layer", F.row_number().over(order) - 1)
 

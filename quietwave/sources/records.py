@@ -12,8 +12,9 @@ from quietwave.operators.quality import match_methods
 def write_archive(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Samples (station, channel, ts, x) as folders station / year / jday."""
     day = as_timestamp("ts")
-    samples.withColumns({"year": F.year(day), "jday": F.dayofyear(day)}).write.mode(mode).partitionBy(
-        "station", "year", "jday").parquet(path)
+    dated = samples.withColumns({"year": F.year(day), "jday": F.dayofyear(day)})
+    # rebalance: few files per folder, and a crowded folder is still written by many tasks
+    dated.hint("rebalance", "station", "year", "jday").write.mode(mode).partitionBy("station", "year", "jday").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str, t0: int, t1: int, channels: int = 3) -> DataFrame:
@@ -37,7 +38,8 @@ def read_archive(spark: SparkSession, path: str, t0: int, t1: int, channels: int
 
 def write_simulations(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Records (sim_id, inputs map<string,map<string,double>>, station, component, x, misc)."""
-    records.select("sim_id", "inputs", "station", "component", "x", "misc").write.mode(mode).partitionBy("station").parquet(path)
+    chosen = records.select("sim_id", "inputs", "station", "component", "x", "misc")
+    chosen.hint("rebalance", "station").write.mode(mode).partitionBy("station").parquet(path)
 
 
 def read_simulations(spark: SparkSession, path: str) -> DataFrame:
