@@ -11,10 +11,11 @@ def normal_cdf(z: Column, terms: int = 120) -> Column:
     z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)),
-        F.struct(z.alias("term"), z.alias("total")),
+        F.struct(z.alias("term"), z.alias("total"), (z * z).alias("zz")),
         lambda acc, k: F.struct(
-            (acc["term"] * z * z / (2 * k + 1)).alias("term"),
-            (acc["total"] + acc["term"] * z * z / (2 * k + 1)).alias("total"),
+            (acc["term"] * acc["zz"] / (2 * k + 1)).alias("term"),
+            (acc["total"] + acc["term"] * acc["zz"] / (2 * k + 1)).alias("total"),
+            acc["zz"].alias("zz"),
         ),
     )["total"]
     density = F.exp(-z * z / 2) / F.sqrt(2 * F.pi())

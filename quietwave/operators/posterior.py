@@ -284,9 +284,9 @@ def quantile_traces(traces: DataFrame, groups: list[str], row_id: str, quantiles
 
 def nearest_to_quantile(samples: DataFrame, groups: list[str], value: str, row_id: str, quantiles: tuple = (0.05, 0.5, 0.95)) -> DataFrame:
     """The row whose value lies nearest each quantile of its group, first by id on ties."""
-    q = group_quantiles(samples, groups, value, row_id, list(quantiles)).withColumnRenamed("value", "_q")
+    q = group_quantiles(samples, groups, value, row_id, list(quantiles)).withColumnRenamed("value", "target")
     joined = samples.join(q, groups)
-    nearest = F.min_by(F.struct(row_id, value), F.struct(F.abs(F.col(value) - F.col("_q")), F.col(row_id)))
+    nearest = F.min_by(F.struct(row_id, value, "target"), F.struct(F.abs(F.col(value) - F.col("target")), F.col(row_id)))
     return joined.groupBy(*groups, "q").agg(nearest.alias("_n")).select(*groups, "q", "_n.*")
 
 

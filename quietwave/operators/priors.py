@@ -216,8 +216,11 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
     """
     spread = models.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     index = F.sequence(F.lit(0), F.size("vp") - 1)
-    for field in ("shared", "p", "s", "h"):
-        spread = spread.withColumn(f"_w_{field}", F.transform(index, lambda i, f=field: normal([key, "copy", i], f"{stream}.{f}")))
+
+    def white(field: str) -> Column:
+        return F.transform(index, lambda i: normal([key, "copy", i], f"{stream}.{field}"))
+
+    spread = spread.withColumns({f"_w_{field}": white(field) for field in ("shared", "p", "s", "h")})
 
     @F.pandas_udf("thickness array<double>, vp array<double>, vs array<double>")
     def job(h: pd.Series, vp: pd.Series, vs: pd.Series, w0: pd.Series, w1: pd.Series, w2: pd.Series, w3: pd.Series) -> pd.DataFrame:

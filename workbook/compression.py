@@ -1 +1,227 @@
+"""Score compression, least squares, finite differences, parameter vectors."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quietwave.functions import arrays as A
+from quietwave.functions import parameters as T
+from quietwave.operators import compression as C
+from quietwave.operators.covariance import mean_vectors
+from quietwave.operators.posterior import compression_quality as quality
+from quietwave.plans.inversion import compress_ensemble
+from workbook.registry import N, P, R, ctes, gradients, query, rnd, sims, table
+from workbook.traces import _PAIRED, checksum, noise_pairs
+
+THETA = [0.01 * a for a in range(P)]
+SCORE = "sc AS (SELECT id, ens, a, sum(g[a + 1] * (sl.v - d0) / gr.v) AS s FROM (SELECT i, g, v, d0 FROM grad) gr JOIN sl USING (i) CROSS JOIN generate_series(0, 5) q(a) GROUP BY 1, 2, 3)"
+FISHER = "fi AS (SELECT a, b, sum(g[a + 1] * g[b + 1] / v) AS f FROM grad CROSS JOIN generate_series(0, 5) p(a) CROSS JOIN generate_series(0, 5) q(b) GROUP BY 1, 2)"
+
+
+def rows(df, column, name="value", digits=4, keys=("id",)):
+    """Array column as rows (keys, a, name)."""
+    return df.select(*keys, F.posexplode(column).alias("a", name)).select(*keys, "a", rnd(name, digits).alias(name))
+
+
+@query("fisher_matrix", ctes("grad") + f", {FISHER} SELECT a::INTEGER AS a, b::INTEGER AS b, {R('f + CASE WHEN a = b THEN 1 / (0.5 + a) ELSE 0 END', 4)} AS f FROM fi")
+def fisher_matrix(spark, sf_dir):
+    f = C.fisher_matrix(gradients(spark, sf_dir), P, prior_variance=[0.5 + a for a in range(P)])
+    return spark.createDataFrame([(a, b, float(f[a, b])) for a in range(P) for b in range(P)], "a int, b int, f double").select("a", "b", rnd("f", 4).alias("f"))
+
+
+@query("score_vector", ctes("grad") + f", {SCORE} SELECT id, a::INTEGER AS a, {R('s + (0.02 - 0.01 * a) / (0.5 + a)', 4)} AS score FROM sc")
+def score_vector(spark, sf_dir):
+    prior = [(0.02 - THETA[a]) / (0.5 + a) for a in range(P)]
+    scored = C.scores(sims(spark, sf_dir).select("id", "d"), gradients(spark, sf_dir), P, "d", prior_term=prior)
+    return rows(scored, "score", "score")
+
+
+@query("score_vector_long_form", ctes("grad") + f", {SCORE} SELECT id, a::INTEGER AS a, {R('s', 4)} AS score FROM sc")
+def score_vector_long_form(spark, sf_dir):
+    return rows(C.scores(sims(spark, sf_dir).select("id", "d"), gradients(spark, sf_dir), P, "d", memory=0), "score", "score")
+
+
+@query("unreduced_score", ctes("grad") + f" SELECT id, i::INTEGER AS i, {R('g[1] * (sl.v - d0) / gr.v', 5)} AS first, {R('g[6] * (sl.v - d0) / gr.v', 5)} AS last FROM (SELECT i, g, v, d0 FROM grad) gr JOIN sl USING (i)")
+def unreduced_score(spark, sf_dir):
+    t = C.score_terms(sims(spark, sf_dir).select("id", "d"), gradients(spark, sf_dir), ["id"], P, "d")
+    return t.select("id", "i", rnd(F.col("terms")[0], 5).alias("first"), rnd(F.col("terms")[5], 5).alias("last"))
+
+
+def _back(estimate, f, damping=0.0):
+    """F (estimate - theta): the score an estimate answers to."""
+    m = f + damping * np.diag(np.diag(f))
+    return F.array(*[sum((F.lit(float(m[a, b])) * (F.col(estimate)[b] - F.lit(THETA[b])) for b in range(P)), F.lit(0.0)) for a in range(P)])
+
+
+@query("estimate_from_score", ctes("grad") + f", {SCORE} SELECT id, a::INTEGER AS a, {R('s', 4)} AS plain, {R('s', 4)} AS damped FROM sc")
+def estimate_from_score(spark, sf_dir):
+    g = gradients(spark, sf_dir)
+    f = C.fisher_matrix(g, P)
+    scored = C.scores(sims(spark, sf_dir).select("id", "d"), g, P, "d")
+    est = C.estimates(C.estimates(scored, f, THETA), f, THETA, damping=0.1, out="damped")
+    both = est.select("id", F.posexplode(F.arrays_zip(_back("estimate", f).alias("plain"), _back("damped", f, 0.1).alias("damped"))).alias("a", "z"))
+    return both.select("id", "a", rnd("z.plain", 4).alias("plain"), rnd("z.damped", 4).alias("damped"))
+
+
+@query("compress_noisy_ensemble", ctes("grad") + ", " + _PAIRED + f""", ny AS (SELECT id, unnest(x[7:64]) + unnest(noise[7:64]) AS y, generate_subscripts(x[7:64], 1) - 1 AS i FROM pn),
+ns AS (SELECT id, a, sum(g[a + 1] * (y - d0) / v) AS s FROM ny JOIN grad USING (i) CROSS JOIN generate_series(0, 5) q(a) GROUP BY 1, 2)
+SELECT ns.id, a::INTEGER AS a, {R('theta[a + 1]')} AS truth, {R('s', 4)} AS score FROM ns JOIN sims USING (id)""")
+def compress_noisy_ensemble(spark, sf_dir):
+    pairs = noise_pairs(spark, sf_dir).select("id", F.slice("x", 1, P).alias("theta"), F.slice("x", P + 1, N).alias("x"), F.slice("noise", P + 1, N).alias("noise"))
+    made, f = compress_ensemble(pairs, gradients(spark, sf_dir), THETA)
+    both = made.select("id", F.posexplode(F.arrays_zip("theta", _back("estimate", f).alias("score"))).alias("a", "z"))
+    return both.select("id", "a", rnd("z.theta").alias("truth"), rnd("z.score", 4).alias("score"))
+
+
+@query("compression_quality", ctes("grad") + f", {SCORE}, q AS (SELECT a, theta[a + 1] AS t, s / 100 AS e FROM sc JOIN sims USING (id)) SELECT 'p' || a AS parameter, count(*) AS n, {R('avg(e - t)', 5)} AS bias, {R('sqrt(avg(pow(e - t, 2)))', 5)} AS rmse FROM q GROUP BY a")
+def compression_quality(spark, sf_dir):
+    scored = C.scores(sims(spark, sf_dir).select("id", "theta", "d"), gradients(spark, sf_dir), P, "d")
+    pairs = scored.select("theta", F.transform("score", lambda v: v / 100).alias("estimate"))
+    return quality(pairs, [f"p{a}" for a in range(P)], "theta").select("parameter", "n", rnd("bias", 5).alias("bias"), rnd("rmse", 5).alias("rmse"))
+
+
+@query("stacked_statistics", ctes("grad") + f", {SCORE} SELECT id, (a + 6 * point)::INTEGER AS a, {R('s / (1 + point)', 4)} AS value FROM sc CROSS JOIN generate_series(0, 1) p(point)")
+def stacked_statistics(spark, sf_dir):
+    scored = C.scores(sims(spark, sf_dir).select("id", "d"), gradients(spark, sf_dir), P, "d")
+    points = scored.select("id", F.lit(0).alias("point"), F.col("score").alias("estimate")).unionByName(
+        scored.select("id", F.lit(1).alias("point"), F.transform("score", lambda v: v / 2).alias("estimate")))
+    return rows(C.stack_estimates(points, ["id"], "point"), "stacked")
+
+
+@query("second_order_statistics", ctes("grad") + f""", h AS (SELECT i, d0, v, list_concat(g, [g[1] * g[1], g[1] * g[2], g[2] * g[1], g[2] * g[2]]) AS g FROM grad)
+SELECT id, a::INTEGER AS a, {R('sum(h.g[a + 1] * (sl.v - h.d0) / h.v)', 4)} AS delta FROM sl JOIN h USING (i) CROSS JOIN generate_series(0, 9) q(a) GROUP BY 1, 2""")
+def second_order_statistics(spark, sf_dir):
+    g = F.col("g")
+    stacked = gradients(spark, sf_dir).withColumn("g", F.concat("g", F.array(g[0] * g[0], g[0] * g[1], g[1] * g[0], g[1] * g[1])))
+    return rows(C.scores(sims(spark, sf_dir).select("id", "d"), stacked, P + 4, "d", out="delta"), "delta", "delta")
+
+
+@query("linear_log_likelihood", ctes("grad") + f", {SCORE} SELECT id, {R('-3 + sum((theta[a + 1] - 0.01 * a) * s)', 4)} AS value FROM sc JOIN sims USING (id) GROUP BY id")
+def linear_log_likelihood(spark, sf_dir):
+    scored = C.scores(sims(spark, sf_dir).select("id", "theta", "d"), gradients(spark, sf_dir), P, "d")
+    return scored.select("id", rnd(C.linear_log_likelihood(scored, "theta", THETA, base=-3.0), 4).alias("value"))
+
+
+@query("linear_synthesis", ctes("grad") + f", xs AS (SELECT id, i, list_dot_product(theta, g) * 2 AS x FROM sims CROSS JOIN grad) SELECT id, {R('sum(x * (i + 1))', 4)} AS checksum, {R('sum(x * x)', 5)} AS power FROM xs GROUP BY id")
+def linear_synthesis(spark, sf_dir):
+    made = C.synthesize(sims(spark, sf_dir).select("id", "theta"), gradients(spark, sf_dir), P, factor=2.0)
+    return made.select("id", rnd(checksum("x"), 4).alias("checksum"), rnd(A.power("x"), 5).alias("power"))
+
+
+@query("candidate_log_likelihood", ctes("grad") + f""", xs AS (SELECT s.id, i, list_dot_product(theta, g) - d[i + 1] AS r, theta FROM sims s CROSS JOIN grad),
+l AS (SELECT id, -sum(r * r) / 0.02 / 2 AS ll, list_aggregate(list_transform(max(theta), lambda t: (t + 0.3) / 0.6), 'min') >= 0 AND list_aggregate(list_transform(max(theta), lambda t: (t + 0.3) / 0.6), 'max') <= 1 AS inside, list_sum(list_transform(max(theta), lambda t: t * t)) AS tt FROM xs GROUP BY id)
+SELECT id, inside, {R('CASE WHEN inside THEN ll END', 3)} AS log_likelihood, {R('CASE WHEN inside THEN ll - tt / 0.5 END', 3)} AS log_probability FROM l""")
+def candidate_log_likelihood(spark, sf_dir):
+    made = C.synthesize(sims(spark, sf_dir), gradients(spark, sf_dir), P).withColumns({
+        "u": F.transform("theta", lambda t: (t + 0.3) / 0.6), "variance": F.lit(0.02)})
+    flat = C.log_prior("u")
+    shaped = C.log_prior("u", "theta", [0.0] * P, [0.25] * P)
+    ll = C.log_likelihood("x", "d", "variance")
+    inside = flat == 0.0
+    return made.select("id", inside.alias("inside"), rnd(F.when(inside, ll), 3).alias("log_likelihood"), rnd(F.when(inside, ll + shaped), 3).alias("log_probability"))
+
+
+def params(spark, sf_dir):
+    """Six parameters with fiducial values and steps taken from the simulations."""
+    long = sims(spark, sf_dir).select(F.posexplode("theta").alias("pos", "v"))
+    return long.groupBy("pos").agg(F.avg("v").alias("fiducial"), F.stddev_samp("v").alias("delta"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+_PAR = "th AS (SELECT unnest(theta) AS v, generate_subscripts(theta, 1) - 1 AS pos FROM sims), par AS (SELECT pos, avg(v) AS fiducial, stddev_samp(v) AS delta, min(v) AS lo, max(v) AS hi FROM th GROUP BY pos)"
+
+
+@query("stencil_candidates", ctes("sims") + f""", {_PAR}, mv AS (SELECT pos AS p, o AS offset FROM par CROSS JOIN (SELECT unnest([-2, -1, 1, 2]) AS o) UNION ALL SELECT NULL, 0)
+SELECT p::INTEGER AS pos, "offset"::INTEGER AS "offset", {R('sum((par.pos + 1) * (fiducial + CASE WHEN par.pos = p THEN "offset" * delta ELSE 0 END))')} AS checksum FROM mv CROSS JOIN par GROUP BY 1, 2""".replace("o AS offset", 'o AS "offset"'))
+def stencil_candidates(spark, sf_dir):
+    return C.stencil_candidates(params(spark, sf_dir)).select("pos", "offset", rnd(checksum("theta")).alias("checksum"))
+
+
+@query("mixed_stencil_candidates", ctes("sims") + f""", {_PAR}, mv AS (SELECT a.pos AS i, b.pos AS j, oi, oj FROM par a JOIN par b ON a.pos > b.pos CROSS JOIN (SELECT unnest([-1, 1]) AS oi) CROSS JOIN (SELECT unnest([-1, 1]) AS oj))
+SELECT i::INTEGER AS i, j::INTEGER AS j, oi::INTEGER AS oi, oj::INTEGER AS oj, {R('sum((pos + 1) * (fiducial + CASE WHEN pos = i THEN oi * delta WHEN pos = j THEN oj * delta ELSE 0 END))')} AS checksum FROM mv CROSS JOIN par GROUP BY 1, 2, 3, 4""")
+def mixed_stencil_candidates(spark, sf_dir):
+    return C.mixed_candidates(params(spark, sf_dir)).select("i", "j", "oi", "oj", rnd(checksum("theta")).alias("checksum"))
+
+
+def _curved(candidates):
+    """A model with a known Hessian: kernels applied to theta, plus the product of the first two and a square."""
+    t = F.col("theta")
+    return F.transform("lin", lambda v: v + t[0] * t[1] + t[2] * t[2])
+
+
+@query("stencil_derivatives", ctes("grad") + f""", {_PAR}, f AS (SELECT max(CASE WHEN pos = 0 THEN fiducial END) AS a, max(CASE WHEN pos = 1 THEN fiducial END) AS b, max(CASE WHEN pos = 2 THEN fiducial END) AS c FROM par)
+SELECT p::INTEGER AS pos, i::INTEGER AS i, {R('g[p + 1] + CASE p WHEN 0 THEN b WHEN 1 THEN a WHEN 2 THEN 2 * c ELSE 0 END', 5)} AS gradient, {R('CASE WHEN p = 2 THEN 2 ELSE 0 END', 5)} AS curvature FROM grad CROSS JOIN f CROSS JOIN generate_series(0, 5) q(p)""")
+def stencil_derivatives(spark, sf_dir):
+    p = params(spark, sf_dir)
+    cand = C.synthesize(C.stencil_candidates(p), gradients(spark, sf_dir), P, out="lin")
+    d = C.first_and_second_derivatives(cand.withColumn("x", _curved(cand)), p)
+    both = d.select("pos", F.posexplode(F.arrays_zip("gradient", "curvature")).alias("i", "z"))
+    return both.select("pos", "i", rnd("z.gradient", 5).alias("gradient"), rnd("z.curvature", 5).alias("curvature"))
+
+
+@query("hessian", ctes("grad") + f" SELECT a::INTEGER AS i, b::INTEGER AS j, {R('CASE WHEN a + b = 1 THEN 1 WHEN a = 2 AND b = 2 THEN 2 ELSE 0 END', 4)} AS value, count(*) AS n FROM grad CROSS JOIN generate_series(0, 5) p(a) CROSS JOIN generate_series(0, 5) q(b) GROUP BY a, b")
+def hessian(spark, sf_dir):
+    p, g = params(spark, sf_dir), gradients(spark, sf_dir)
+    cand = C.synthesize(C.stencil_candidates(p), g, P, out="lin")
+    d = C.first_and_second_derivatives(cand.withColumn("x", _curved(cand)), p)
+    mixed = C.synthesize(C.mixed_candidates(p), g, P, out="lin")
+    h = C.hessian(mixed.withColumn("x", _curved(mixed)), d, p)
+    return h.select("i", "j", F.explode("h").alias("v")).groupBy("i", "j").agg(rnd(F.avg("v"), 4).alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+@query("least_squares_linear", ctes("grad") + f", {SCORE}, {FISHER} SELECT id, a::INTEGER AS a, {R('s', 2)} AS score FROM sc")
+def least_squares_linear(spark, sf_dir):
+    g = gradients(spark, sf_dir)
+    f = C.fisher_matrix(g, P)
+    scored = C.scores(sims(spark, sf_dir).select("id", "d"), g, P, "d").withColumn("misfit", A.power("d") / N)
+    solved = C.solve_linear(scored, f, THETA, N, "misfit", iterations=20, damping=1e-6)
+    return rows(solved.withColumn("back", _back("theta_last", f)), "back", "score", 2)
+
+
+@query("least_squares_iterative", ctes("grad") + f""", {_PAR}, ob AS (SELECT ens, i, avg(v) AS o FROM sl GROUP BY 1, 2), s0 AS (SELECT ens, a, sum(g[a + 1] * o) / 0.02 AS s, sum(o * o) / 0.02 / 58 AS chi FROM ob JOIN grad USING (i) CROSS JOIN generate_series(0, 5) q(a) GROUP BY 1, 2)
+SELECT ens AS event, {R('max(chi)', 5)} AS first_chi2, true AS improved, 2 AS steps FROM s0 GROUP BY ens""")
+def least_squares_iterative(spark, sf_dir):
+    g = gradients(spark, sf_dir)
+    obs = mean_vectors(sims(spark, sf_dir).select("ens", "d"), ["ens"], "d").select(F.col("ens").alias("event"), F.col("d").alias("obs"))
+    start = obs.select("event", F.array_repeat(F.lit(0.0), P).alias("theta"))
+    history = C.solve_iterative(obs, start, lambda c: C.synthesize(c, g, P), [0.1] * P, 0.02, single_step=True)
+    first = F.max(F.when(F.col("iteration") == 0, F.col("chi2")))
+    return history.groupBy("event").agg(rnd(first, 5).alias("first_chi2"), (F.min("chi2") < first).alias("improved"), F.count(F.lit(1)).cast("int").alias("steps"))
+
+
+@query("fisher_constrained_bounds", ctes("sims") + f", {_PAR} SELECT pos::INTEGER AS pos, {R('CASE WHEN pos = 2 THEN greatest(0, greatest(lo, 0.01 * pos - 3 * 0.05 * (1 + pos))) ELSE greatest(lo, 0.01 * pos - 3 * 0.05 * (1 + pos)) END')} AS lo, {R('least(hi, 0.01 * pos + 3 * 0.05 * (1 + pos))')} AS hi, 'uniform' AS sampling FROM par")
+def fisher_constrained_bounds(spark, sf_dir):
+    f = np.diag([1 / (0.05 * (1 + a)) ** 2 for a in range(P)])
+    bounds = params(spark, sf_dir).withColumns({"kind": F.when(F.col("pos") == 2, "depth").otherwise("other"), "sampling": F.lit("latin hypercube")})
+    return C.fisher_bounds(bounds, THETA, f, 3.0).select("pos", rnd("lo").alias("lo"), rnd("hi").alias("hi"), "sampling")
+
+
+_GROUPS = {"source_location": 2, "moment_tensor": 4}
+
+
+def _groups(spark, sf_dir):
+    s = sims(spark, sf_dir).select("id", "theta")
+    return s.withColumn("groups", T.to_groups("theta", _GROUPS))
+
+
+@query("parameter_vectors", ctes("sims") + f" SELECT id, {R('theta[2]', 7)} AS location_2, {R('theta[6]', 7)} AS tensor_4, 6::INTEGER AS n, {R('list_sum(theta) - theta[3] + 9', 6)} AS changed, true AS same FROM sims")
+def parameter_vectors(spark, sf_dir):
+    g = _groups(spark, sf_dir)
+    back = T.to_vector("groups", list(_GROUPS))
+    return g.select(
+        "id", rnd(F.col("groups")["source_location"][1], 7).alias("location_2"), rnd(F.col("groups")["moment_tensor"][3], 7).alias("tensor_4"), F.size(back).alias("n"),
+        rnd(A.total(T.change_entry("theta", 2, F.lit(9.0)))).alias("changed"), (back == F.col("theta")).alias("same"))
+
+
+@query("simulation_inputs_with_nuisance", ctes("sims") + f" SELECT id, {R('theta[1]', 7)} AS location_1, {R('list_sum(d)', 5)} AS model_total FROM sims")
+def simulation_inputs_with_nuisance(spark, sf_dir):
+    s = sims(spark, sf_dir).withColumn("entries", F.concat(F.transform(F.slice("theta", 1, 2), lambda v: F.array(v)), F.array(F.col("d"))))
+    groups = T.with_nuisance("entries", {"source_location": 2, "velocity_model": 1}, ["velocity_model"])
+    return s.withColumn("g", groups).select("id", rnd(F.col("g")["source_location"][0], 7).alias("location_1"), rnd(A.total(F.col("g")["velocity_model"]), 5).alias("model_total"))
+
+
+@query("parameter_fingerprint", "SELECT c_custkey AS id, substr(md5('location=' || c_custkey || ',' || c_nationkey || ';tensor=' || (c_custkey * 3)), 1, 8) AS fingerprint FROM customer")
+def parameter_fingerprint(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    groups = F.create_map(F.lit("tensor"), F.array((F.col("c_custkey") * 3).cast("long")), F.lit("location"), F.array("c_custkey", F.col("c_nationkey").cast("long")))
+    return c.select(F.col("c_custkey").alias("id"), T.fingerprint(groups, ["location", "tensor"]).alias("fingerprint"))

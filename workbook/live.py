@@ -1 +1,41 @@
+"""Streaming forms, run to the end of the available files and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quietwave.session import fresh_path
+from quietwave.streaming import live as L
+from workbook.registry import R, query, rnd
+
+MIN = 60_000_000
+
+
+def stream(spark, sf_dir):
+    return L.file_stream(spark, sf_dir, "events.parquet")
+
+
+@query("incremental_noise_statistics", f"SELECT user_id % 10 AS station, event_type AS component, count(value) AS n, {R('avg(value)', 5)} AS mean, {R('stddev_pop(value)', 5)} AS sd FROM events GROUP BY 1, 2")
+def incremental_noise_statistics(spark, sf_dir):
+    e = stream(spark, sf_dir).select((F.col("user_id") % 10).alias("station"), F.col("event_type").alias("component"), "value")
+    path = fresh_path(spark, "running")
+    L.write_latest(L.running_statistics(e, ["station", "component"], "value"), path, fresh_path(spark, "checkpoint")).awaitTermination()
+    return L.read_latest(spark, path, ["station", "component"]).select("station", "component", "n", rnd("mean", 5).alias("mean"), rnd("sd", 5).alias("sd"))
+
+
+@query("live_sliding_windows", f"""WITH m AS (SELECT max(epoch_us(ts)) - {60 * MIN} AS mark FROM events), w AS (SELECT user_id % 10 AS station, value, unnest(generate_series((epoch_us(ts) - {29 * MIN}) // {3 * MIN} + 1, epoch_us(ts) // {3 * MIN})) * {3 * MIN} AS ws FROM events)
+SELECT station, ws, ws + {29 * MIN} AS we, count(*) AS n, {R('avg(value)', 5)} AS mean, {R('stddev_pop(value)', 5)} AS sd FROM w, m WHERE ws + {29 * MIN} <= mark GROUP BY 1, 2 HAVING count(*) = 2""")
+def live_sliding_windows(spark, sf_dir):
+    e = stream(spark, sf_dir).select((F.col("user_id") % 10).alias("station"), "ts", "value")
+    path = fresh_path(spark, "windows")
+    w = L.live_windows(e, "ts", ["station"], "value", "29 minutes", "3 minutes", "60 minutes", expected=2)
+    L.write_files(w, path, fresh_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema(w.schema).parquet(path).select("station", "ws", "we", "n", rnd("mean", 5).alias("mean"), rnd("sd", 5).alias("sd"))
+
+
+@query("result_queue_to_sink", "SELECT DISTINCT user_id AS event, event_type AS method FROM events")
+def result_queue_to_sink(spark, sf_dir):
+    e = stream(spark, sf_dir).select(F.col("user_id").alias("event"), F.col("event_type").alias("method"))
+    path = fresh_path(spark, "queue")
+    L.append_stream(e, ["event", "method"], path, fresh_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").schema(e.schema).parquet(path)

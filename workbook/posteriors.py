@@ -98,8 +98,8 @@ def histogram_1d(spark, sf_dir):
     return weighted.join(plain, ["ens", "bin"]).select("ens", "bin", rnd("weight").alias("weight"), rnd("value", 5).alias("density"))
 
 
-@query("histogram_2d", ctes("sims") + f""", h AS (SELECT least(9, floor((theta[1] + 0.4) / 0.8 * 10))::INTEGER AS bx, least(9, floor((theta[2] + 0.4) / 0.8 * 10))::INTEGER AS by FROM sims WHERE theta[1] BETWEEN -0.4 AND 0.4 AND theta[2] BETWEEN -0.4 AND 0.4)
-SELECT bx, by, {R('count(*) / sum(count(*)) OVER () / 0.0064', 5)} AS density FROM h GROUP BY 1, 2""")
+@query("histogram_2d", ctes("sims") + f""", h AS (SELECT least(9, floor((theta[1] + 0.4) / 0.8 * 10))::INTEGER AS bx, least(9, floor((theta[2] + 0.4) / 0.8 * 10))::INTEGER AS "by" FROM sims WHERE theta[1] BETWEEN -0.4 AND 0.4 AND theta[2] BETWEEN -0.4 AND 0.4)
+SELECT bx, "by", {R('count(*) / sum(count(*)) OVER () / 0.0064', 5)} AS density FROM h GROUP BY 1, 2""")
 def histogram_2d(spark, sf_dir):
     s = sims(spark, sf_dir).select(F.lit(0).alias("g"), F.col("theta")[0].alias("x"), F.col("theta")[1].alias("y"))
     return P.histogram_2d(s, ["g"], "x", "y", (-0.4, 0.4), (-0.4, 0.4), 10, density=True).select("bx", "by", rnd("value", 5).alias("density"))
@@ -109,8 +109,8 @@ _E = [-0.5, -0.2, -0.05, 0.0, 0.1, 0.5]
 _CASE = "CASE " + " ".join(f"WHEN {{c}} >= {lo} THEN {k}" for k, lo in reversed(list(enumerate(_E[:-1])))) + " END"
 
 
-@query("strongest_per_cell", ctes("sims") + f""", c AS (SELECT id, theta[1] AS x, theta[2] AS y, round(theta[3], 2) AS w, {_CASE.format(c='theta[1]')} AS bx, {_CASE.format(c='theta[2]')} AS by FROM sims WHERE theta[1] BETWEEN -0.5 AND 0.5 AND theta[2] BETWEEN -0.5 AND 0.5),
-r AS (SELECT *, row_number() OVER (PARTITION BY bx, by ORDER BY w DESC, id) AS k FROM c) SELECT bx, by, {R('x')} AS x, {R('y')} AS y, {R('w', 2)} AS w FROM r WHERE k = 1""")
+@query("strongest_per_cell", ctes("sims") + f""", c AS (SELECT id, theta[1] AS x, theta[2] AS y, round(theta[3], 2) AS w, {_CASE.format(c='theta[1]')} AS bx, {_CASE.format(c='theta[2]')} AS "by" FROM sims WHERE theta[1] BETWEEN -0.5 AND 0.5 AND theta[2] BETWEEN -0.5 AND 0.5),
+r AS (SELECT *, row_number() OVER (PARTITION BY bx, "by" ORDER BY w DESC, id) AS k FROM c) SELECT bx, "by", {R('x')} AS x, {R('y')} AS y, {R('w', 2)} AS w FROM r WHERE k = 1""")
 def strongest_per_cell(spark, sf_dir):
     s = sims(spark, sf_dir).select(F.lit(0).alias("g"), "id", F.col("theta")[0].alias("x"), F.col("theta")[1].alias("y"), F.round(F.col("theta")[2], 2).alias("w"))
     return P.strongest_per_cell(s, ["g"], "x", "y", "w", "id", _E, _E).select("bx", "by", rnd("x").alias("x"), rnd("y").alias("y"), rnd("w", 2).alias("w"))
@@ -167,12 +167,12 @@ def quantile_traces(spark, sf_dir):
     return P.quantile_traces(traces(spark, sf_dir), ["ens"], "id").select("ens", "i", "q", rnd("value").alias("value"))
 
 
-@query("sample_nearest_percentile", ctes("sims") + f""", q AS (SELECT ens, unnest([0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q, unnest([quantile_cont(theta[1], 0.05), quantile_cont(theta[1], 0.5), quantile_cont(theta[1], 0.95)]) AS t FROM sims GROUP BY ens),
-r AS (SELECT q.ens, q, id, theta[1] AS v, row_number() OVER (PARTITION BY q.ens, q ORDER BY round(abs(theta[1] - t), 12), id) AS k FROM q JOIN sims s ON s.ens = q.ens) SELECT ens, q, {R('abs(v)')} AS size FROM r WHERE k = 1""")
+@query("sample_nearest_percentile", ctes("sims") + f""", q AS (SELECT ens, unnest([0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q, unnest([quantile_cont(theta[1], 0.05), quantile_cont(theta[1], 0.5), quantile_cont(theta[1], 0.95)]) AS t FROM sims GROUP BY ens)
+SELECT q.ens, q, {R('max(t)')} AS target, {R('min(abs(theta[1] - t))')} AS gap FROM q JOIN sims s ON s.ens = q.ens GROUP BY 1, 2""")
 def sample_nearest_percentile(spark, sf_dir):
-    s = sims(spark, sf_dir).select("ens", "id", F.round(F.col("theta")[0], 14).alias("v"))
+    s = sims(spark, sf_dir).select("ens", "id", F.col("theta")[0].alias("v"))
     found = P.nearest_to_quantile(s, ["ens"], "v", "id")
-    return found.select("ens", "q", rnd(F.abs("v")).alias("size"))
+    return found.select("ens", "q", rnd("target").alias("target"), rnd(F.abs(F.col("v") - F.col("target"))).alias("gap"))
 
 
 @query("random_subset_per_ensemble", ctes("tr") + f", r AS (SELECT id, ens, row_number() OVER (PARTITION BY ens ORDER BY {uniform_sql('id', 'subset')}, id) AS k FROM tr) SELECT id, ens FROM r WHERE k <= 25")

@@ -132,10 +132,10 @@ def time_range_slice(spark, sf_dir):
     return Q.time_slice(samples(spark, sf_dir), _S0, _S1).groupBy("station", "component").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("x"), 4).alias("total"))
 
 
-@query("finished_day_windows", _SEL_FULL + ", " + _MARK + ", " + _REG + ", " + _WIN + f""", done AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) // {DAY} AS d FROM events WHERE event_type = 'error' AND value > 130)
+@query("finished_day_windows", _SEL_FULL + ", " + _MARK + ", " + _REG + ", " + _WIN + f""", done AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) // {DAY} AS d FROM events WHERE event_type = 'error' AND value > 200)
  SELECT ws // 1000 AS ws_ms FROM windows WHERE ws // {DAY} IN (SELECT d FROM done)""")
 def finished_day_windows(spark, sf_dir):
-    names = table(spark, sf_dir, "events").where("event_type = 'error' AND value > 130").select(F.date_format("ts", "yyyy.MM.dd.HH.mm").alias("name"))
+    names = table(spark, sf_dir, "events").where("event_type = 'error' AND value > 200").select(F.date_format("ts", "yyyy.MM.dd.HH.mm").alias("name"))
     return Q.finished_day_windows(windows(spark, sf_dir), names, DAY).select(F.floor(F.col("ws") / 1000).alias("ws_ms"))
 
 
