@@ -14,14 +14,23 @@ def _column(key) -> Column:
     return F.col(key) if isinstance(key, str) else key
 
 
-def uniform(keys: list, stream: str) -> Column:
-    """Uniform on (0, 1): the first 52 bits of md5(key|...|stream)."""
+def _digest(keys: list, stream: str) -> Column:
     text = F.concat_ws("|", *[_column(k).cast("string") for k in keys], F.lit(stream))
-    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+    return F.md5(text.cast("binary"))
+
+
+def _unit(digest: Column, start: int) -> Column:
+    bits = F.conv(F.substring(digest, start, 13), 16, 10).cast("long")
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def uniform(keys: list, stream: str) -> Column:
+    """Uniform on (0, 1): the first 52 bits of md5(key|...|stream)."""
+    return _unit(_digest(keys, stream), 1)
+
+
 def normal(keys: list, stream: str) -> Column:
-    """Standard normal by the Box-Muller transform of two uniforms."""
-    u, v = uniform(keys, stream + ".a"), uniform(keys, stream + ".b")
+    """Standard normal by the Box-Muller transform of the first two 52-bit parts of the digest."""
+    digest = _digest(keys, stream)
+    u, v = _unit(digest, 1), _unit(digest, 14)
     return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0) * F.pi() * v)

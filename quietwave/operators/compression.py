@@ -1,7 +1,8 @@
 """Score compression: finite differences, Fisher matrix, scores, estimates, least squares.
 
 Gradients are rows (i, g array<double>, v, d0): sample index, one derivative per
-parameter, noise variance and fiducial value.  Records are rows with an array `x`.
+parameter, noise variance and fiducial value.  Under block covariances a column
+w array<double> = C^-1 g takes the place of g / v.  Records are rows with an array `x`.
 Only p x p matrices and, while it is small, the p x n gradient reach the driver.
 """
 
@@ -97,13 +98,38 @@ def gradient_rows(derivatives: DataFrame, fiducial: DataFrame, variance: DataFra
     return wide.select("i", F.array(*[f"_g{a}" for a in range(p)]).alias("g")).join(fiducial, "i").join(variance, "i")
 
 
+def _weights(gradients: DataFrame) -> DataFrame:
+    """Gradients with the column w = C^-1 g."""
+    if "w" in gradients.columns:
+        return gradients
+    return gradients.withColumn("w", F.transform("g", lambda v: v / F.col("v")))
+
+
+def block_gradient_rows(derivatives: DataFrame, fiducial: DataFrame, solve: Callable[[DataFrame], DataFrame], keys: list[str],
+                        order: str, p: int, pos: str = "pos", gradient: str = "gradient") -> DataFrame:
+    """Rows (i, g, w, d0) when each trace has a covariance block.
+
+    `derivatives` has keys, pos and the gradient array of the trace, `fiducial` keys,
+    `order` and x; `solve` adds y = C^-1 gradient.  i runs over the traces in `order`.
+    """
+    solved = solve(derivatives)
+    long = solved.select(*keys, pos, F.posexplode(F.arrays_zip(gradient, "y")).alias("_t", "_z"))
+    wide = long.groupBy(*keys, "_t").agg(*[
+        F.max(F.when(F.col(pos) == a, F.col("_z")[c])).alias(f"_{c}{a}") for a in range(p) for c in (gradient, "y")])
+    level = fiducial.select(*keys, order, F.size("x").alias("_n"), F.posexplode("x").alias("_t", "d0"))
+    return wide.join(level, [*keys, "_t"]).select(
+        (F.col(order) * F.col("_n") + F.col("_t")).cast("int").alias("i"),
+        F.array(*[f"_{gradient}{a}" for a in range(p)]).alias("g"), F.array(*[f"_y{a}" for a in range(p)]).alias("w"), "d0")
+
+
 def fisher_matrix(gradients: DataFrame, p: int, prior_variance: list[float] | None = None) -> np.ndarray:
-    """F_ab = sum_i g_ai g_bi / v_i, plus 1/prior variance on the diagonal.
+    """F_ab = g_a C^-1 g_b, symmetrised, plus 1/prior variance on the diagonal.
 
     p(p+1)/2 sums in one aggregate: no self join of samples.
     """
     pairs = [(a, b) for a in range(p) for b in range(a, p)]
-    row = gradients.agg(*[F.sum(F.col("g")[a] * F.col("g")[b] / F.col("v")).alias(f"f{a}_{b}") for a, b in pairs]).first()
+    g, w = F.col("g"), F.col("w")
+    row = _weights(gradients).agg(*[F.sum((g[a] * w[b] + g[b] * w[a]) / 2).alias(f"f{a}_{b}") for a, b in pairs]).first()
     out = np.zeros((p, p))
     for a, b in pairs:
         out[a, b] = out[b, a] = row[f"f{a}_{b}"] or 0.0
@@ -116,14 +142,13 @@ def _small_matrix(gradients: DataFrame, p: int, memory: int) -> tuple | None:
     """(C^-1 G^T, d0) as arrays when p x n fits in `memory`, else None."""
     if gradients.count() * (p + 1) * 8 > memory:
         return None
-    rows = sorted(gradients.select("i", "g", "v", "d0").collect(), key=lambda r: r["i"])
-    weights = np.array([r["g"] for r in rows], float) / np.array([r["v"] for r in rows], float)[:, None]
-    return weights, np.array([r["d0"] for r in rows], float)
+    rows = sorted(_weights(gradients).select("i", "w", "d0").collect(), key=lambda r: r["i"])
+    return np.array([r["w"] for r in rows], float), np.array([r["d0"] for r in rows], float)
 
 
 def scores(records: DataFrame, gradients: DataFrame, p: int, x: str = "x", out: str = "score",
            prior_term: list[float] | None = None, memory: int = MATRIX_BYTES, keys: list[str] | None = None) -> DataFrame:
-    """s_a = sum_i g_ai (D - D0)_i / v_i (+ prior term) for every record.
+    """s_a = g_a C^-1 (D - D0) (+ prior term) for every record.
 
     A gradient within `memory` is broadcast and records are multiplied batch by batch
     without a shuffle; a larger one is joined sample by sample on `keys` of the record.
@@ -141,8 +166,8 @@ def scores(records: DataFrame, gradients: DataFrame, p: int, x: str = "x", out:
 
         return records.withColumn(out, job(F.col(x)))
     keys = keys or [c for c in records.columns if c != x]
-    long = records.select(*keys, F.posexplode(x).alias("i", "_x")).join(gradients, "i")
-    terms = [F.sum(F.col("g")[a] * (F.col("_x") - F.col("d0")) / F.col("v")) + float(prior[a]) for a in range(p)]
+    long = records.select(*keys, F.posexplode(x).alias("i", "_x")).join(_weights(gradients), "i")
+    terms = [F.sum(F.col("w")[a] * (F.col("_x") - F.col("d0"))) + float(prior[a]) for a in range(p)]
     return records.join(long.groupBy(*keys).agg(F.array(*terms).alias(out)), keys)
 
 

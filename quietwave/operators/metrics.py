@@ -115,7 +115,8 @@ def summarise(values: DataFrame, ensembles: DataFrame, ensemble: str = "ens") ->
     """
     clean = F.when(~F.isnan("value"), F.col("value"))
     stats = values.groupBy(ensemble, "metric").agg(F.avg(clean).alias("mean"), F.var_pop(clean).alias("var"))
-    grid = ensembles.select(ensemble).distinct().join(values.select("metric").distinct(), F.lit(True), "inner")
+    names = values.agg(F.collect_set("metric")).scalar()  # as many as there are registered metrics
+    grid = ensembles.select(ensemble).distinct().withColumn("_names", names).select(ensemble, F.explode("_names").alias("metric"))
     nan = F.lit(float("nan"))
     return grid.join(stats, [ensemble, "metric"], "left").select(
         ensemble, "metric", F.coalesce("mean", nan).alias("mean"), F.coalesce("var", nan).alias("var"))

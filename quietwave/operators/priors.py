@@ -8,12 +8,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietwave.functions.draws import normal, uniform
 from quietwave.functions.normal import normal_cdf, normal_quantile
-from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked
+from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked, running
 
 Sampler = Callable[[list, str, list], Column]
 
@@ -74,13 +74,25 @@ def homogeneous_tensor_draw(keys: list, stream: str, args: list) -> Column:
     return F.array(zz, xx, yy, xz, -yz, -xy)
 
 
+def velocity_model_draw(keys: list, stream: str, args: list) -> Column:
+    """args = [layers as six-number lists, kappa]: thickness, Vp, Vs each times N(1, kappa %)."""
+    layers, kappa = args
+
+    def layer(k: int, row: list) -> Column:
+        shaken = [float(v) * (1 + kappa / 100 * normal(keys, f"{stream}.{k}.{f}")) for f, v in enumerate(row[:3])]
+        return F.array(*shaken, *[F.lit(float(v)) for v in row[3:]])
+
+    return F.array(*[layer(k, row) for k, row in enumerate(layers)])
+
+
 SAMPLERS: dict[str, Sampler] = {
     "constant": constant,
     "uniform": uniform_draw,
     "uniform known": uniform_draw,
     "gaussian": gaussian_draw,
     "truncated gaussian": truncated_gaussian_draw,
-    "moment tensor homogeneous": homogeneous_tensor_draw,
+    "moment tensor log prior": homogeneous_tensor_draw,
+    "velocity model": velocity_model_draw,
 }
 
 
@@ -196,16 +208,25 @@ def perturb_independent(layers: DataFrame, keys: list, copies: int, kappa: float
         c: F.col(c) * (1 + kappa / 100 * normal([*keys, "copy"], f"{stream}.{c}")) for c in ("thickness", "vp", "vs")})
 
 
-def smooth_field(white: np.ndarray, spacing: float, length: float, deviation: float) -> np.ndarray:
-    """White noise smoothed over `length`, centred, scaled to `deviation`; ends are mirrored."""
-    sigma = max(0.5, length / spacing)
-    radius = int(4.0 * sigma + 0.5)
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    at = (np.arange(len(white))[:, None] + np.arange(-radius, radius + 1)) % (2 * len(white))
-    at = np.where(at < len(white), at, 2 * len(white) - 1 - at)
-    smooth = (white[at] * (kernel / kernel.sum())).sum(axis=1)
-    smooth = smooth - smooth.mean()
-    return smooth / (smooth.std() + 1e-16) * deviation
+def smooth_fields(white: np.ndarray, spacing: np.ndarray, length: float, deviation: float) -> np.ndarray:
+    """Rows of white noise smoothed over `length`, centred, scaled to `deviation`.
+
+    The ends are mirrored.  Each row has its own spacing, so its own Gaussian width;
+    weights are folded onto the 2n mirrored positions, where they repeat.
+    """
+    rows, n = white.shape
+    sigma = np.maximum(0.5, length / spacing)
+    radius = (4.0 * sigma + 0.5).astype(int)
+    folded, total = np.zeros((rows, 2 * n)), np.zeros(rows)
+    for shift in range(-int(radius.max()), int(radius.max()) + 1):
+        w = np.where(abs(shift) <= radius, np.exp(-0.5 * (shift / sigma) ** 2), 0.0)
+        folded[:, shift % (2 * n)] += w
+        total += w
+    at = (np.arange(n)[:, None] + np.arange(2 * n)) % (2 * n)
+    mirrored = white[:, np.where(at < n, at, 2 * n - 1 - at)]
+    smooth = np.einsum("rif,rf->ri", mirrored, folded / total[:, None])
+    smooth = smooth - smooth.mean(axis=1, keepdims=True)
+    return smooth / (smooth.std(axis=1, keepdims=True) + 1e-16) * deviation
 
 
 def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "model", length: float = 5.0,
@@ -221,21 +242,33 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
         return F.transform(index, lambda i: normal([key, "copy", i], f"{stream}.{field}"))
 
     spread = spread.withColumns({f"_w_{field}": white(field) for field in ("shared", "p", "s", "h")})
+    share = math.sqrt(max(0.0, min(1.0, correlation)))
+    rest = math.sqrt(1 - share * share)
+
+    def block(h, vp, vs, common, own_p, own_s, own_h):
+        top = np.cumsum(h, axis=1) - h
+        spacing = np.median(np.diff(top, axis=1), axis=1) if h.shape[1] > 1 else h[:, 0]
+        shared = smooth_fields(common, spacing, length, 1.0)
+
+        def log_change(own: np.ndarray, deviation: float) -> np.ndarray:
+            mixed = share * shared + rest * smooth_fields(own, spacing, length, 1.0)
+            spread_of = mixed.std(axis=1, keepdims=True)
+            return np.where(spread_of > 0, mixed / np.where(spread_of > 0, spread_of, 1.0) * deviation, 0.0)
+
+        thick = h * np.exp(smooth_fields(own_h, spacing, length, std_thickness))
+        return thick, vp * np.exp(log_change(own_p, std_vp)), vs * np.exp(log_change(own_s, std_vs))
 
     @F.pandas_udf("thickness array<double>, vp array<double>, vs array<double>")
     def job(h: pd.Series, vp: pd.Series, vs: pd.Series, w0: pd.Series, w1: pd.Series, w2: pd.Series, w3: pd.Series) -> pd.DataFrame:
-        share = math.sqrt(max(0.0, min(1.0, correlation)))
-        rest = math.sqrt(1 - share * share)
-        rows = []
-        for parts in zip(h, vp, vs, w0, w1, w2, w3):
-            thick, p, s, common, own_p, own_s, own_h = (np.asarray(v, float) for v in parts)
-            top = np.concatenate([[0.0], np.cumsum(thick)])[:-1]
-            spacing = float(np.median(np.diff(top))) if len(thick) > 1 else float(thick[0])
-            field = lambda w, d=1.0: smooth_field(w, spacing, length, d)
-            ep, es = share * field(common) + rest * field(own_p), share * field(common) + rest * field(own_s)
-            scale = lambda e, d: e / e.std() * d if e.std() > 0 else e * 0.0
-            rows.append((thick * np.exp(field(own_h, std_thickness)), p * np.exp(scale(ep, std_vp)), s * np.exp(scale(es, std_vs))))
-        return pd.DataFrame(rows, columns=["thickness", "vp", "vs"])
+        out: list = [[None] * len(h) for _ in range(3)]
+        lengths = h.map(len).to_numpy()
+        for n in np.unique(lengths):
+            rows = np.nonzero(lengths == n)[0]
+            parts = [np.stack([np.asarray(s.iloc[r], float) for r in rows]) for s in (h, vp, vs, w0, w1, w2, w3)]
+            for column, values in zip(out, block(*parts)):
+                for r, value in zip(rows, values):
+                    column[r] = value
+        return pd.DataFrame(dict(zip(("thickness", "vp", "vs"), out)))
 
     out = spread.withColumn("_m", job("thickness", "vp", "vs", "_w_shared", "_w_p", "_w_s", "_w_h"))
     keep = [c for c in models.columns if c not in ("thickness", "vp", "vs")]
@@ -246,9 +279,8 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
 
 def stair_profile(layers: DataFrame, model: list[str], layer: str = "layer", thickness: str = "thickness",
                   values: list[str] | None = None, top: float = 0.0) -> DataFrame:
-    """Running depth and two rows (top and bottom edge) per layer.  A model has few layers."""
-    order = Window.partitionBy(*model).orderBy(layer).rowsBetween(Window.unboundedPreceding, 0)
-    deep = layers.withColumn("bottom", F.sum(thickness).over(order) + F.lit(top))
+    """Running depth and two rows (top and bottom edge) per layer."""
+    deep = running(layers, [layer], {"_depth": ("sum", thickness)}, model).withColumn("bottom", F.col("_depth") + F.lit(top))
     edges = F.array(F.struct(F.lit(0).alias("edge"), (F.col("bottom") - F.col(thickness)).alias("depth")),
                     F.struct(F.lit(1).alias("edge"), F.col("bottom").alias("depth")))
     return deep.withColumn("_e", F.explode(edges)).select(*model, layer, *(values or []), "_e.edge", "_e.depth")

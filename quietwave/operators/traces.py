@@ -76,6 +76,16 @@ def flatten_record(traces: DataFrame, record: list[str], order: str, length: int
     return packed.select(*record, F.flatten(F.transform("_t", lambda t: F.slice(t["x"], F.lit(1), common))).alias(x))
 
 
+def stack_record(traces: DataFrame, record: list[str], station_order: str, component_order: str, length: int | None = None, x: str = "x") -> DataFrame:
+    """As `flatten_record`, axes kept: an array over stations of arrays over components of traces."""
+    def nested(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+        packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+        return rows.groupBy(*keys).agg(F.transform(packed, lambda t: t["v"]).alias(value))
+
+    cut = traces if length is None else traces.withColumn(x, F.slice(x, 1, length))
+    return nested(nested(cut, [*record, station_order], component_order, x), record, station_order, x)
+
+
 def split_record(df: DataFrame, n_traces: int, x: str = "x") -> DataFrame:
     """The flat vector of a record as rows (trace, x)."""
     n = F.floor(F.size(x) / n_traces).cast("int")

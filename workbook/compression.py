@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quietwave.functions import arrays as A
 from quietwave.functions import parameters as T
 from quietwave.operators import compression as C
-from quietwave.operators.covariance import mean_vectors
+from quietwave.operators.covariance import mean_vectors, solve_toeplitz
+from quietwave.operators.noise import damped_cosine_columns
 from quietwave.operators.posterior import compression_quality as quality
 from quietwave.plans.inversion import compress_ensemble
+from quietwave.plans.registries import COMPRESSORS
 from workbook.registry import N, P, R, ctes, gradients, query, rnd, sims, table
 from workbook.traces import _PAIRED, checksum, noise_pairs
 
@@ -225,3 +227,44 @@ def parameter_fingerprint(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     groups = F.create_map(F.lit("tensor"), F.array((F.col("c_custkey") * 3).cast("long")), F.lit("location"), F.array("c_custkey", F.col("c_nationkey").cast("long")))
     return c.select(F.col("c_custkey").alias("id"), T.fingerprint(groups, ["location", "tensor"]).alias("fingerprint"))
+
+
+# two traces of 29 samples with an exponential covariance; its inverse is tridiagonal
+_RHO = "exp(-1 / 20.0::DOUBLE)"
+_BLOCK = f"""gw AS (SELECT i, g, d0, a, g[a + 1] AS ga, coalesce(lag(g[a + 1]) OVER (PARTITION BY a, i // 29 ORDER BY i), 0) AS gp, coalesce(lead(g[a + 1]) OVER (PARTITION BY a, i // 29 ORDER BY i), 0) AS gn FROM grad CROSS JOIN generate_series(0, 5) q(a)),
+ws AS (SELECT i, a, d0, ga, ((CASE WHEN i % 29 IN (0, 28) THEN 1 ELSE 1 + {_RHO} * {_RHO} END) * ga - {_RHO} * (gp + gn)) / (1 - {_RHO} * {_RHO}) / (0.02 * (1 + i // 29)) AS w FROM gw)"""
+
+
+def block_gradients(spark, sf_dir):
+    g = gradients(spark, sf_dir).select("i", "g", "d0").withColumns({"trace": F.floor(F.col("i") / 29), "t": F.pmod("i", F.lit(29))})
+    packed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("t", c.alias("v")))), lambda s: s["v"])
+    long = g.select("trace", "t", F.posexplode("g").alias("pos", "v"))
+    derivatives = long.groupBy("trace", "pos").agg(packed(F.col("v")).alias("gradient"))
+    fiducial = g.groupBy("trace").agg(packed(F.col("d0")).alias("x")).withColumn("ord", F.col("trace"))
+    cov = damped_cosine_columns(g.select("trace").distinct().withColumn("variance", 0.02 * (1 + F.col("trace"))), 29, omega=0.0, jitter=0.0)
+    solve = lambda d: solve_toeplitz(d, cov.select("trace", "k", "c"), ["trace"], x="gradient")
+    return C.block_gradient_rows(derivatives, fiducial, solve, ["trace"], "ord", P)
+
+
+@query("block_covariance_fisher", ctes("grad") + f", {_BLOCK} SELECT x.a::INTEGER AS a, y.a::INTEGER AS b, {R('sum(x.ga * y.w)', 3)} AS f FROM ws x JOIN ws y USING (i) GROUP BY 1, 2")
+def block_covariance_fisher(spark, sf_dir):
+    f = C.fisher_matrix(block_gradients(spark, sf_dir), P)
+    return spark.createDataFrame([(a, b, float(f[a, b])) for a in range(P) for b in range(P)], "a int, b int, f double").select("a", "b", rnd("f", 3).alias("f"))
+
+
+@query("block_covariance_compression", ctes("grad") + f", {_BLOCK} SELECT id, a::INTEGER AS a, {R('sum(w * (v - d0))', 3)} AS score FROM sl JOIN ws USING (i) GROUP BY 1, 2")
+def block_covariance_compression(spark, sf_dir):
+    g = block_gradients(spark, sf_dir)
+    made = COMPRESSORS["optimal_score"](sims(spark, sf_dir).select("id", F.col("d").alias("x")), g, THETA)
+    return rows(made.withColumn("back", _back("estimate", C.fisher_matrix(g, P))), "back", "score", 3)
+
+
+@query("multi_point_compression", ctes("grad") + f", {SCORE} SELECT id, point::INTEGER AS point, a::INTEGER AS a, {R('s', 3)} AS score FROM sc CROSS JOIN generate_series(0, 1) q(point)")
+def multi_point_compression(spark, sf_dir):
+    g = gradients(spark, sf_dir)
+    f = C.fisher_matrix(g, P)
+    points = [(g, THETA), (g, [0.0] * P)]
+    made = COMPRESSORS["multi_optimal_score"](sims(spark, sf_dir).select("id", F.col("d").alias("x")), points, ["id"])
+    first = made.select("id", F.slice("estimate", 1, P).alias("e"), F.lit(0).alias("point"))
+    second = made.select("id", F.zip_with(F.slice("estimate", P + 1, P), F.array(*[F.lit(t) for t in THETA]), lambda a, b: a + b).alias("e"), F.lit(1).alias("point"))
+    return rows(first.unionByName(second).withColumn("back", _back("e", f)), "back", "score", 3, keys=("id", "point"))

@@ -9,6 +9,7 @@ from quietwave.functions.draws import normal
 from quietwave.operators import covariance as V
 from quietwave.operators import noise as N
 from quietwave.operators.priors import gaussian_noise
+from quietwave.plans.registries import NOISE_MODELS, covariance
 from workbook.registry import R, ctes, normal_sql, query, records, rnd, traces, uniform_sql
 from workbook.traces import checksum
 
@@ -190,3 +191,35 @@ def gaussian_noise_blocks(spark, sf_dir):
     white = records(spark, sf_dir).select("id", *KEYS, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: normal(["id", j], "coloured")).alias("x"))
     coloured = V.apply_blocks(white, V.toeplitz_rows(cov, KEYS), KEYS, "colour")
     return coloured.select("id", rnd(checksum("y"), 5).alias("checksum"), rnd(A.power("y")).alias("power"))
+
+
+_CHOICES = ("noise_level", "empirical_diagonal", "empirical_block", "filtered_block", "kolb", "theory_block")
+
+
+@query("covariance_registry", ctes("rl") + f""", {ACF}, {VAR0}, {THEORY}, tu AS (SELECT t, u FROM generate_series(0, 63) a(t) CROSS JOIN generate_series(0, 63) b(u)),
+b AS (SELECT station, component, t, u, 'noise_level' AS name, CASE WHEN t = u THEN 4 ELSE 0 END AS c FROM var0 CROSS JOIN tu UNION ALL SELECT station, component, t, u, 'empirical_diagonal', CASE WHEN t = u THEN variance ELSE 0 END FROM var0 CROSS JOIN tu
+ UNION ALL SELECT station, component, t, u, 'empirical_block', c * exp(-k / 20.0::DOUBLE) FROM ens JOIN tu ON k = abs(t - u)
+ UNION ALL SELECT station, component, t, u, 'filtered_block', CASE WHEN t = u THEN variance * 1.01 ELSE variance / 0.06 * (sin(2 * pi() * 0.05 * abs(t - u)) - sin(2 * pi() * 0.02 * abs(t - u))) / (pi() * abs(t - u)) END FROM var0 CROSS JOIN tu
+ UNION ALL SELECT station, component, t, u, 'kolb', variance * exp(-abs(t - u) / 20.0::DOUBLE) * cos(abs(t - u) * 0.22) * CASE WHEN t = u THEN 1.01 ELSE 1 END FROM var0 CROSS JOIN tu
+ UNION ALL SELECT v.station, v.component, x.t, x.u, 'theory_block', x.c + CASE WHEN x.t = x.u THEN variance ELSE 0 END FROM var0 v JOIN theory x ON x.station = v.station)
+SELECT name, station, component, {R('sum(c * (u + 1) * (t + 2))', 3)} AS checksum FROM b GROUP BY 1, 2, 3""")
+def covariance_registry(spark, sf_dir):
+    cov = ensemble(spark, sf_dir).select(*KEYS, "k", "c")
+    spread = theory(spark, sf_dir).join(cov.select(*KEYS).distinct(), "station")
+    out = None
+    for name in _CHOICES:
+        options = {"noise_level": 2.0} if name == "noise_level" else {"theory": spread, "data": "empirical_diagonal"} if name == "theory_block" else {}
+        rows = covariance(name, cov, KEYS, 64, **options)
+        part = rows.groupBy(*KEYS).agg(rnd(F.sum(checksum("row") * (F.col("t") + 2)), 3).alias("checksum")).select(F.lit(name).alias("name"), *KEYS, "checksum")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("noise_registry", ctes("rl") + f""", w AS (SELECT id, {R('sum(z * (k + 1)) * 0.5', 5)} AS white FROM (SELECT id, k, {normal_sql('id, k', 'registry')} AS z FROM tr CROSS JOIN generate_series(0, 63) q(k)) GROUP BY id),
+n AS (SELECT id AS noise_id, row_number() OVER (ORDER BY id) - 1 AS idx FROM tr) SELECT w.id, white, 7::BIGINT AS real_idx, noise_id FROM w CROSS JOIN n WHERE idx = 7""")
+def noise_registry(spark, sf_dir):
+    t = traces(spark, sf_dir).select("id", "x")
+    white = NOISE_MODELS["gaussian"](t.select("id"), ["id"], 64, "registry", noise_level=0.5)
+    catalogue = t.select(F.col("id").alias("noise_id"), F.col("x").alias("noise"))
+    real = NOISE_MODELS["real_noise"](t.select("id"), ["id"], 64, "registry", catalogue=catalogue, order=["noise_id"], fixed=7)
+    return white.select("id", rnd(checksum("noise"), 5).alias("white")).join(real.select("id", F.col("noise_idx").alias("real_idx"), "noise_id"), "id")

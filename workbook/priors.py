@@ -46,11 +46,10 @@ def truncated_gaussian_draws(spark, sf_dir):
 y AS (SELECT *, sqrt(u1) * u0 AS y1, sqrt(u1) AS y2 FROM u)
 SELECT id, {R('sqrt(2) * m0 * sqrt(y2 - y1) * cos(2 * pi() * u3)', 7)} AS rr, {R('-m0 * sqrt(y2 - y1) * sin(2 * pi() * u3)', 7)} AS tp, {R('m0', 7)} AS m0 FROM y""")
 def homogeneous_tensor_draws(spark, sf_dir):
-    p = D.prior_table(ids(spark, sf_dir), "id", {"tensor": ("moment tensor homogeneous", [1e15, 1e18])}, "prior")
-    t = F.transform("tensor", lambda v: v / 1e18)
-    p = p.withColumn("t", t)
-    size = F.sqrt(sum((F.col("t")[k] * F.col("t")[k] * (1 if k < 3 else 2) for k in range(6)), F.lit(0.0)) / 2)
-    return p.select("id", rnd(F.col("t")[0], 7).alias("rr"), rnd(F.col("t")[5], 7).alias("tp"), rnd(size, 7).alias("m0"))
+    p = D.prior_table(ids(spark, sf_dir), "id", {"tensor": ("moment tensor log prior", [1e15, 1e18])}, "prior")
+    t = [F.col("tensor")[k] / 1e18 for k in range(6)]
+    size = F.sqrt(sum((v * v * (1 if k < 3 else 2) for k, v in enumerate(t)), F.lit(0.0)) / 2)
+    return p.select("id", rnd(t[0], 7).alias("rr"), rnd(t[5], 7).alias("tp"), rnd(size, 7).alias("m0"))
 
 
 @query("latin_hypercube_draws", f"""WITH {IDS}, u AS (SELECT id, row_number() OVER (ORDER BY {uniform_sql('id', 'lhc.order.0')}, id) AS r0, row_number() OVER (ORDER BY {uniform_sql('id', 'lhc.order.1')}, id) AS r1, count(*) OVER () AS n FROM ids)
@@ -62,7 +61,7 @@ def latin_hypercube_draws(spark, sf_dir):
 
 @query("prior_table", f"WITH {IDS} SELECT id, {R('-5 + 15 * ' + uniform_sql('id', 'mix.location.0'), 7)} AS lat, {R('2 * ' + normal_sql('id', 'mix.shift.0'), 6)} AS shift FROM ids")
 def prior_table(spark, sf_dir):
-    p = D.prior_table(ids(spark, sf_dir), "id", {"location": ("uniform", [[-5], [10]]), "shift": ("gaussian", [[0], [4]]), "tensor": ("moment tensor homogeneous", [1e15, 1e18])}, "mix")
+    p = D.prior_table(ids(spark, sf_dir), "id", {"location": ("uniform", [[-5], [10]]), "shift": ("gaussian", [[0], [4]]), "tensor": ("moment tensor log prior", [1e15, 1e18])}, "mix")
     return p.select("id", rnd(F.col("location")[0], 7).alias("lat"), rnd(F.col("shift")[0]).alias("shift"))
 
 
@@ -172,3 +171,13 @@ def train_rows(spark, sf_dir):
     p = noise_pairs(spark, sf_dir).select("id", F.col("ens").alias("station"), pick[(F.col("id") % 3).cast("int")].alias("component"), "x", "noise", F.slice("x", 1, 6).alias("theta"))
     rows = training_rows(p, ["id"], COMPONENTS, 64, 2.0, 3.0, "train", "theta", [-0.5] * 6, [0.5] * 5 + [1.5])
     return rows.select("id", "station", "component", rnd(checksum("x"), 5).alias("checksum"), rnd(F.col("theta")[0]).alias("theta_1"), rnd(F.col("theta")[5]).alias("theta_6"))
+
+
+_MODEL = [[5.0, 5.5, 3.2, 2.5, 600, 300], [30.0, 7.5, 4.2, 3.1, 800, 400]]
+
+
+@query("velocity_model_draws", f"WITH {IDS} SELECT id, {R('5 * (1 + 0.05 * ' + normal_sql('id', 'model.velocity_model.0.0') + ')')} AS h0, {R('4.2 * (1 + 0.05 * ' + normal_sql('id', 'model.velocity_model.1.2') + ')')} AS vs1, 3.1::DOUBLE AS rho1 FROM ids")
+def velocity_model_draws(spark, sf_dir):
+    p = D.prior_table(ids(spark, sf_dir), "id", {"velocity_model": ("velocity model", [_MODEL, 5.0])}, "model")
+    m = F.col("velocity_model")
+    return p.select("id", rnd(m[0][0]).alias("h0"), rnd(m[1][2]).alias("vs1"), m[1][3].alias("rho1"))

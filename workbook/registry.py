@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietwave.operators.intervals import as_us
+from quietwave.operators.ordering import ranked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -40,12 +41,12 @@ def rnd(column: str | Column, digits: int = 6) -> Column:
     return F.round(column.cast("double"), digits) + F.lit(0.0)
 
 
-def uniform_sql(keys: str, stream: str) -> str:
-    return f"((('0x' || substr(md5(concat_ws('|', {keys}, '{stream}')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+def uniform_sql(keys: str, stream: str, start: int = 1) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {keys}, '{stream}')), {start}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def normal_sql(keys: str, stream: str) -> str:
-    a, b = uniform_sql(keys, stream + ".a"), uniform_sql(keys, stream + ".b")
+    a, b = uniform_sql(keys, stream), uniform_sql(keys, stream, 14)
     return f"(sqrt(-2.0 * ln({a})) * cos(2.0 * pi() * {b}))"
 
 
@@ -116,9 +117,10 @@ def gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *rest)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("model"), (F.row_number().over(order) - 1).alias("layer"), F.col("l_quantity").alias("thickness"),
+    lines = table(spark, sf_dir, "lineitem")
+    ordered = ranked(lines.select("l_orderkey", "l_linenumber", *rest), ["l_linenumber", *rest], ["l_orderkey"], "_k")
+    return ordered.select(
+        F.col("l_orderkey").alias("model"), (F.col("_k") - 1).cast("int").alias("layer"), F.col("l_quantity").alias("thickness"),
         (F.lit(5.0) + F.col("l_discount") * 20).alias("vp"), (F.lit(3.0) + F.col("l_tax") * 20).alias("vs"))
 
 

@@ -196,6 +196,14 @@ def flatten_record(spark, sf_dir):
     return flat.select("rec", F.size("x").alias("n"), rnd(checksum("x")).alias("checksum"))
 
 
+@query("stack_record", ctes("rl") + f" SELECT rl.id // 30 AS rec, count(DISTINCT rl.id // 3)::INTEGER AS stations, {R('sum(CASE WHEN i = 0 THEN v ELSE 0 END)')} AS firsts, {R('sum(v)')} AS total FROM rl WHERE i < 40 GROUP BY 1")
+def stack_record(spark, sf_dir):
+    r = traces(spark, sf_dir).select(F.floor(F.col("id") / 30).alias("rec"), F.floor(F.col("id") / 3).alias("st"), (F.col("id") % 3).alias("c"), "x")
+    s = T.stack_record(r, ["rec"], "st", "c", length=40)
+    flat = F.flatten("x")
+    return s.select("rec", F.size("x").alias("stations"), rnd(A.total(F.transform(flat, lambda t: t[0]))).alias("firsts"), rnd(A.total(F.flatten(flat))).alias("total"))
+
+
 @query("amplitude_normalisation", ctes("lg") + ", " + MEAN_TRACE + f""", top AS (SELECT ens, max(abs(m)) AS top FROM mt0 GROUP BY ens), os AS (SELECT ens, avg(abs(v)) * 10 AS o FROM lg GROUP BY ens)
 SELECT id, {R('sum(v * (i + 1) / top)', 5)} AS checksum, {R('max(o)')} AS offset_scale FROM lg JOIN top USING (ens) JOIN os USING (ens) GROUP BY id""")
 def amplitude_normalisation(spark, sf_dir):
