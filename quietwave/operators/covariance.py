@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietwave.functions.types import DOUBLES
+from quietwave.operators.ordering import with_totals
 from quietwave.operators.traces import to_array
 
 BLOCK_BYTES = 256 * 1024 * 1024
@@ -107,10 +108,7 @@ def weighted_moments(df: DataFrame, groups: list[str], columns: list[str], weigh
     means = df.groupBy(*groups).agg(
         F.sum(w).alias("_w"), F.sum(w * w).alias("_ww"),
         *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m_{c}") for c in columns])
-    if groups:
-        joined = df.join(means, groups)
-    else:
-        joined = df.withColumn("_all", means.select(F.struct("*")).scalar()).select("*", "_all.*").drop("_all")
+    joined = with_totals(df, means, groups)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = joined.groupBy(*groups).agg(
         F.max("_w").alias("_w"), F.max("_ww").alias("_ww"), *[F.max(f"_m_{c}").alias(f"_m_{c}") for c in columns],

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietwave.operators.ordering import ROWS_PER_CHUNK, running
+from quietwave.operators.ordering import ROWS_PER_CHUNK, order_cuts, running
+from quietwave.session import materialise
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 _BLOCK = 4096
+_FOREVER = 2**63 - 1
 
 
 def as_us(column: str | Column) -> Column:
@@ -34,19 +36,24 @@ def blackout_per_event(
     )
 
 
-def _swept(intervals: DataFrame, rows_per_chunk: int) -> DataFrame:
-    """Unique starts with the largest end, and the largest end of everything earlier."""
-    unique = intervals.groupBy("s").agg(F.max("e").alias("e"))
-    return running(unique, ["s"], {"_before": ("max", "e")}, before=True,
-                   rows_per_chunk=rows_per_chunk)
+def _swept(intervals: DataFrame, rows_per_chunk: int) -> tuple[DataFrame, list[tuple]]:
+    """Unique starts with the largest end, and the largest end of everything earlier; also the cuts.
+
+    The reduced intervals are written once: what they derive from (a catalogue against
+    all stations) is then not computed again for the cuts, the summary and the sweep.
+    """
+    unique = materialise(intervals.groupBy("s").agg(F.max("e").alias("e")), "intervals")
+    cuts = order_cuts(unique, ["s"], rows_per_chunk)
+    return running(unique, ["s"], {"_before": ("max", "e")}, before=True, cuts=cuts), cuts
 
 
 def merge_intervals(intervals: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Join overlapping or touching intervals (s, e): a new island iff start > running end."""
-    swept = _swept(intervals, rows_per_chunk).withColumn(
+    swept, cuts = _swept(intervals, rows_per_chunk)
+    swept = swept.withColumn(
         "_head", F.when(F.col("_before").isNull() | (F.col("s") > F.col("_before")), F.col("s"))
     )
-    labelled = running(swept, ["s"], {"_island": ("last", "_head")}, rows_per_chunk=rows_per_chunk)
+    labelled = running(swept, ["s"], {"_island": ("last", "_head")}, cuts=cuts)
     return labelled.groupBy(F.col("_island").alias("s")).agg(F.max("e").alias("e"))
 
 
@@ -59,12 +66,12 @@ def quiet_regions(
     Without intervals the whole range is one region.  `clip=False` keeps lead-in and
     lead-out as they fall, even when they lie outside the range or are inverted.
     """
-    swept = _swept(intervals, rows_per_chunk)
-    gaps = swept.where(F.col("_before").isNull() | (F.col("s") > F.col("_before"))).select(
-        F.coalesce("_before", F.lit(t0)).alias("s"), F.col("s").alias("e")
+    # one interval at the end of time: the gap before it is the lead-out
+    end = intervals.sparkSession.range(1).select(F.lit(_FOREVER).alias("s"), F.lit(_FOREVER).alias("e"))
+    swept, _ = _swept(intervals.select("s", "e").unionByName(end), rows_per_chunk)
+    regions = swept.where(F.col("_before").isNull() | (F.col("s") > F.col("_before"))).select(
+        F.coalesce("_before", F.lit(t0)).alias("s"), F.when(F.col("s") == _FOREVER, F.lit(t1)).otherwise(F.col("s")).alias("e")
     )
-    tail = intervals.agg(F.coalesce(F.max("e"), F.lit(t0)).alias("s")).withColumn("e", F.lit(t1))
-    regions = gaps.unionByName(tail)
     if clip:
         regions = regions.select(
             F.greatest("s", F.lit(t0)).alias("s"), F.least("e", F.lit(t1)).alias("e")

@@ -72,7 +72,7 @@ def autocorrelation_misfit(traces: DataFrame, max_lag: int = 50, x: str = "x", o
 
 
 class MetricRegistry:
-    """Named metrics.  A metric takes trace rows (keys, x, obs) and adds a column value."""
+    """Named metrics.  A metric takes trace rows (keys, x, obs), keeps them and adds a column value."""
 
     def __init__(self) -> None:
         self._metrics: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -86,13 +86,15 @@ class MetricRegistry:
         return list(self._metrics)
 
     def evaluate(self, traces: DataFrame, keys: list[str]) -> DataFrame:
-        """Long table keys, metric, value; a metric that yields nothing for a row is NaN."""
-        out = None
-        for name, metric in self._metrics.items():
-            part = metric(traces).select(
-                *keys, F.lit(name).alias("metric"), F.coalesce(F.col("value"), F.lit(float("nan"))).alias("value"))
-            out = part if out is None else out.unionByName(part)
-        return out
+        """Long table keys, metric, value; a metric that yields nothing for a row is NaN.
+
+        All metrics run in one pass over the traces and are turned into rows at the end.
+        """
+        wide, entries = traces, []
+        for k, (name, metric) in enumerate(self._metrics.items()):
+            wide = metric(wide).withColumnRenamed("value", f"_value{k}")
+            entries.append(F.struct(F.lit(name).alias("metric"), F.coalesce(F.col(f"_value{k}"), F.lit(float("nan"))).alias("value")))
+        return wide.select(*keys, F.inline(F.array(*entries)))
 
 
 def column_metric(expression: Column) -> Callable[[DataFrame], DataFrame]:

@@ -12,9 +12,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 ROWS_PER_CHUNK = 1_000_000
 CUT_SAMPLE = 4096
+TREE_CUTS = 64
 
 
 def order_cuts(df: DataFrame, keys: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> list[tuple]:
@@ -56,6 +58,30 @@ def chunk_of(keys: list[str], cuts: list[tuple]) -> Column:
     return tree(0, len(cuts))
 
 
+def with_chunk(df: DataFrame, keys: list[str], cuts: list[tuple], out: str = "_chunk") -> DataFrame:
+    """Add the chunk number: a comparison tree for few cuts, else a binary search in constant arrays.
+
+    The search is one short column per halving, so thousands of cuts still compile.
+    """
+    if len(cuts) < TREE_CUTS:
+        return df.withColumn(out, chunk_of(keys, cuts))
+    size = 1 << len(cuts).bit_length()
+    arrays = [
+        F.array(*[F.lit(c[k]) for c in cuts], *[F.lit(None)] * (size - len(cuts))).cast(ArrayType(df.schema[key].dataType))
+        for k, key in enumerate(keys)]
+    columns = df.columns
+    df = df.withColumn(out, F.lit(0))
+    half = size // 2
+    while half:
+        at = F.col(out) + F.lit(half - 1)
+        test = F.col(keys[-1]) >= arrays[-1][at]
+        for key, values in reversed(list(zip(keys[:-1], arrays[:-1]))):
+            test = (F.col(key) > values[at]) | ((F.col(key) == values[at]) & test)
+        df = df.select(*columns, (F.col(out) + F.when(test, F.lit(half)).otherwise(F.lit(0))).alias(out))
+        half //= 2
+    return df
+
+
 def _aggregate(kind: str, value: str, keys: list[str]) -> Column:
     if kind == "count":
         return F.count(F.lit(1))
@@ -82,16 +108,17 @@ def running(
     groups: list[str] | None = None,
     before: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    cuts: list[tuple] | None = None,
 ) -> DataFrame:
     """Add running aggregates in ascending `keys` order within `groups`.
 
     `wanted` maps a new column to (kind, value column) with kind one of sum, max,
     min, count, last (latest non-null).  `before=True` leaves out the current row.
-    `keys` should identify rows, so that the order is total.
+    `keys` should identify rows, so that the order is total.  `cuts` reuses known cuts.
     """
     groups = list(groups or [])
-    cuts = order_cuts(df, keys, rows_per_chunk)
-    chunked = df.withColumn("_chunk", chunk_of(keys, cuts)) if cuts else df
+    cuts = order_cuts(df, keys, rows_per_chunk) if cuts is None else cuts
+    chunked = with_chunk(df, keys, cuts) if cuts else df
     frame_end = -1 if before else 0
     parts = groups + (["_chunk"] if cuts else [])
     window = (
@@ -135,6 +162,14 @@ def running(
     )
 
 
+def with_totals(df: DataFrame, totals: DataFrame, groups: list[str]) -> DataFrame:
+    """Each row with the totals of its group; without groups the one row of totals is a scalar."""
+    if groups:
+        return df.join(totals, groups)
+    one = totals.select(F.struct("*")).scalar()
+    return df.withColumn("_all", one).select(*df.columns, "_all.*")
+
+
 def ranked(
     df: DataFrame, keys: list[str], groups: list[str] | None = None,
     name: str = "rank", rows_per_chunk: int = ROWS_PER_CHUNK,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwave.functions.draws import uniform
-from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked
+from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked, with_totals
 
 SMALL_SIDE_ROWS = 10_000
 
@@ -72,11 +72,10 @@ def pair_with_noise(
     """
     indexed = dense_index(noise, noise_order, "noise_idx")
     if fixed is not None:
-        drawn = sims.withColumn("noise_idx", F.lit(fixed).cast("long"))
-    else:
-        size = noise.agg(F.count(F.lit(1))).scalar()
-        drawn = sims.withColumn("noise_idx", F.floor(uniform([sim_id], stream) * size))
-    return drawn.join(indexed, "noise_idx")
+        one = indexed.where(F.col("noise_idx") == fixed)
+        return with_totals(sims, one, [])
+    size = noise.agg(F.count(F.lit(1))).scalar()
+    return sims.withColumn("noise_idx", F.floor(uniform([sim_id], stream) * size)).join(indexed, "noise_idx")
 
 
 def inject_noise(pairs: DataFrame, signal: str = "x", noise: str = "noise", out: str = "y") -> DataFrame:

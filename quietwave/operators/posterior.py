@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quietwave.functions.angles import wrap
 from quietwave.functions.normal import normal_cdf, normal_quantile
-from quietwave.operators.ordering import ROWS_PER_CHUNK, chunk_of, group_quantiles, ranked, running
+from quietwave.operators.ordering import ROWS_PER_CHUNK, chunk_of, group_quantiles, ranked, running, with_totals
 
 DEVIATION_FLOOR = 1e-12
 # Period in degrees of each reported quantity, None for a linear one.
@@ -227,7 +227,7 @@ def histogram(df: DataFrame, groups: list[str], x: str, lo: float, hi: float, bi
     full = grid.join(counts, [*groups, "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     if density:
         total = counts.groupBy(*groups).agg(F.sum("value").alias("_t"))
-        full = full.join(total, groups).withColumn("value", F.try_divide(F.col("value"), F.col("_t") * ((hi - lo) / bins))).drop("_t")
+        full = with_totals(full, total, groups).withColumn("value", F.try_divide(F.col("value"), F.col("_t") * ((hi - lo) / bins))).drop("_t")
     return full
 
 
@@ -240,7 +240,7 @@ def histogram_2d(df: DataFrame, groups: list[str], x: str, y: str, xrange: tuple
     if density:
         total = cells.groupBy(*groups).agg(F.sum("value").alias("_t"))
         area = (xrange[1] - xrange[0]) * (yrange[1] - yrange[0]) / bins / bins
-        cells = cells.join(total, groups).withColumn("value", F.try_divide(F.col("value"), F.col("_t") * area)).drop("_t")
+        cells = with_totals(cells, total, groups).withColumn("value", F.try_divide(F.col("value"), F.col("_t") * area)).drop("_t")
     return cells
 
 

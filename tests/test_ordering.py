@@ -60,6 +60,16 @@ def test_group_quantiles_match_numpy(spark):
     assert len(got) == 3 * len({g for _, _, g in rows})
 
 
+def test_many_cuts_use_a_search_with_the_same_answer(spark):
+    from quietwave.operators.ordering import with_chunk
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(rng.randint(0, 500), f"n{rng.randint(0, 99):02d}") for _ in range(3000)], "v long, name string")
+    cuts = sorted({(rng.randint(0, 500), f"n{rng.randint(0, 99):02d}") for _ in range(300)})
+    rows = with_chunk(df, ["v", "name"], cuts).collect()
+    assert all(r["_chunk"] == sum(c <= (r["v"], r["name"]) for c in cuts) for r in rows)
+
+
 def test_null_keys_come_first(spark):
     df = spark.createDataFrame([(1, None), (2, 1.0), (3, 0.5)], "id int, v double")
     got = {r["id"]: r["rank"] for r in ranked(df, ["v", "id"]).collect()}

@@ -101,8 +101,8 @@ def histogram_1d(spark, sf_dir):
 @query("histogram_2d", ctes("sims") + f""", h AS (SELECT least(9, floor((theta[1] + 0.4) / 0.8 * 10))::INTEGER AS bx, least(9, floor((theta[2] + 0.4) / 0.8 * 10))::INTEGER AS "by" FROM sims WHERE theta[1] BETWEEN -0.4 AND 0.4 AND theta[2] BETWEEN -0.4 AND 0.4)
 SELECT bx, "by", {R('count(*) / sum(count(*)) OVER () / 0.0064', 5)} AS density FROM h GROUP BY 1, 2""")
 def histogram_2d(spark, sf_dir):
-    s = sims(spark, sf_dir).select(F.lit(0).alias("g"), F.col("theta")[0].alias("x"), F.col("theta")[1].alias("y"))
-    return P.histogram_2d(s, ["g"], "x", "y", (-0.4, 0.4), (-0.4, 0.4), 10, density=True).select("bx", "by", rnd("value", 5).alias("density"))
+    s = sims(spark, sf_dir).select(F.col("theta")[0].alias("x"), F.col("theta")[1].alias("y"))
+    return P.histogram_2d(s, [], "x", "y", (-0.4, 0.4), (-0.4, 0.4), 10, density=True).select("bx", "by", rnd("value", 5).alias("density"))
 
 
 _E = [-0.5, -0.2, -0.05, 0.0, 0.1, 0.5]
@@ -112,8 +112,8 @@ _CASE = "CASE " + " ".join(f"WHEN {{c}} >= {lo} THEN {k}" for k, lo in reversed(
 @query("strongest_per_cell", ctes("sims") + f""", c AS (SELECT id, theta[1] AS x, theta[2] AS y, round(theta[3], 2) AS w, {_CASE.format(c='theta[1]')} AS bx, {_CASE.format(c='theta[2]')} AS "by" FROM sims WHERE theta[1] BETWEEN -0.5 AND 0.5 AND theta[2] BETWEEN -0.5 AND 0.5),
 r AS (SELECT *, row_number() OVER (PARTITION BY bx, "by" ORDER BY w DESC, id) AS k FROM c) SELECT bx, "by", {R('x')} AS x, {R('y')} AS y, {R('w', 2)} AS w FROM r WHERE k = 1""")
 def strongest_per_cell(spark, sf_dir):
-    s = sims(spark, sf_dir).select(F.lit(0).alias("g"), "id", F.col("theta")[0].alias("x"), F.col("theta")[1].alias("y"), F.round(F.col("theta")[2], 2).alias("w"))
-    return P.strongest_per_cell(s, ["g"], "x", "y", "w", "id", _E, _E).select("bx", "by", rnd("x").alias("x"), rnd("y").alias("y"), rnd("w", 2).alias("w"))
+    s = sims(spark, sf_dir).select("id", F.col("theta")[0].alias("x"), F.col("theta")[1].alias("y"), F.round(F.col("theta")[2], 2).alias("w"))
+    return P.strongest_per_cell(s, [], "x", "y", "w", "id", _E, _E).select("bx", "by", rnd("x").alias("x"), rnd("y").alias("y"), rnd("w", 2).alias("w"))
 
 
 _COV = "cov AS (SELECT user_id % 20 AS boot, event_type AS type, ln(1 + value) / 6 AS v FROM events), lev AS (SELECT boot, k / 10.0::DOUBLE AS level, avg(CASE WHEN v < k / 10.0::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ecp FROM cov CROSS JOIN generate_series(0, 10) q(k) GROUP BY 1, 2)"

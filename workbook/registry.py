@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ def query(name: str, check: str | None = None):
     return keep
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; footers are read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quietwave.functions import arrays as A
@@ -103,18 +104,56 @@ def pad_and_trim(spark, sf_dir):
     return t.select("id", rnd(checksum("y")).alias("checksum"), F.size("y").alias("n"))
 
 
-@query("band_pass_filter")
+def _bandpass_polynomials(low: float, high: float) -> tuple[list[float], list[float]]:
+    """Difference-equation coefficients of the same filter, by substituting into its polynomials.
+
+    Prototype s^4 + c s^3 + ... + 1 with s -> (s^2 + low*high) / ((high-low) s), then
+    s -> (1-w)/(1+w) with warped corners; w is the one-sample delay.
+    """
+    a, b = np.tan(np.pi * low), np.tan(np.pi * high)
+    prototype = np.real(np.poly(np.exp(1j * np.pi * np.array([5, 7, 9, 11]) / 8)))  # highest power first
+    minus, plus = np.array([1.0, -1.0]), np.array([1.0, 1.0])  # lowest power of w first
+    square = np.convolve(minus, minus) + a * b * np.convolve(plus, plus)
+    band = (b - a) * np.convolve(minus, plus)
+
+    def power(poly: np.ndarray, n: int) -> np.ndarray:
+        out = np.array([1.0])
+        for _ in range(n):
+            out = np.convolve(out, poly)
+        return out
+
+    bottom = sum(c * np.convolve(power(square, 4 - k), power(band, k)) for k, c in enumerate(prototype))
+    top = power(band, 4)
+    return list(top / bottom[0]), list(bottom / bottom[0])
+
+
+def _recursion(name: str, source: str, top: list[float], bottom: list[float]) -> str:
+    """Filtered lists of `source` (id, x): one recursive step per sample, newest output first."""
+    feed = " + ".join(f"({float(c)!r})::DOUBLE * CASE WHEN t >= {k} THEN x[t + {1 - k}] ELSE 0 END" for k, c in enumerate(top) if c)
+    back = " + ".join(f"({float(c)!r})::DOUBLE * coalesce(y[{k}], 0)" for k, c in enumerate(bottom) if k)
+    return (f"{name}r(id, t, x, y) AS (SELECT id, 0, x, []::DOUBLE[] FROM {source} UNION ALL "
+            f"SELECT id, t + 1, x, list_prepend(({feed}) - ({back}), y) FROM {name}r WHERE t < 64), "
+            f"{name} AS (SELECT id, list_reverse(y) AS x FROM {name}r WHERE t = 64)")
+
+
+_TOP, _BOTTOM = _bandpass_polynomials(0.05, 0.2)
+_TOP = [c if abs(c) > 1e-15 else 0.0 for c in _TOP]
+_ENERGY = f"{R('list_sum(list_transform(x, lambda v, k: v * k))', 5)} AS checksum, {R('list_sum(list_transform(x, lambda v: v * v))', 5)} AS power"
+
+
+@query("band_pass_filter", ctes("tr") + ", " + _recursion("f", "tr", _TOP, _BOTTOM) + f" SELECT id, {_ENERGY} FROM f")
 def band_pass_filter(spark, sf_dir):
     job = G.bandpass(0.05, 0.2, 1.0, corners=4)
     t = traces(spark, sf_dir).withColumn("y", job("x"))
-    return t.select("id", rnd(checksum("y")).alias("checksum"), rnd(A.power("y")).alias("power"))
+    return t.select("id", rnd(checksum("y"), 5).alias("checksum"), rnd(A.power("y"), 5).alias("power"))
 
 
-@query("band_pass_zero_phase")
+@query("band_pass_zero_phase", ctes("tr") + ", " + _recursion("f", "tr", _TOP, _BOTTOM) + ", g AS (SELECT id, list_reverse(x) AS x FROM f), " + _recursion("h", "g", _TOP, _BOTTOM)
+       + f", z AS (SELECT id, list_reverse(x) AS x FROM h) SELECT id, {_ENERGY} FROM z")
 def band_pass_zero_phase(spark, sf_dir):
     job = G.bandpass(0.05, 0.2, 1.0, corners=4, zerophase=True)
     t = traces(spark, sf_dir).withColumn("y", job("x"))
-    return t.select("id", rnd(checksum("y")).alias("checksum"), rnd(A.power("y")).alias("power"))
+    return t.select("id", rnd(checksum("y"), 5).alias("checksum"), rnd(A.power("y"), 5).alias("power"))
 
 
 @query("fourier_resample", ctes("lg") + f""", ks AS (SELECT k FROM generate_series(0, 16) t(k)),

@@ -204,7 +204,20 @@ def great_circle(spark, sf_dir):
                     rnd(azimuth_degrees(F.lit(LAT), F.lit(LON), F.col("lat"), F.col("lon")), 5).alias("azimuth"))
 
 
-@query("ellipsoid_distance")
+# Vincenty's inverse series, 40 steps of the longitude equation
+_U = "atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians({0})))"
+_STEP = "sqrt(pow(cos(u2) * sin(l), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l) AS cs"
+_ELL = ctes("catalogue") + f""", p AS (SELECT event_id, {_U.format(LAT)} AS u1, {_U.format('lat')} AS u2, radians(lon - ({LON})) AS d, 1 / 298.257223563::DOUBLE AS f FROM catalogue),
+it(event_id, u1, u2, d, f, n, l) AS (SELECT event_id, u1, u2, d, f, 0, d FROM p UNION ALL SELECT event_id, u1, u2, d, f, n + 1, d + (1 - c) * f * sa * (atan2(ss, cs) + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))
+ FROM (SELECT *, f / 16 * (1 - sa * sa) * (4 + f * (4 - 3 * (1 - sa * sa))) AS c, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) AS c2m FROM (SELECT *, cos(u1) * cos(u2) * sin(l) / ss AS sa FROM (SELECT *, {_STEP} FROM it WHERE n < 40)))),
+k AS (SELECT *, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) AS c2m, (1 - sa * sa) * (1 / pow(1 - f, 2) - 1) AS e2 FROM (SELECT *, cos(u1) * cos(u2) * sin(l) / ss AS sa FROM (SELECT *, {_STEP} FROM it WHERE n = 40))),
+ab AS (SELECT *, 1 + e2 / 16384 * (4096 + e2 * (-768 + e2 * (320 - 175 * e2))) AS a, e2 / 1024 * (256 + e2 * (-128 + e2 * (74 - 47 * e2))) AS b FROM k)
+SELECT event_id, {R('6378137.0::DOUBLE * (1 - f) * a * (atan2(ss, cs) - b * ss * (c2m + b / 4 * (cs * (2 * c2m * c2m - 1) - b / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3))))', 2)} AS metres,
+{R('(degrees(atan2(cos(u2) * sin(l), cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l))) + 360.0) % 360.0', 5)} AS azimuth,
+{R('(degrees(atan2(cos(u1) * sin(l), cos(u1) * sin(u2) * cos(l) - sin(u1) * cos(u2))) + 180.0) % 360.0', 5)} AS back_azimuth FROM ab"""
+
+
+@query("ellipsoid_distance", _ELL)
 def ellipsoid_distance(spark, sf_dir):
     c = catalogue(spark, sf_dir).withColumn("p", ellipsoid_path(F.lit(LAT), F.lit(LON), F.col("lat"), F.col("lon")))
     return c.select("event_id", rnd("p.metres", 2).alias("metres"), rnd("p.azimuth", 5).alias("azimuth"), rnd("p.back_azimuth", 5).alias("back_azimuth"))
