@@ -9,32 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-
-def by_length(traces: pd.Series, job: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
-    """Apply `job` to stacked traces of equal length; null traces stay null."""
-    out: list = [None] * len(traces)
-    lengths = traces.map(lambda v: -1 if v is None else len(v)).to_numpy()
-    for n in np.unique(lengths):
-        if n < 0:
-            continue
-        rows = np.nonzero(lengths == n)[0]
-        if n == 0:
-            for r in rows:
-                out[r] = np.empty(0)
-            continue
-        result = job(np.stack([np.asarray(traces.iloc[r], float) for r in rows]))
-        for r, value in zip(rows, result):
-            out[r] = value
-    return pd.Series(out, dtype=object)
+from quietwave.functions.batches import blocks, lists_of, on_blocks
 
 
 def _array_job(job: Callable[[np.ndarray], np.ndarray]):
-    @F.pandas_udf("array<double>")
-    def run(traces: pd.Series) -> pd.Series:
-        return by_length(traces, job)
+    @F.arrow_udf("array<double>")
+    def run(traces: pa.Array) -> pa.Array:
+        return on_blocks(traces, job)
 
     return run
 
@@ -202,23 +186,18 @@ def fourier_resample(rate: float, new_rate: float, window: bool = True):
 
 def lanczos(rate: float, new_rate: float, count: int, half_width: int = 20):
     """Column function (trace, start offset in seconds): `count` samples at `new_rate`."""
-    @F.pandas_udf("array<double>")
-    def run(traces: pd.Series, offset: pd.Series) -> pd.Series:
-        def weights(n: int, start: float) -> np.ndarray:
-            t = (start + np.arange(count) / new_rate) * rate
-            p = t[:, None] - np.arange(n)[None, :]
-            return np.where(np.abs(p) < half_width, np.sinc(p) * np.sinc(p / half_width), 0.0)
-
-        known: dict = {}
-        out = []
-        for trace, start in zip(traces, offset):
-            key = (len(trace), float(start))
-            if key not in known:
-                if len(known) > 64:
-                    known.clear()
-                known[key] = weights(*key)
-            out.append(known[key] @ np.asarray(trace, float))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(traces: pa.Array, offset: pa.Array) -> pa.Array:
+        starts = offset.to_numpy(zero_copy_only=False)
+        parts = []
+        for rows, block in blocks(traces):
+            n = block.shape[1]
+            for start in np.unique(starts[rows]):
+                p = ((start + np.arange(count) / new_rate) * rate)[:, None] - np.arange(n)[None, :]
+                weights = np.where(np.abs(p) < half_width, np.sinc(p) * np.sinc(p / half_width), 0.0)
+                own = starts[rows] == start
+                parts.append((rows[own], block[own] @ weights.T))
+        return lists_of(len(traces), parts)
 
     return run
 

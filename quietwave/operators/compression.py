@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietwave.functions.batches import on_blocks
+
 from quietwave.session import materialise
 
 MATRIX_BYTES = 128 * 1024 * 1024
@@ -138,11 +141,19 @@ def fisher_matrix(gradients: DataFrame, p: int, prior_variance: list[float] | No
     return out
 
 
+def _bounded_rows(df: DataFrame, limit: int) -> list | None:
+    """Rows in order of i when there are at most `limit`, else None; one bounded job."""
+    rows = df.limit(limit + 1).collect() if limit else []
+    if not rows or len(rows) > limit:
+        return None
+    return sorted(rows, key=lambda r: r["i"])
+
+
 def _small_matrix(gradients: DataFrame, p: int, memory: int) -> tuple | None:
     """(C^-1 G^T, d0) as arrays when p x n fits in `memory`, else None."""
-    if gradients.count() * (p + 1) * 8 > memory:
+    rows = _bounded_rows(_weights(gradients).select("i", "w", "d0"), memory // (8 * (p + 1)))
+    if rows is None:
         return None
-    rows = sorted(_weights(gradients).select("i", "w", "d0").collect(), key=lambda r: r["i"])
     return np.array([r["w"] for r in rows], float), np.array([r["d0"] for r in rows], float)
 
 
@@ -158,11 +169,10 @@ def scores(records: DataFrame, gradients: DataFrame, p: int, x: str = "x", out:
     if small is not None:
         shared = records.sparkSession.sparkContext.broadcast(small)
 
-        @F.pandas_udf("array<double>")
-        def job(traces: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def job(traces: pa.Array) -> pa.Array:
             weights, centre = shared.value
-            block = np.stack([np.asarray(v, float) for v in traces]) if len(traces) else np.empty((0, len(centre)))
-            return pd.Series(list((block - centre) @ weights + prior), dtype=object)
+            return on_blocks(traces, lambda block: (block - centre) @ weights + prior)
 
         return records.withColumn(out, job(F.col(x)))
     keys = keys or [c for c in records.columns if c != x]
@@ -210,14 +220,13 @@ def linear_log_likelihood(df: DataFrame, theta: str, fiducial: list[float], scor
 def synthesize(params: DataFrame, kernels: DataFrame, p: int, theta: str = "theta", out: str = "x", factor: float = 1.0,
                memory: int = MATRIX_BYTES, keys: list[str] | None = None) -> DataFrame:
     """x(i) = factor * sum_a theta_a K_a(i); kernels are rows (i, g array<double>)."""
-    if kernels.count() * p * 8 <= memory:
-        rows = sorted(kernels.select("i", "g").collect(), key=lambda r: r["i"])
+    rows = _bounded_rows(kernels.select("i", "g"), memory // (8 * p))
+    if rows is not None:
         shared = params.sparkSession.sparkContext.broadcast(np.array([r["g"] for r in rows], float).T * factor)
 
-        @F.pandas_udf("array<double>")
-        def job(thetas: pd.Series) -> pd.Series:
-            block = np.stack([np.asarray(v, float) for v in thetas]) if len(thetas) else np.empty((0, p))
-            return pd.Series(list(block @ shared.value), dtype=object)
+        @F.arrow_udf("array<double>")
+        def job(thetas: pa.Array) -> pa.Array:
+            return on_blocks(thetas, lambda block: block @ shared.value)
 
         return params.withColumn(out, job(F.col(theta)))
     keys = keys or [c for c in params.columns if c != theta]

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quietwave.functions.batches import blocks, lists_of
 from quietwave.functions.types import DOUBLES
 from quietwave.operators.ordering import with_totals
 from quietwave.operators.traces import to_array
@@ -125,21 +127,18 @@ def solve_toeplitz(vectors: DataFrame, cov: DataFrame, keys: list[str], x: str =
     return vectors.join(columns, keys).withColumn(out, _solve_columns(F.col("_c"), F.col(x))).drop("_c")
 
 
-@F.pandas_udf(DOUBLES)
-def _solve_columns(columns: pd.Series, traces: pd.Series) -> pd.Series:
-    groups: dict = {}
-    for row, column in enumerate(columns):
-        groups.setdefault(np.asarray(column, float).tobytes(), []).append(row)
-    out: list = [None] * len(traces)
-    for data, rows in groups.items():
-        c = np.frombuffer(data)
-        block = c[np.abs(np.subtract.outer(np.arange(len(c)), np.arange(len(c))))]
-        factor = np.linalg.cholesky(block)
-        rhs = np.stack([np.asarray(traces.iloc[r], float) for r in rows], 1)
-        solved = np.linalg.solve(factor.T, np.linalg.solve(factor, rhs))
-        for r, value in zip(rows, solved.T):
-            out[r] = value
-    return pd.Series(out, dtype=object)
+@F.arrow_udf(DOUBLES)
+def _solve_columns(columns: pa.Array, traces: pa.Array) -> pa.Array:
+    """Factor each distinct column of a batch once, then solve all its traces together."""
+    parts = []
+    for (rows, cols), (_, block) in zip(blocks(columns), blocks(traces)):
+        distinct, member = np.unique(cols, axis=0, return_inverse=True)
+        at = np.abs(np.subtract.outer(np.arange(cols.shape[1]), np.arange(cols.shape[1])))
+        for k, c in enumerate(distinct):
+            own = member == k
+            factor = np.linalg.cholesky(c[at])
+            parts.append((rows[own], np.linalg.solve(factor.T, np.linalg.solve(factor, block[own].T)).T))
+    return lists_of(len(traces), parts)
 
 
 def _collect_blocks(blocks: DataFrame, keys: list[str]) -> dict:

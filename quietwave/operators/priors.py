@@ -7,10 +7,11 @@ from collections.abc import Callable
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietwave.functions.batches import blocks, lists_of
 from quietwave.functions.draws import normal, uniform
 from quietwave.functions.normal import normal_cdf, normal_quantile
 from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked, running
@@ -258,17 +259,13 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
         thick = h * np.exp(smooth_fields(own_h, spacing, length, std_thickness))
         return thick, vp * np.exp(log_change(own_p, std_vp)), vs * np.exp(log_change(own_s, std_vs))
 
-    @F.pandas_udf("thickness array<double>, vp array<double>, vs array<double>")
-    def job(h: pd.Series, vp: pd.Series, vs: pd.Series, w0: pd.Series, w1: pd.Series, w2: pd.Series, w3: pd.Series) -> pd.DataFrame:
-        out: list = [[None] * len(h) for _ in range(3)]
-        lengths = h.map(len).to_numpy()
-        for n in np.unique(lengths):
-            rows = np.nonzero(lengths == n)[0]
-            parts = [np.stack([np.asarray(s.iloc[r], float) for r in rows]) for s in (h, vp, vs, w0, w1, w2, w3)]
-            for column, values in zip(out, block(*parts)):
-                for r, value in zip(rows, values):
-                    column[r] = value
-        return pd.DataFrame(dict(zip(("thickness", "vp", "vs"), out)))
+    @F.arrow_udf("struct<thickness:array<double>,vp:array<double>,vs:array<double>>")
+    def job(h: pa.Array, vp: pa.Array, vs: pa.Array, w0: pa.Array, w1: pa.Array, w2: pa.Array, w3: pa.Array) -> pa.Array:
+        results: list = [[], [], []]
+        for columns in zip(*[blocks(c) for c in (h, vp, vs, w0, w1, w2, w3)]):
+            for out, values in zip(results, block(*[part for _, part in columns])):
+                out.append((columns[0][0], values))
+        return pa.StructArray.from_arrays([lists_of(len(h), parts) for parts in results], ["thickness", "vp", "vs"])
 
     out = spread.withColumn("_m", job("thickness", "vp", "vs", "_w_shared", "_w_p", "_w_s", "_w_h"))
     keep = [c for c in models.columns if c not in ("thickness", "vp", "vs")]

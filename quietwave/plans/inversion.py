@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from quietwave.operators.compression import estimates, fisher_matrix, scores
 from quietwave.operators.pairing import inject_noise
+from quietwave.session import materialise
 
 
 def compress_ensemble(pairs: DataFrame, gradients: DataFrame, theta: list[float]) -> tuple[DataFrame, np.ndarray]:
@@ -16,6 +17,7 @@ def compress_ensemble(pairs: DataFrame, gradients: DataFrame, theta: list[float]
     and the Fisher matrix.
     """
     p = len(theta)
+    gradients = materialise(gradients, "gradients")  # read by the Fisher matrix and the scores
     fisher = fisher_matrix(gradients, p)
     noisy = inject_noise(pairs).drop("x", "noise")
     return estimates(scores(noisy, gradients, p, "y"), fisher, theta).drop("y", "score"), fisher

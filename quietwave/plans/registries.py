@@ -12,6 +12,7 @@ from quietwave.operators import covariance as V
 from quietwave.operators import noise as N
 from quietwave.operators.pairing import pair_with_noise
 from quietwave.operators.priors import gaussian_noise
+from quietwave.session import materialise
 
 
 def _scalar(cov: DataFrame, keys: list[str], n: int, noise_level: float = 1.0, **_) -> DataFrame:
@@ -85,6 +86,7 @@ NOISE_MODELS: dict[str, Callable[..., DataFrame]] = {
 
 def _first_order(records: DataFrame, gradients: DataFrame, theta: list[float], damping: float | None = None, **options) -> DataFrame:
     p = len(theta)
+    gradients = materialise(gradients, "gradients")  # read by the Fisher matrix and the scores
     prior = options.get("prior_variance")
     fisher = C.fisher_matrix(gradients, p, prior)
     term = None

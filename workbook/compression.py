@@ -13,6 +13,7 @@ from quietwave.operators.noise import damped_cosine_columns
 from quietwave.operators.posterior import compression_quality as quality
 from quietwave.plans.inversion import compress_ensemble
 from quietwave.plans.registries import COMPRESSORS
+from quietwave.session import materialise
 from workbook.registry import N, P, R, ctes, gradients, query, rnd, sims, table
 from workbook.traces import _PAIRED, checksum, noise_pairs
 
@@ -254,7 +255,7 @@ def block_covariance_fisher(spark, sf_dir):
 
 @query("block_covariance_compression", ctes("grad") + f", {_BLOCK} SELECT id, a::INTEGER AS a, {R('sum(w * (v - d0))', 3)} AS score FROM sl JOIN ws USING (i) GROUP BY 1, 2")
 def block_covariance_compression(spark, sf_dir):
-    g = block_gradients(spark, sf_dir)
+    g = materialise(block_gradients(spark, sf_dir), "gradients")
     made = COMPRESSORS["optimal_score"](sims(spark, sf_dir).select("id", F.col("d").alias("x")), g, THETA)
     return rows(made.withColumn("back", _back("estimate", C.fisher_matrix(g, P))), "back", "score", 3)
 
