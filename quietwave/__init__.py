@@ -1,3 +1,11 @@
 """quietwave: waveform-ensemble analytics as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel inside the tasks that use them, so executors need
+# NumPy, pandas and Arrow but no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

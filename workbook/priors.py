@@ -142,7 +142,9 @@ def perturbed_layers_independent(spark, sf_dir):
 
 @query("perturbed_layers_smooth")
 def perturbed_layers_smooth(spark, sf_dir):
-    packed = layers(spark, sf_dir).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("layer", "thickness", "vp", "vs"))).alias("l"))
+    # a model is at most 16 layers, so no group is unbounded however the lines fall
+    named = layers(spark, sf_dir).withColumn("model", F.concat_ws("-", "model", F.floor(F.col("layer") / 16)))
+    packed = named.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("layer", "thickness", "vp", "vs"))).alias("l"))
     models = packed.select("model", *[F.col("l")[c].alias(c) for c in ("thickness", "vp", "vs")])
     p = D.perturb_smooth(models, 2, "smooth")
     return p.select("model", "copy", F.size("vp").alias("n"), rnd(checksum("thickness"), 5).alias("thickness"), rnd(checksum("vp"), 5).alias("vp"), rnd(checksum("vs"), 5).alias("vs"), rnd(checksum("rho"), 5).alias("rho"))

@@ -30,7 +30,8 @@ def query(name: str, check: str | None = None):
 
 @lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; footers are read once per session."""
+    """A driver table; footers are read once per session, whose clock is set to UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
