@@ -130,7 +130,10 @@ def _step_states(sections: np.ndarray) -> np.ndarray:
 
 def zero_phase(sections: np.ndarray, x: np.ndarray, pad: int | None = None) -> np.ndarray:
     """Forward and backward pass with odd extension at both ends."""
-    pad = min(3 * (2 * len(sections) + 1) if pad is None else pad, x.shape[1] - 1)
+    if pad is None:
+        order = int(np.sum(1 + ((sections[:, 2] != 0) | (sections[:, 5] != 0))))
+        pad = 3 * (order + 1)
+    pad = min(pad, x.shape[1] - 1)
     left = 2 * x[:, :1] - x[:, pad:0:-1]
     right = 2 * x[:, -1:] - x[:, -2:-pad - 2:-1]
     wide = np.concatenate([left, x, right], axis=1)

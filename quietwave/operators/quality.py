@@ -85,11 +85,14 @@ def select_catalogue(
     far_radius: float = 15, far_magnitude: float = 6.0, near_radius: float = 15, near_magnitude: float = 4,
 ) -> DataFrame:
     """Far strong events and near events of a time range; adds degrees and part (far, near)."""
-    ranged = catalogue.where(F.col("ts").between(t0, t1)).withColumn(
+    strong = F.col("mag") >= min(far_magnitude, near_magnitude)
+    ranged = catalogue.where(F.col("ts").between(t0, t1) & strong).withColumn(
         "degrees", distance_degrees(F.lit(float(lat)), F.lit(float(lon)), F.col("lat"), F.col("lon")))
-    far = ranged.where((F.col("degrees") >= far_radius) & (F.col("mag") >= far_magnitude)).withColumn("part", F.lit("far"))
-    near = ranged.where((F.col("degrees") <= near_radius) & (F.col("mag") >= near_magnitude)).withColumn("part", F.lit("near"))
-    return far.unionByName(near)
+    far = (F.col("degrees") >= far_radius) & (F.col("mag") >= far_magnitude)
+    near = (F.col("degrees") <= near_radius) & (F.col("mag") >= near_magnitude)
+    # an event on both sides of the radius counts in both parts, as in a union; one scan
+    parts = F.array_compact(F.array(F.when(far, F.lit("far")), F.when(near, F.lit("near"))))
+    return ranged.withColumn("part", F.explode(parts))
 
 
 def drop_bad_compressions(df: DataFrame, truth: str, estimate: str, factor: float = 100.0, signed: bool = False) -> DataFrame:

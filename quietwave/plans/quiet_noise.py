@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietwave.operators.intervals import pane_statistics, quiet_regions
+from quietwave.operators.intervals import HOUR, cut_windows, pane_statistics, quiet_regions, sliding_windows
 
 
-def quiet_window_statistics(samples: DataFrame, regions: DataFrame, keys: list[str], length: int, stride: int, buffer: int, pane: int) -> DataFrame:
-    """Count, mean and variance of every window of every trace key (see pane_statistics)."""
-    return pane_statistics(samples, regions, keys, length, stride, buffer, pane)
+def quiet_window_statistics(
+    samples: DataFrame, regions: DataFrame, keys: list[str], length: int, stride: int, buffer: int, pane: int | None,
+) -> DataFrame:
+    """Count, mean and variance of every window of every trace key.
+
+    With a `pane` (dense records: many samples per pane) samples are reduced to panes
+    first; without one (sparse records) each sample joins the windows it falls in.
+    """
+    if pane is not None:
+        return pane_statistics(samples, regions, keys, length, stride, buffer, pane)
+    cut = cut_windows(samples, sliding_windows(regions, length, buffer, stride).select("ws", "we"), HOUR)
+    return cut.groupBy(*keys, "ws", "we").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
 
 
 def station_noise(
-    samples: DataFrame, blackouts: DataFrame, keys: list[str], t0: int, t1: int, length: int, stride: int, buffer: int, pane: int,
+    samples: DataFrame, blackouts: DataFrame, keys: list[str], t0: int, t1: int, length: int, stride: int, buffer: int, pane: int | None,
     least_samples: int = 2, variance_floor: float = 1e-30,
 ) -> DataFrame:
     """Noise level per trace key over all quiet windows that pass the gate."""

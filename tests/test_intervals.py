@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quietwave.operators import intervals as I
+from quietwave.plans.quiet_noise import quiet_window_statistics
 
 
 def frame(spark, rows):
@@ -81,10 +83,10 @@ def test_pane_statistics_equal_the_window_join(spark):
     length, stride, buffer = 29 * minute, 3 * minute, 15 * minute
     got = {(r["station"], r["ws"]): r for r in I.pane_statistics(df, regions, ["station"], length, stride, buffer, minute).collect()}
     windows = I.sliding_windows(regions, length, buffer, stride)
-    from pyspark.sql import functions as F
-
     want = I.cut_windows(df, windows, I.HOUR).groupBy("station", "ws").agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance")).collect()
+    direct = quiet_window_statistics(df, regions, ["station"], length, stride, buffer, None).collect()
+    assert {(r["station"], r["ws"], r["n"]) for r in direct} == {(k[0], k[1], r["n"]) for k, r in got.items()}
     assert len(want) == len(got) > 50
     for w in want:
         g = got[(w["station"], w["ws"])]
