@@ -40,7 +40,7 @@ def minus_scalar(x: str | Column, value: Column) -> Column:
 
 
 def over_scalar(x: str | Column, value: Column) -> Column:
-    return F.zip_with(_c(x), F.array_repeat(value, F.size(_c(x))), lambda a, b: a / b)
+    return F.zip_with(_c(x), F.array_repeat(value, F.size(_c(x))), lambda a, b: F.try_divide(a, b))
 
 
 def centred(x: str | Column) -> Column:

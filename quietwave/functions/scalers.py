@@ -18,7 +18,7 @@ def from_unit(u: Column, lo: Column, hi: Column) -> Column:
 def signed_log(x: Column, lo: Column, hi: Column) -> Column:
     """Sign-preserving log10 scale of |x| in [lo, hi], mapped to [0, 1] around 0.5."""
     size = F.log10(F.greatest(lo, F.least(hi, F.abs(x))))
-    return F.signum(x) * (size - F.log10(lo)) / (F.log10(hi) - F.log10(lo)) * 0.5 + 0.5
+    return F.try_divide(F.signum(x) * (size - F.log10(lo)), F.log10(hi) - F.log10(lo)) * 0.5 + 0.5
 
 
 def signed_log_inverse(u: Column, lo: Column, hi: Column) -> Column:
@@ -30,7 +30,7 @@ def signed_log_inverse(u: Column, lo: Column, hi: Column) -> Column:
 def linear_log(x: Column, lo: Column, hi: Column, linear: float = 0.05) -> Column:
     """Linear up to `lo`, log10 from `lo` to `hi`; the scale restarts at 0 where the log part begins."""
     size = F.least(hi, F.abs(x))
-    log_part = F.lit(0.5 - linear) * (F.log10(F.greatest(size, lo)) - F.log10(lo)) / (F.log10(hi) - F.log10(lo))
+    log_part = F.try_divide(F.lit(0.5 - linear) * (F.log10(F.greatest(size, lo)) - F.log10(lo)), F.log10(hi) - F.log10(lo))
     return F.signum(x) * F.when(size <= lo, size / lo * F.lit(linear)).otherwise(log_part) + 0.5
 
 

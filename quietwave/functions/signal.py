@@ -154,20 +154,48 @@ def bandpass(low: float, high: float, rate: float, corners: int = 4, zerophase:
     return _array_job(job)
 
 
-def decimate(factor: int, rate: float):
-    """Integer decimation, at most 10 per step, each after a zero-phase low-pass."""
+def hann_taper(n: int, share: float = 0.5) -> np.ndarray:
+    """Hann ramps over int(share*n) samples at each end, at most half the trace, ones between."""
+    width = min(int(share * n), n // 2)
+    sides = np.hanning(2 * width if 2 * width == n else 2 * width + 1)
+    return np.concatenate([sides[:width], np.ones(n - 2 * width), sides[len(sides) - width:]])
+
+
+def _lanczos_weights(n: int, positions: np.ndarray, half_width: int) -> np.ndarray:
+    p = positions[:, None] - np.arange(n)[None, :]
+    return np.where(np.abs(p) < half_width, np.sinc(p) * np.sinc(p / half_width), 0.0)
+
+
+def resample_in_steps(interval: float, rate: float, method: str = "decimate", half_width: int = 20):
+    """New sampling interval in seconds, by at most 10 per step, each after a zero-phase low-pass.
+
+    `decimate` takes whole factors and keeps every k-th sample; `lanczos` takes any
+    factor, tapers the trace and interpolates it.
+    """
     def job(x: np.ndarray) -> np.ndarray:
-        left, fs = factor, rate
-        while left > 1:
-            step = min(left, 10)
-            sections = chebyshev2_lowpass(fs / 2 / step, fs)
-            x = zero_phase(sections, x)[:, ::step]
-            left, fs = left // step, fs / step
-        return x
+        fs = rate
+        while True:
+            exact = interval * fs
+            factor = min(int(exact + 1e-9) if method == "decimate" else exact, 10)
+            if factor <= 1 + 1e-9:
+                return x
+            x = zero_phase(chebyshev2_lowpass(fs / 2 / factor, fs), x)
+            if method == "decimate":
+                x = x[:, ::factor]
+            else:
+                n = x.shape[1]
+                positions = np.arange(int((n - 1) / factor + 1e-9) + 1) * factor
+                x = (x * hann_taper(n)) @ _lanczos_weights(n, positions, half_width).T
+            fs = fs / factor
 
     return _array_job(job)
 
 
+def decimate(factor: int, rate: float):
+    """Integer decimation in steps."""
+    return resample_in_steps(factor / rate, rate)
+
+
 def fourier_resample(rate: float, new_rate: float, window: bool = True):
     """Change the sampling rate through the spectrum, optionally Hann-weighted."""
     def job(x: np.ndarray) -> np.ndarray:
@@ -196,8 +224,7 @@ def lanczos(rate: float, new_rate: float, count: int, half_width: int = 20):
         for rows, block in blocks(traces):
             n = block.shape[1]
             for start in np.unique(starts[rows]):
-                p = ((start + np.arange(count) / new_rate) * rate)[:, None] - np.arange(n)[None, :]
-                weights = np.where(np.abs(p) < half_width, np.sinc(p) * np.sinc(p / half_width), 0.0)
+                weights = _lanczos_weights(n, (start + np.arange(count) / new_rate) * rate, half_width)
                 own = starts[rows] == start
                 parts.append((rows[own], block[own] @ weights.T))
         return lists_of(len(traces), parts)

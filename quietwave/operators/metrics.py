@@ -18,7 +18,7 @@ TINY = 1e-12
 
 def mse(x: str = "x", obs: str = "obs") -> Column:
     diff = A.subtract(x, obs)
-    return A.power(diff) / F.size(x)
+    return F.try_divide(A.power(diff), F.size(x).cast("double"))
 
 
 def power_misfit(x: str = "x", obs: str = "obs") -> Column:

@@ -99,7 +99,7 @@ def rescale_traces(traces: DataFrame, noise_variance: DataFrame, event_variance:
     ratio = noise_variance.select(*keys, F.col("variance").alias("_nv")).join(
         event_variance.select(*keys, F.col("variance").alias("_ev")), keys)
     return traces.join(ratio, keys).withColumn(
-        x, F.transform(x, lambda v: v / F.sqrt(F.try_divide(F.col("_nv"), F.col("_ev"))))).drop("_nv", "_ev")
+        x, F.transform(x, lambda v: F.try_divide(v, F.sqrt(F.try_divide(F.col("_nv"), F.col("_ev")))))).drop("_nv", "_ev")
 
 
 def rescale_columns(cov: DataFrame, targets: DataFrame, keys: list[str], k: str = "k", c: str = "c") -> DataFrame:

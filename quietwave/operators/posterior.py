@@ -132,7 +132,7 @@ def credibility_ranks(coverage: DataFrame, boot: str = "boot", level: str = "lev
     packed = means.agg(F.array_sort(F.collect_list(F.struct(level, "_m"))).alias("_a")).select(
         F.transform("_a", lambda s: s[level]).alias("_levels"), F.transform("_a", lambda s: s["_m"]).alias("_v"))
     smooth = packed.select("_levels", smooth_reflected(F.col("_v"), sigma).alias("_h"))
-    mean = F.aggregate("_h", F.lit(0.0), lambda a, v: a + v) / F.size("_h")
+    mean = F.try_divide(F.aggregate("_h", F.lit(0.0), lambda a, v: a + v), F.size("_h").cast("double"))
     ranks = smooth.withColumn("_mean", mean).select(F.inline(F.arrays_zip("_levels", "_h")), "_mean").select(
         F.col("_levels").alias(level), F.try_divide("_h", "_mean").alias("rank"))
     lo, hi = (float(q) for q in band)

@@ -67,7 +67,7 @@ def flatten_record(traces: DataFrame, record: list[str], order: str, length: int
     With `factor` each trace is divided by its square root.  A record holds one row per
     station component, so its size is bounded by the network.
     """
-    value = F.col(x) if factor is None else F.transform(x, lambda v: v / F.sqrt(F.col(factor)))
+    value = F.col(x) if factor is None else F.transform(x, lambda v: F.try_divide(v, F.sqrt(F.col(factor))))
     packed = traces.groupBy(*record).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("x")))).alias("_t"))
     common = F.size(F.col("_t")[0]["x"])
@@ -120,4 +120,4 @@ def normalise_by_observation(traces: DataFrame, observed: DataFrame, groups: lis
 def offset_scale(traces: DataFrame, groups: list[str], x: str = "x") -> DataFrame:
     """Ten times the mean absolute sample per group."""
     sums = F.aggregate(F.col(x), F.lit(0.0), lambda a, v: a + F.abs(v))
-    return traces.groupBy(*groups).agg((F.sum(sums) / F.sum(F.size(x)) * 10).alias("offset_scale"))
+    return traces.groupBy(*groups).agg((F.try_divide(F.sum(sums), F.sum(F.size(x)).cast("double")) * 10).alias("offset_scale"))

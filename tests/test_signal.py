@@ -85,6 +85,17 @@ def test_array_functions_in_spark(spark):
     assert np.allclose(out[2]["d"], 1.0, atol=1e-6)
 
 
+def test_resampling_in_steps_by_interpolation(spark):
+    n = 3000
+    tone = np.sin(2 * np.pi * 0.01 * np.arange(n))
+    df = spark.createDataFrame([([float(v) for v in tone],)], "x array<double>")
+    row = df.select(G.resample_in_steps(2.5, 1.0, "lanczos")("x").alias("y"), G.resample_in_steps(20.0, 1.0)("x").alias("d")).first()
+    at = np.arange(1200) * 2.5
+    taper = np.interp(at, np.arange(n), G.hann_taper(n))
+    assert len(row["y"]) == 1200 and np.abs(np.array(row["y"]) - np.sin(2 * np.pi * 0.01 * at) * taper)[100:-100].max() < 1e-2
+    assert len(row["d"]) == 150 and np.abs(np.array(row["d"]) - tone[::20])[10:-10].max() < 2e-2
+
+
 def test_smooth_field_equals_direct_reflected_convolution():
     rng = np.random.default_rng(3)
     white, spacing = rng.normal(size=(4, 6)), np.array([0.7, 2.0, 5.0, 40.0])
