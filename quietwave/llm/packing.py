@@ -39,32 +39,44 @@ def plain_pattern() -> re.Pattern:
     return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+")
 
 
+def byte_signs() -> list[str]:
+    """The sign that stands for each byte in the vocabulary: printable Latin-1 as it is, others from 256 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(i if i in printable else next(others)) for i in range(256)]
+
+
+class WordCache(dict):
+    """Little-endian 32-bit ids of words; a word is encoded when it is first met."""
+
+    def __init__(self, model, most: int):
+        super().__init__()
+        self.model, self.most, self.signs = model, most, byte_signs()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        shown = "".join(map(self.signs.__getitem__, word.encode()))
+        self[word] = ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        return ids
+
+
 class WordIds:
     """Ids of texts under the lower-casing word vocabulary, as little-endian 32-bit bytes; each distinct word is encoded once."""
 
     def __init__(self, path: str, words: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.own, self.words = Tokenizer.from_file(path), words
-        self.cache: dict[str, bytes] = {}
+        self.own = Tokenizer.from_file(path)
+        self.cache = WordCache(self.own.model, words)
         self.pattern, self.other = plain_pattern(), re.compile(f"[^\x00-{chr(PLAIN_LIMIT - 1)}]")
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if self.other.search(text) or SPECIAL[0] in text or SPECIAL[1] in text:
-                yield self.encode(text)
-                continue
-            split = self.pattern.findall(text.lower())
-            if missing := [w for w in set(split) if w not in self.cache]:
-                if len(self.cache) > self.words:
-                    self.cache.clear()
-                    missing = list(set(split))
-                for word, found in zip(missing, self.own.encode_batch(missing, add_special_tokens=False), strict=True):
-                    self.cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-            yield b"".join(map(self.cache.__getitem__, split))
+                yield np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                yield b"".join(map(self.cache.__getitem__, self.pattern.findall(text.lower())))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
