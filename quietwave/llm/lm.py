@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quietwave.llm.common import Work, text_bytes
 
-CHUNK, RANGE = 16 << 20, 32 << 20
+CHUNK, RANGE = 8 << 20, 16 << 20
 BINS, ZERO = 16, -(1 << 20)
 END, START = 0, 1
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -268,7 +268,7 @@ def score(docs: DataFrame, learn: Column, held: Column, key: str = "doc_id", tex
     found = work.save(answers(requests(rows, ranges), partitions), "answers")
     totals = found.where("chunk IS NULL AND kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct_kept", "distinct_all", "sum_kept", "sum_all")]).first()
     replies = found.where("chunk IS NOT NULL").select("kind", "range", "chunk", "size", "crc", "kept", "held")
-    per_chunk = max(4, -(-size // (2 * CHUNK)))
+    per_chunk = max(4, -(-size // CHUNK))
 
     # the weights: held-out tokens look up their own places among the answers
     def held_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
