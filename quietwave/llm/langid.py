@@ -27,6 +27,7 @@ from quietwave.llm.common import text_bytes
 
 UND = "und"
 GRAMS = (1, 2, 3)
+FEW_LABELS = 10_000
 
 
 def folded_bytes() -> np.ndarray:
@@ -81,12 +82,21 @@ def presence(codes: list[np.ndarray], lookup: np.ndarray, width: int) -> tuple[n
 
 
 def sample_rows(docs: DataFrame, text: str, label: str, learn: Column, sample: int) -> DataFrame:
-    """At most `sample` labelled rows: smallest (hash as a share of 1) x (rows of its label)."""
+    """At most `sample` labelled texts: smallest (hash as a share of 1) x (rows of its label).
+
+    The expected number of texts below a threshold is known from the counts, so about twice the sample
+    is left to be sorted, whatever the table's size; equal texts count once.
+    """
     rows = docs.where(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.count("*").alias("labels")).first()["labels"]
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    keyed = rows.select("label", share.alias("share"), "text")
-    return keyed.join(sizes, "label").orderBy(F.col("share") * F.col("n"), "label", "share").limit(sample).select("label", "text")
+    rank = F.col("share") * F.col("n")
+    # one row for each label: its number is checked before it is broadcast
+    sizes = F.broadcast(sizes) if total <= FEW_LABELS else sizes
+    near = rows.select("label", share.alias("share"), "text").join(sizes, "label").where(rank <= 2.0 * sample / max(1, total))
+    once = near.groupBy("label", "share").agg(F.min("n").alias("n"), F.min("text").alias("text"))
+    return once.orderBy(rank, "label", "share").limit(sample).select("label", "text")
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang", sample: int = 1200, landmarks: int = 160,
