@@ -16,7 +16,7 @@ Texts are known by their MD5, positions are bytes. Groups are cut at `most` cont
 windows of a hot anchor are counted by hash in a plain distributed aggregate, to the same result. Equal
 contexts and equal texts are aggregated before they meet.
 
-Defined results: a null text is empty; texts shorter than `length` lose nothing; equal texts of
+Defined results: a null text is empty, and the text left of it is null; texts shorter than `length` lose nothing; equal texts of
 `length` bytes or more lose everything, wherever they stand; null ids are kept; an empty table gives no
 rows; other columns pass through `mark_texts`.
 """
@@ -267,8 +267,10 @@ def find_spans(docs: DataFrame, work: Work, text: str = "text", length: int = LE
     texts = with_id(docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= length), "text")
     every = work.save(find_anchors(texts, length), "anchors")
     repeated = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    kept = work.save(every.join(repeated.select("anchor", (F.col("low") == F.col("high")).alias("single")), "anchor"), "repeated")
-    work.drop("anchors")
+    # written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor
+    repeated = work.save(repeated.select("anchor", (F.col("low") == F.col("high")).alias("single")), "hits")
+    kept = work.save(every.join(repeated, "anchor"), "repeated")
+    work.drop("anchors", "hits")
     open_ends = kept.where(~F.col("single"))
     groups = work.save(open_ends.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("text_id", "at", "before", "behind")).alias("one")), "groups")
@@ -302,25 +304,28 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-MARKED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+MARKED = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))
 
 
-def mark_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, keep: list[str] | None = None, kept_text: bool = True) -> DataFrame:
+def mark_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, keep: list[str] | None = None, kept_text: bool = True, prefix: str = "") -> DataFrame:
     """The columns `keep` of every row with what was removed: bytes, maximal spans, digest and the text that is left.
 
-    The text that is left drops the parts of signs that a cut leaves behind.
+    The text that is left drops the parts of signs that a cut leaves behind. The added columns take the
+    place of kept ones of the same name.
     """
     work = Work(docs.sparkSession, "suffix")
     spans = find_spans(docs, work, text, length)
-    added = T._parse_datatype_string(MARKED).fields[:5 if kept_text else 4]
+    added = [T.StructField(prefix + name, kind) for name, kind in MARKED][:5 if kept_text else 4]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in added}]
-    named = with_id(docs.select(*keep, F.col(text).alias("_text")), "_text")
-    joined = named.join(spans, "text_id", "left").select(*keep, "_text", "spans")
+    # the row travels as one column, so its names cannot meet those used here
+    named = with_id(docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text")), "text")
+    joined = named.join(spans, "text_id", "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][:len(added)]
         for batch in batches:
-            data, offsets = text_bytes(batch.column("_text"))
+            data, offsets = text_bytes(batch.column("text"))
+            present = batch.column("text").is_valid().to_pylist()
             lists = batch.column("spans")
             ends = lists.flatten()
             firsts, lasts = (ends.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("s", "e"))
@@ -329,23 +334,20 @@ def mark_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, keep:
             for i in range(batch.num_rows):
                 raw = data[offsets[i]:offsets[i + 1]].tobytes()
                 cuts = merged(list(zip(firsts[bounds[i]:bounds[i + 1]], lasts[bounds[i]:bounds[i + 1]], strict=True)))
-                if cuts:
-                    edges = [0, *(x for cut in cuts for x in cut), len(raw)]
-                    left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                else:
-                    left = raw
-                rows.append((len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if kept_text else None)[:len(added)])
+                edges = [0, *(x for cut in cuts for x in cut), len(raw)]
+                left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cuts else raw
+                rows.append((len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if present[i] else None)[:len(added)])
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(added)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=[*keep, *(f.name for f in added)])
+            yield pa.RecordBatch.from_arrays([*batch.column("row").flatten(), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=[*keep, *(f.name for f in added)])
 
     return joined.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + added))
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """Documents with the repeated bytes taken out of the text, n_chars adjusted; those with nothing left go."""
-    marked = mark_texts(docs, text, length, keep=docs.columns)
-    out = marked.where((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
-    new = {text: F.when(F.col(text).isNull(), None).otherwise(F.col("kept_text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    marked = mark_texts(docs, text, length, keep=[c for c in docs.columns if c != text], prefix="__")
+    out = marked.where((F.col("__n_removed") == 0) | (F.length("__kept_text") > 0))
+    new = {text: F.col("__kept_text")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        new["n_chars"] = F.when(F.col("__n_removed") > 0, F.length("__kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(new).select(*docs.columns)
