@@ -155,7 +155,7 @@ def media_features(df: DataFrame, media: str = "media", side: int = 16, keep: li
         own = [len(raw), hashlib.sha256(raw).hexdigest()]
         try:
             samples = decode(raw)
-        except (ValueError, AttributeError, IndexError, KeyError):
+        except (ValueError, TypeError, IndexError):
             return (None, None, None, *own, None, None)
         payload = samples.tobytes()
         shades = grey(samples)

@@ -205,6 +205,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     groups = near_duplicates(docs, key, text, size, distance).select(F.col(key).alias("_key"), F.col("component_id"))
     kept = groups.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count("*").alias("_n"))
     rows = docs.join(kept, docs[key] == kept["_key"])
-    single = rows.where("_n = 1").select(*docs.columns)
-    first = rows.where("_n > 1").select(*docs.columns).dropDuplicates([key])
+    own = [docs[c] for c in docs.columns]
+    single = rows.where(kept["_n"] == 1).select(*own)
+    first = rows.where(kept["_n"] > 1).select(*own).dropDuplicates([key])
     return single.unionByName(first).unionByName(docs.where(F.col(key).isNull()))
