@@ -80,34 +80,11 @@ def butterworth_bandpass(low: float, high: float, rate: float, corners: int = 4)
     return _bilinear_sections(np.zeros(corners), np.concatenate([half + root, half - root]), width**corners, rate)
 
 
-def chebyshev2_lowpass(stop: float, rate: float, ripple: float = 1.0, attenuation: float = 96.0,
-                       largest_order: int = 12) -> np.ndarray:
-    """Sections of a Chebyshev II low-pass: the pass band shrinks until the order is small enough."""
-    ws = stop / (rate / 2)
-    wp, order = ws, np.inf
-    ratio = np.arccosh(np.sqrt((10 ** (0.1 * attenuation) - 1) / (10 ** (0.1 * ripple) - 1)))
-    while order > largest_order:
-        wp *= 0.99
-        passing, stopping = np.tan(np.pi * wp / 2), np.tan(np.pi * min(ws, 1 - 1e-9) / 2)
-        order = int(np.ceil(ratio / np.arccosh(stopping / passing)))
-    edge = 2 / np.pi * np.arctan(passing * np.cosh(ratio / order))
-    m = np.arange(-order + 1, order, 2)
-    mu = np.arcsinh(np.sqrt(10 ** (0.1 * attenuation) - 1)) / order
-    zeros = -np.conj(1j / np.sin(m[m != 0] * np.pi / (2 * order)))
-    angle = -np.exp(1j * np.pi * m / (2 * order))
-    poles = 1 / (np.sinh(mu) * angle.real + 1j * np.cosh(mu) * angle.imag)
-    gain = np.real(np.prod(-poles) / np.prod(-zeros))
-    warped = 4 * np.tan(np.pi * edge / 2)  # prototype at 2 samples per unit of time
-    gain *= warped ** (len(poles) - len(zeros))
-    return _bilinear_sections(zeros * warped, poles * warped, gain, 2.0)
-
-
-def run_sections(sections: np.ndarray, x: np.ndarray, states: np.ndarray | None = None) -> np.ndarray:
+def run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Causal cascade on all rows at once (transposed direct form II)."""
     y = x.T.copy()
-    for s, (b0, b1, b2, a0, a1, a2) in enumerate(sections):
-        z1 = np.zeros(y.shape[1]) if states is None else states[s, 0] * x[:, 0]
-        z2 = np.zeros(y.shape[1]) if states is None else states[s, 1] * x[:, 0]
+    for b0, b1, b2, a0, a1, a2 in sections:
+        z1, z2 = np.zeros(y.shape[1]), np.zeros(y.shape[1])
         for t in range(y.shape[0]):
             value = y[t]
             out = (b0 / a0) * value + z1
@@ -117,32 +94,6 @@ def run_sections(sections: np.ndarray, x: np.ndarray, states: np.ndarray | None
     return y.T
 
 
-def _step_states(sections: np.ndarray) -> np.ndarray:
-    """Section states of a constant input of 1."""
-    states, level = np.zeros((len(sections), 2)), 1.0
-    for s, (b0, b1, b2, a0, a1, a2) in enumerate(sections):
-        out = level * (b0 + b1 + b2) / (a0 + a1 + a2)
-        states[s, 1] = (b2 * level - a2 * out) / a0
-        states[s, 0] = (b1 * level - a1 * out) / a0 + states[s, 1]
-        level = out
-    return states
-
-
-def zero_phase(sections: np.ndarray, x: np.ndarray, pad: int | None = None) -> np.ndarray:
-    """Forward and backward pass with odd extension at both ends."""
-    if pad is None:
-        order = int(np.sum(1 + ((sections[:, 2] != 0) | (sections[:, 5] != 0))))
-        pad = 3 * (order + 1)
-    pad = min(pad, x.shape[1] - 1)
-    left = 2 * x[:, :1] - x[:, pad:0:-1]
-    right = 2 * x[:, -1:] - x[:, -2:-pad - 2:-1]
-    wide = np.concatenate([left, x, right], axis=1)
-    states = _step_states(sections)
-    forward = run_sections(sections, wide, states)
-    back = run_sections(sections, forward[:, ::-1], states)[:, ::-1]
-    return back[:, pad:pad + x.shape[1]]
-
-
 def bandpass(low: float, high: float, rate: float, corners: int = 4, zerophase: bool = False):
     """Butterworth band-pass, causal, or forward and backward when `zerophase`."""
     sections = butterworth_bandpass(low, high, rate, corners)
@@ -154,48 +105,11 @@ def bandpass(low: float, high: float, rate: float, corners: int = 4, zerophase:
     return _array_job(job)
 
 
-def hann_taper(n: int, share: float = 0.5) -> np.ndarray:
-    """Hann ramps over int(share*n) samples at each end, at most half the trace, ones between."""
-    width = min(int(share * n), n // 2)
-    sides = np.hanning(2 * width if 2 * width == n else 2 * width + 1)
-    return np.concatenate([sides[:width], np.ones(n - 2 * width), sides[len(sides) - width:]])
-
-
 def _lanczos_weights(n: int, positions: np.ndarray, half_width: int) -> np.ndarray:
     p = positions[:, None] - np.arange(n)[None, :]
     return np.where(np.abs(p) < half_width, np.sinc(p) * np.sinc(p / half_width), 0.0)
 
 
-def resample_in_steps(interval: float, rate: float, method: str = "decimate", half_width: int = 20):
-    """New sampling interval in seconds, by at most 10 per step, each after a zero-phase low-pass.
-
-    `decimate` takes whole factors and keeps every k-th sample; `lanczos` takes any
-    factor, tapers the trace and interpolates it.
-    """
-    def job(x: np.ndarray) -> np.ndarray:
-        fs = rate
-        while True:
-            exact = interval * fs
-            factor = min(int(exact + 1e-9) if method == "decimate" else exact, 10)
-            if factor <= 1 + 1e-9:
-                return x
-            x = zero_phase(chebyshev2_lowpass(fs / 2 / factor, fs), x)
-            if method == "decimate":
-                x = x[:, ::factor]
-            else:
-                n = x.shape[1]
-                positions = np.arange(int((n - 1) / factor + 1e-9) + 1) * factor
-                x = (x * hann_taper(n)) @ _lanczos_weights(n, positions, half_width).T
-            fs = fs / factor
-
-    return _array_job(job)
-
-
-def decimate(factor: int, rate: float):
-    """Integer decimation in steps."""
-    return resample_in_steps(factor / rate, rate)
-
-
 def fourier_resample(rate: float, new_rate: float, window: bool = True):
     """Change the sampling rate through the spectrum, optionally Hann-weighted."""
     def job(x: np.ndarray) -> np.ndarray:

@@ -50,6 +50,11 @@ def add_covariances(theory: DataFrame, data: DataFrame, keys: list[str], diagona
         *keys, "t", F.transform(total, lambda v, u: F.when(u == F.col("t"), v + lift).otherwise(v)).alias("row"))
 
 
+def _key(key: tuple) -> tuple:
+    """A pandas group key with None for every kind of null."""
+    return tuple(None if pd.isna(k) else k for k in key)
+
+
 def gram_rows(vectors: DataFrame, keys: list[str], x: str = "x", memory: int = BLOCK_BYTES) -> DataFrame:
     """Sum over rows of x_t x_u per `keys`, as rows (keys, t, row, n).
 
@@ -69,7 +74,8 @@ def gram_rows(vectors: DataFrame, keys: list[str], x: str = "x", memory: int = B
             sums.clear()
 
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
+            for key, part in batch.groupby(keys, sort=False, dropna=False):
+                key = _key(key)
                 block = np.stack([np.asarray(v, float) for v in part[x]])
                 matrix, count = sums.get(key, (0.0, 0))
                 sums[key] = (matrix + block.T @ block, count + len(block))
@@ -154,6 +160,8 @@ def apply_blocks(vectors: DataFrame, blocks: DataFrame, keys: list[str], mode: s
 
     Blocks up to `memory` bytes in all are broadcast as Cholesky factors.  Larger sets
     are co-grouped with salted vectors, so a key with most of the vectors is split.
+    Both ways keep every vector; one whose key has no block gets a null result, and a null
+    key is a key like any other.
     """
     spark = vectors.sparkSession
 
@@ -170,27 +178,28 @@ def apply_blocks(vectors: DataFrame, blocks: DataFrame, keys: list[str], mode: s
         def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 result: dict = {}
-                for key, part in batch.groupby(keys, sort=False):
-                    factor = shared.value.get(key)
+                for key, part in batch.groupby(keys, sort=False, dropna=False):
+                    factor = shared.value.get(_key(key))
                     if factor is None:
                         continue
                     rhs = np.stack([np.asarray(v, float) for v in part[x]], 1)
                     result.update(zip(part.index, use(factor, rhs).T))
-                kept = batch.loc[list(result)]
-                yield kept.assign(**{out: list(result.values())})
+                yield batch.assign(**{out: [result.get(i) for i in batch.index]})
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
         return vectors.mapInPandas(job, f"{fields}, `{out}` array<double>")
 
     top = vectors.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     salts = int(-(-top // rows_per_task))
-    salted = vectors.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in vectors.columns if c != x]), F.lit(salts)))
+    salted = vectors.withColumn("_salt", F.pmod(F.xxhash64(*vectors.columns), F.lit(salts)))
     copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     names = [f.name for f in vectors.schema.fields]
 
     def solve(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or block.empty:
-            return pd.DataFrame({**{n: rows[n].iloc[:0] for n in names}, out: []})
+        if rows.empty:
+            return pd.DataFrame()
+        if block.empty:
+            return rows[names].assign(**{out: [None] * len(rows)})
         factor = np.linalg.cholesky(np.stack(list(block.sort_values("t")["row"])))
         rhs = np.stack([np.asarray(v, float) for v in rows[x]], 1)
         return rows[names].assign(**{out: list(use(factor, rhs).T)})

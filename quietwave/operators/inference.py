@@ -82,5 +82,8 @@ def nearest_draws(prior: DataFrame, observed: DataFrame, row_id: str, event: str
         if rows:
             part = _nearest_block(prior, [(r[event], r[stats]) for r in rows], event_type, row_id, stats, k)
             parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        id_type = prior.schema[row_id].dataType.simpleString()
+        parts = prior.sparkSession.createDataFrame([], f"event {event_type}, `{row_id}` {id_type}, distance double")
     order = Window.partitionBy("event").orderBy("distance", row_id)
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

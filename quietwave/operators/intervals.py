@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietwave.operators.ordering import ROWS_PER_CHUNK, order_cuts, running
+from quietwave.operators.ordering import ROWS_PER_CHUNK, join_same, order_cuts, running
 from quietwave.session import materialise
 
 SECOND = 1_000_000
@@ -29,11 +29,14 @@ def as_timestamp(column: str | Column) -> Column:
 def blackout_per_event(
     pairs: DataFrame, event: list[str], origin: str, first: str, last: str
 ) -> DataFrame:
-    """One interval per event: origin + earliest first arrival to origin + latest last arrival."""
+    """One interval per event: origin + earliest first arrival to origin + latest last arrival.
+
+    Pairs without an arrival are skipped; an event with none at all has no interval.
+    """
     return pairs.groupBy(*event).agg(
         (F.min(F.col(origin)) + F.min(F.round(F.col(first) * SECOND).cast("long"))).alias("s"),
         (F.min(F.col(origin)) + F.max(F.round(F.col(last) * SECOND).cast("long"))).alias("e"),
-    )
+    ).where(F.col("s").isNotNull() & F.col("e").isNotNull())
 
 
 def _swept(intervals: DataFrame, rows_per_chunk: int) -> tuple[DataFrame, list[tuple]]:
@@ -194,9 +197,11 @@ def pane_statistics(
     panes = placed.groupBy(*keys, "s", "e", F.floor(F.col("_off") / pane).alias("_pane")).agg(
         F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"),
         F.count(F.when(edge, F.col(value))).alias("_n0"),
-        F.sum(F.when(edge, F.col(value))).alias("_s0"),
-        F.sum(F.when(edge, F.col(value) * F.col(value))).alias("_q0"),
+        F.avg(F.when(edge, F.col(value))).alias("_m0"), F.var_pop(F.when(edge, F.col(value))).alias("_v0"),
     )
+    # sums are taken about the least pane mean of the region, so an offset does not cancel the spread
+    own = [*keys, "s", "e"]
+    panes = join_same(panes, panes.groupBy(*own).agg(F.min("_m").alias("_c")), own)
     per, step = length // pane, stride // pane
     last = F.ceil((F.col("e") - F.lit(2 * buffer) - F.col("s") - F.lit(length)) / F.lit(float(stride))) - 1
     low = F.greatest(F.lit(0), F.ceil((F.col("_pane") - per) / F.lit(float(step))))
@@ -206,13 +211,15 @@ def pane_statistics(
     parts = spread.select(
         *keys,
         (F.col("s") + F.lit(buffer) + F.col("_k") * F.lit(stride)).alias("ws"),
+        "_c",
         F.when(at_end, F.col("_n0")).otherwise(F.col("_n")).alias("n"),
-        F.when(at_end, F.col("_s0")).otherwise(F.col("_n") * F.col("_m")).alias("t"),
-        F.when(at_end, F.col("_q0"))
-        .otherwise(F.col("_n") * (F.col("_v") + F.col("_m") * F.col("_m"))).alias("q"),
+        (F.when(at_end, F.col("_m0")).otherwise(F.col("_m")) - F.col("_c")).alias("_d"),
+        F.when(at_end, F.col("_v0")).otherwise(F.col("_v")).alias("_v"),
     )
-    sums = parts.groupBy(*keys, "ws").agg(F.sum("n").alias("n"), F.sum("t").alias("_t"), F.sum("q").alias("_q"))
-    sums = sums.where("n > 0").withColumn("mean", F.col("_t") / F.col("n"))
-    return sums.withColumn("we", F.col("ws") + F.lit(length)).withColumn(
-        "variance", F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - F.col("mean") * F.col("mean"))
-    ).drop("_t", "_q")
+    sums = parts.groupBy(*keys, "ws", "_c").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_d")).alias("_t"),
+        F.sum(F.col("n") * (F.col("_v") + F.col("_d") * F.col("_d"))).alias("_q"))
+    shift = F.col("_t") / F.col("n")
+    return sums.where("n > 0").select(
+        *keys, "ws", "n", (F.col("_c") + shift).alias("mean"), (F.col("ws") + F.lit(length)).alias("we"),
+        F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - shift * shift).alias("variance"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quietwave.functions.arrays import variance
 from quietwave.functions.draws import normal, uniform
 from quietwave.functions.signal import autocovariance
+from quietwave.operators.ordering import join_same
 
 
 def trace_variance(x: str) -> Column:
@@ -45,14 +46,19 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def merge_moments(states: DataFrame, keys: list[str]) -> DataFrame:
-    """Combine states exactly: any split of the data gives the same result."""
-    total = states.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("_t"),
-        F.sum("m2").alias("_within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_q"))
-    mean = F.col("_t") / F.col("n")
+    """Combine states: any split of the data gives the same result.
+
+    Means are taken about the least mean of each key, so an offset does not cancel the spread.
+    """
+    least = states.groupBy(*keys).agg(F.min("mean").alias("_c"))
+    off = F.col("mean") - F.col("_c")
+    total = join_same(states, least, keys).groupBy(*keys, "_c").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * off).alias("_t"),
+        F.sum("m2").alias("_within"), F.sum(F.col("n") * off * off).alias("_q"))
+    shift = F.col("_t") / F.col("n")
     return total.select(
-        *keys, "n", mean.alias("mean"),
-        F.greatest(F.lit(0.0), F.col("_within") + F.col("_q") - F.col("n") * mean * mean).alias("m2"),
+        *keys, "n", (F.col("_c") + shift).alias("mean"),
+        F.greatest(F.lit(0.0), F.col("_within") + F.col("_q") - F.col("n") * shift * shift).alias("m2"),
     ).withColumn("sd", F.sqrt(F.col("m2") / F.col("n")))
 
 

@@ -19,6 +19,15 @@ CUT_SAMPLE = 4096
 TREE_CUTS = 64
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, nulls equal to each other; the keys stand once. Without keys, `right` is one row."""
+    if not keys:
+        return left.crossJoin(right)
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return left.join(named, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def order_cuts(df: DataFrame, keys: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> list[tuple]:
     """Sorted key tuples at which to cut the order; empty when one chunk is enough.
 

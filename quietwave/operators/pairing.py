@@ -32,7 +32,8 @@ def arrivals(pairs: DataFrame, table: DataFrame, distance: str, step: float, by:
     """Add first and last arrival (seconds), linear between the distance bins of `table`.
 
     `table` has columns distance, first, last and optional `by` columns (depth bin);
-    its distances lie on a regular grid of `step` degrees.  Pairs beyond it drop out.
+    its distances lie on a regular grid of `step` degrees.  Pairs beyond it keep null arrivals,
+    which later minima and maxima skip.
     """
     by = by or []
     order = Window.partitionBy(*by).orderBy("distance") if by else Window.partitionBy(F.lit(0)).orderBy("distance")
@@ -45,7 +46,7 @@ def arrivals(pairs: DataFrame, table: DataFrame, distance: str, step: float, by:
     keyed = pairs.withColumn("_bin", F.floor(F.col(distance) / step))
     share = F.col(distance) / step - F.col("_bin")
     return (
-        keyed.join(grid, ["_bin", *by])
+        keyed.join(grid, ["_bin", *by], "left")
         .withColumn("first", F.col("_f0") + share * (F.col("_f1") - F.col("_f0")))
         .withColumn("last", F.col("_l0") + share * (F.col("_l1") - F.col("_l0")))
         .drop("_bin", "_f0", "_f1", "_l0", "_l1")

@@ -171,7 +171,8 @@ def kde_on_grid(samples: DataFrame, groups: list[str], x: str, y: str, xs: list[
             sums.clear()
 
         for batch in batches:
-            for key, part in batch.groupby(groups, sort=False):
+            for key, part in batch.groupby(groups, sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
                 xx, yy, xy, det = (float(part[c].iloc[0]) for c in ("_xx", "_yy", "_xy", "_det"))
                 px, py = part[x].to_numpy(float), part[y].to_numpy(float)
                 total = sums.get(key, np.zeros(cells))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quietwave.functions.batches import blocks, lists_of
 from quietwave.functions.draws import normal, uniform
 from quietwave.functions.normal import normal_cdf, normal_quantile
+from quietwave.functions.tensors import CONVENTIONS
 from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked, running
 
 Sampler = Callable[[list, str, list], Column]
@@ -59,20 +60,17 @@ def homogeneous_tensor_draw(keys: list, stream: str, args: list) -> Column:
     Five uniforms give the squared radii of three planes and their angles; elements are
     returned as up, south, east.
     """
-    x = [uniform(keys, f"{stream}.{d}") for d in range(5)]
-    outer = F.sqrt(x[1])
-    inner = outer * x[0]
-    lo, hi = math.log(float(args[0])), math.log(float(args[1]))
-    m0 = F.exp(F.lit(lo) + (hi - lo) * uniform(keys, f"{stream}.m"))
-    turn = lambda k: 2 * math.pi * x[k]
-    root2 = math.sqrt(2.0)
-    xx = F.sqrt(inner) * F.cos(turn(2)) * root2 * m0
-    yy = F.sqrt(inner) * F.sin(turn(2)) * root2 * m0
-    zz = F.sqrt(outer - inner) * F.cos(turn(3)) * root2 * m0
-    xy = F.sqrt(outer - inner) * F.sin(turn(3)) * m0
-    yz = F.sqrt(1 - outer) * F.cos(turn(4)) * m0
-    xz = F.sqrt(1 - outer) * F.sin(turn(4)) * m0
-    return F.array(zz, xx, yy, xz, -yz, -xy)
+    # two ordered marks on (0, 1) part a unit square sum among three planes
+    marks = [F.lit(0.0), F.sqrt(uniform(keys, f"{stream}.1")) * uniform(keys, f"{stream}.0"), F.sqrt(uniform(keys, f"{stream}.1")), F.lit(1.0)]
+    point: list[Column] = []
+    for plane in range(3):
+        radius, angle = F.sqrt(marks[plane + 1] - marks[plane]), 2 * math.pi * uniform(keys, f"{stream}.{plane + 2}")
+        point += [radius * F.cos(angle), radius * F.sin(angle)]
+    least, most = (math.log(float(a)) for a in args[:2])
+    moment = F.exp(F.lit(least) + (most - least) * uniform(keys, f"{stream}.m"))
+    # north, east, down: the diagonal counts once in the norm, the other elements twice
+    ned = [math.sqrt(2.0) * moment * p for p in point[:3]] + [moment * point[k] for k in (3, 5, 4)]
+    return F.array(*[ned[element - 1] * sign for element, sign in CONVENTIONS[("ned", "use")]])
 
 
 def velocity_model_draw(keys: list, stream: str, args: list) -> Column:
@@ -243,21 +241,21 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
         return F.transform(index, lambda i: normal([key, "copy", i], f"{stream}.{field}"))
 
     spread = spread.withColumns({f"_w_{field}": white(field) for field in ("shared", "p", "s", "h")})
-    share = math.sqrt(max(0.0, min(1.0, correlation)))
-    rest = math.sqrt(1 - share * share)
+    common_part = max(0.0, min(1.0, correlation))
+    # rows: Vp, Vs; columns: the shared field and the two own fields
+    mixing = np.sqrt([[common_part, 1 - common_part, 0], [common_part, 0, 1 - common_part]])
+    deviations = np.array([std_vp, std_vs])[:, None, None]
 
     def block(h, vp, vs, common, own_p, own_s, own_h):
         top = np.cumsum(h, axis=1) - h
         spacing = np.median(np.diff(top, axis=1), axis=1) if h.shape[1] > 1 else h[:, 0]
-        shared = smooth_fields(common, spacing, length, 1.0)
-
-        def log_change(own: np.ndarray, deviation: float) -> np.ndarray:
-            mixed = share * shared + rest * smooth_fields(own, spacing, length, 1.0)
-            spread_of = mixed.std(axis=1, keepdims=True)
-            return np.where(spread_of > 0, mixed / np.where(spread_of > 0, spread_of, 1.0) * deviation, 0.0)
-
-        thick = h * np.exp(smooth_fields(own_h, spacing, length, std_thickness))
-        return thick, vp * np.exp(log_change(own_p, std_vp)), vs * np.exp(log_change(own_s, std_vs))
+        # layers without thickness leave no spacing; the smoothing length stands in
+        spacing = np.where(spacing > 0, spacing, length)
+        fields = np.stack([smooth_fields(w, spacing, length, 1.0) for w in (common, own_p, own_s)])
+        mixed = np.tensordot(mixing, fields, axes=1)
+        size = mixed.std(axis=2, keepdims=True)
+        factors = np.exp(np.divide(mixed * deviations, size, out=np.zeros_like(mixed), where=size > 0))
+        return h * np.exp(smooth_fields(own_h, spacing, length, std_thickness)), vp * factors[0], vs * factors[1]
 
     @F.arrow_udf("struct<thickness:array<double>,vp:array<double>,vs:array<double>>")
     def job(h: pa.Array, vp: pa.Array, vs: pa.Array, w0: pa.Array, w1: pa.Array, w2: pa.Array, w3: pa.Array) -> pa.Array:

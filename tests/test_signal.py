@@ -32,24 +32,6 @@ def test_tone_inside_the_band_survives_and_outside_dies():
     assert np.abs(y[1, 2000:]).max() < 2e-3
 
 
-def test_chebyshev_attenuates_beyond_the_new_nyquist():
-    for factor in (2, 4, 10):
-        s = G.chebyshev2_lowpass(0.5 / factor, 1.0)
-        assert 2 * len(s) <= 14
-        stopped = [response(s, f, 1.0) for f in np.linspace(0.5 / factor, 0.499, 4000)]
-        assert max(stopped) == pytest.approx(10 ** (-96 / 20), rel=0.02)  # equal ripples below the limit
-        assert response(s, 0.1 / factor, 1.0) == pytest.approx(1.0, abs=1e-3)
-
-
-def test_zero_phase_keeps_a_slow_tone_in_place():
-    t = np.arange(2000)
-    x = np.sin(2 * np.pi * 0.01 * t)[None]
-    y = G.zero_phase(G.chebyshev2_lowpass(0.125, 1.0), x)
-    assert np.abs(y - x)[0, 100:-100].max() < 1e-3
-    constant = np.full((1, 300), 3.0)
-    assert np.allclose(G.zero_phase(G.chebyshev2_lowpass(0.125, 1.0), constant), constant, atol=1e-6)
-
-
 def test_autocovariance_by_transform_equals_direct_sum():
     x = np.random.default_rng(0).normal(size=(3, 37))
     direct = np.array([[np.sum(r[: 37 - k] * r[k:]) / (37 - k) for k in range(37)] for r in x])
@@ -77,23 +59,10 @@ def test_array_functions_in_spark(spark):
     from pyspark.sql import functions as F
 
     out = {r["id"]: r for r in df.select(
-        "id", G.fourier_resample(2.0, 1.0, window=False)("x").alias("half"), G.lanczos(2.0, 1.0, 150)(F.coalesce("x", F.array(F.lit(0.0))), F.lit(20.25)).alias("l"),
-        G.decimate(4, 2.0)("x").alias("d")).collect()}
+        "id", G.fourier_resample(2.0, 1.0, window=False)("x").alias("half"), G.lanczos(2.0, 1.0, 150)(F.coalesce("x", F.array(F.lit(0.0))), F.lit(20.25)).alias("l")).collect()}
     assert np.allclose(out[1]["half"], np.sin(2 * np.pi * 0.05 * np.arange(200)), atol=1e-6)
     assert np.allclose(out[1]["l"], np.sin(2 * np.pi * 0.05 * (20.25 + np.arange(150))), atol=1e-3)
-    assert out[3]["half"] is None and len(out[1]["d"]) == 100
-    assert np.allclose(out[2]["d"], 1.0, atol=1e-6)
-
-
-def test_resampling_in_steps_by_interpolation(spark):
-    n = 3000
-    tone = np.sin(2 * np.pi * 0.01 * np.arange(n))
-    df = spark.createDataFrame([([float(v) for v in tone],)], "x array<double>")
-    row = df.select(G.resample_in_steps(2.5, 1.0, "lanczos")("x").alias("y"), G.resample_in_steps(20.0, 1.0)("x").alias("d")).first()
-    at = np.arange(1200) * 2.5
-    taper = np.interp(at, np.arange(n), G.hann_taper(n))
-    assert len(row["y"]) == 1200 and np.abs(np.array(row["y"]) - np.sin(2 * np.pi * 0.01 * at) * taper)[100:-100].max() < 1e-2
-    assert len(row["d"]) == 150 and np.abs(np.array(row["d"]) - tone[::20])[10:-10].max() < 2e-2
+    assert out[3]["half"] is None
 
 
 def test_smooth_field_equals_direct_reflected_convolution():

@@ -165,18 +165,6 @@ def fourier_resample(spark, sf_dir):
     return T.to_long(t, ["id"]).select("id", "i", rnd("x").alias("x"))
 
 
-@query("decimate_in_steps")
-def decimate_in_steps(spark, sf_dir):
-    t = traces(spark, sf_dir).withColumn("y", G.decimate(4, 1.0)("x"))
-    return t.select("id", F.size("y").alias("n"), rnd(checksum("y")).alias("checksum"))
-
-
-@query("resample_in_steps_by_interpolation")
-def resample_in_steps_by_interpolation(spark, sf_dir):
-    t = traces(spark, sf_dir).withColumn("y", G.resample_in_steps(2.5, 1.0, "lanczos")("x"))
-    return t.select("id", F.size("y").alias("n"), rnd(checksum("y")).alias("checksum"))
-
-
 @query("lanczos_interpolation", ctes("lg") + f""", o AS (SELECT id, m, 0.3 * (id % 5) + m / 0.8 AS t FROM tr CROSS JOIN generate_series(0, 39) g(m)),
 w AS (SELECT o.id, o.m, lg.v, o.t - lg.i AS p FROM o JOIN lg ON lg.id = o.id AND abs(o.t - lg.i) < 20)
 SELECT id, m::INTEGER AS i, {R('sum(v * CASE WHEN abs(p) < 1e-12 THEN 1 ELSE sin(pi() * p) / (pi() * p) * sin(pi() * p / 20) / (pi() * p / 20) END)')} AS x FROM w GROUP BY id, m""")
