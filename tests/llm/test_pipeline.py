@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from quietwave.llm import decontam
-from tests.llm.test_texts import classes, fingerprint, repeats
+from tests.llm.test_texts import jaccard_classes, repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def test_stages(spark):
     before = {r["doc_id"]: r["text"] for r in known.collect()}
     assert known.columns == columns and set(before) == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"])}
     single = functions["SimHash near-dedup"](spark, known, SF)
-    reach = classes({k: fingerprint(t, 5) for k, t in before.items()}, 4)
+    reach = jaccard_classes(before)
     after = {r["doc_id"]: r["text"] for r in single.collect()}
     assert single.columns == columns and after == {k: t for k, t in before.items() if reach[k] == k}
     cut = functions["suffix-array dedup"](spark, single, SF)
