@@ -310,8 +310,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     A wide SimHash finds the pairs: about 15 of 100 bits differ at a similarity of 0.8, too many for a
     guarantee on 64 bits. Sets of three byte positions of further bits hold the lists, 128 bits are the
     filter, and each link left is verified on the shingle sets of both texts. At 20 sets a pair of
-    similarity 0.8 meets with a chance of 0.94, of 0.85 with 0.99, of 0.9 with over 0.999. Texts of equal
-    128 bits are one class. Null and empty texts are one class, linked to no other.
+    similarity 0.8 meets with a chance of 0.94, of 0.85 with 0.99, of 0.9 with over 0.999. Signatures are
+    of distinct shingles, as the similarity is, so a shingle repeated many times does not outweigh the
+    others. Texts of equal 128 bits are one class. Null and empty texts are one class, linked to no other.
     """
     work = Work(docs.sparkSession, "near-copies")
     cosine = 2 * similarity / (1 + similarity)
@@ -323,7 +324,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_signature(h, sets) if len(h) else None for h in (shingle_hashes(raw, size) for raw in each_text(batch.column("text")))]
+            found = [wide_signature(h, sets) if len(h) else None for h in (np.unique(shingle_hashes(raw, size)) for raw in each_text(batch.column("text")))]
             values = [pa.array([int(f[0][i]) if f else 0 for f in found], pa.int64()) for i in (0, 1)]
             lists = pa.array([f[1] if f else [] for f in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("own"), *values, lists], names=["key", "own", "s0", "s1", "lists"])

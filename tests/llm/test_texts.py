@@ -118,6 +118,8 @@ def test_near_copies_of_edited_texts(spark):
             for at in rng.sample(range(len(words)), len(words) * copy // 60):
                 edited[at] = word()
             texts[10 * base + copy] = " ".join(edited)
+    # a shingle repeated many times makes different texts no copies
+    texts |= {400 + i: " ".join(["ha"] * 300 + [word() for _ in range(60)]) for i in range(4)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     want = jaccard_classes(texts)
