@@ -157,12 +157,32 @@ def _small_matrix(gradients: DataFrame, p: int, memory: int) -> tuple | None:
     return np.array([r["w"] for r in rows], float), np.array([r["d0"] for r in rows], float)
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a row number _row, written: both sides of a join back to the rows see the same numbers."""
+    return materialise(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def _checked(block: np.ndarray, length: int) -> np.ndarray:
+    if block.shape[1] != length:
+        raise ValueError(f"an array has {block.shape[1]} elements, not {length}")
+    return block
+
+
+def _of_length(array: str, length: Column, value: Column) -> Column:
+    """`value` for arrays of that length; null arrays give null, empty ones an empty array, others an error."""
+    wrong = F.raise_error(F.format_string("%s has %d elements, not %d", F.lit(array), F.size(array), length)).cast("array<double>")
+    return F.when(F.col(array).isNull(), F.lit(None)).when(F.size(array) == 0, F.array().cast("array<double>")).when(
+        F.size(array) == length, value).otherwise(wrong)
+
+
 def scores(records: DataFrame, gradients: DataFrame, p: int, x: str = "x", out: str = "score",
-           prior_term: list[float] | None = None, memory: int = MATRIX_BYTES, keys: list[str] | None = None) -> DataFrame:
+           prior_term: list[float] | None = None, memory: int = MATRIX_BYTES) -> DataFrame:
     """s_a = g_a C^-1 (D - D0) (+ prior term) for every record.
 
     A gradient within `memory` is broadcast and records are multiplied batch by batch
-    without a shuffle; a larger one is joined sample by sample on `keys` of the record.
+    without a shuffle; a larger one is joined sample by sample.  Either way every record
+    stays one row: a null record has a null score, a null sample makes it NaN, and a
+    record of another length than the gradient is an error.
     """
     prior = np.zeros(p) if prior_term is None else np.asarray(prior_term, float)
     small = _small_matrix(gradients, p, memory)
@@ -172,13 +192,16 @@ def scores(records: DataFrame, gradients: DataFrame, p: int, x: str = "x", out:
         @F.arrow_udf("array<double>")
         def job(traces: pa.Array) -> pa.Array:
             weights, centre = shared.value
-            return on_blocks(traces, lambda block: (block - centre) @ weights + prior)
+            return on_blocks(traces, lambda block: (_checked(block, len(centre)) - centre) @ weights + prior)
 
         return records.withColumn(out, job(F.col(x)))
-    keys = keys or [c for c in records.columns if c != x]
-    long = records.select(*keys, F.posexplode(x).alias("i", "_x")).join(_weights(gradients), "i")
-    terms = [F.sum(F.col("w")[a] * (F.col("_x") - F.col("d0"))) + float(prior[a]) for a in range(p)]
-    return records.join(long.groupBy(*keys).agg(F.array(*terms).alias(out)), keys)
+    held, weights = _numbered(records, "scores"), _weights(gradients)
+    long = held.select("_row", F.posexplode(x).alias("i", "_x")).join(weights, "i")
+    sample = F.coalesce("_x", F.lit(float("nan"))) - F.col("d0")
+    sums = long.groupBy("_row").agg(F.array(*[F.sum(F.col("w")[a] * sample) + float(prior[a]) for a in range(p)]).alias("_sums"))
+    length = weights.agg(F.count(F.lit(1)).alias("_length")).scalar()
+    summed = held.join(sums, "_row", "left").withColumn(out, _of_length(x, length, F.col("_sums")))
+    return summed.drop("_row", "_sums")
 
 
 def score_terms(records: DataFrame, gradients: DataFrame, keys: list[str], p: int, x: str = "x") -> DataFrame:
@@ -218,23 +241,31 @@ def linear_log_likelihood(df: DataFrame, theta: str, fiducial: list[float], scor
 
 
 def synthesize(params: DataFrame, kernels: DataFrame, p: int, theta: str = "theta", out: str = "x", factor: float = 1.0,
-               memory: int = MATRIX_BYTES, keys: list[str] | None = None) -> DataFrame:
-    """x(i) = factor * sum_a theta_a K_a(i); kernels are rows (i, g array<double>)."""
+               memory: int = MATRIX_BYTES) -> DataFrame:
+    """x(i) = factor * sum_a theta_a K_a(i); kernels are rows (i, g array<double>).
+
+    Kernels beyond `memory` are joined element by element.  Either way every row of `params`
+    stays one row: a null vector has a null record, a null element makes it NaN, and a
+    vector of another length than p is an error.
+    """
     rows = _bounded_rows(kernels.select("i", "g"), memory // (8 * p))
     if rows is not None:
         shared = params.sparkSession.sparkContext.broadcast(np.array([r["g"] for r in rows], float).T * factor)
 
         @F.arrow_udf("array<double>")
         def job(thetas: pa.Array) -> pa.Array:
-            return on_blocks(thetas, lambda block: block @ shared.value)
+            return on_blocks(thetas, lambda block: _checked(block, p) @ shared.value)
 
         return params.withColumn(out, job(F.col(theta)))
-    keys = keys or [c for c in params.columns if c != theta]
+    held = _numbered(params, "synthesize")
     long = kernels.select("i", F.posexplode("g").alias("a", "_k")).join(
-        params.select(*keys, F.posexplode(theta).alias("a", "_m")), "a")
-    sums = long.groupBy(*keys, "i").agg((F.sum(F.col("_m") * F.col("_k")) * factor).alias("_v"))
+        held.select("_row", F.posexplode(theta).alias("a", "_m")), "a")
+    element = F.coalesce("_m", F.lit(float("nan"))) * F.col("_k")
+    sums = long.groupBy("_row", "i").agg((F.sum(element) * factor).alias("_v"))
     packed = F.array_sort(F.collect_list(F.struct("i", "_v")))
-    return params.join(sums.groupBy(*keys).agg(F.transform(packed, lambda s: s["_v"]).alias(out)), keys)
+    made = sums.groupBy("_row").agg(F.transform(packed, lambda s: s["_v"]).alias("_made"))
+    none = F.array().cast("array<double>")
+    return held.join(made, "_row", "left").withColumn(out, _of_length(theta, F.lit(p), F.coalesce("_made", none))).drop("_row", "_made")
 
 
 def log_prior(u: str, theta: str | None = None, mean: list[float] | None = None, variance: list[float] | None = None) -> Column:

@@ -15,7 +15,8 @@ from quietwave.functions.batches import blocks, lists_of
 from quietwave.functions.draws import normal, uniform
 from quietwave.functions.normal import normal_cdf, normal_quantile
 from quietwave.functions.tensors import CONVENTIONS
-from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked, running
+from quietwave.operators.ordering import ROWS_PER_CHUNK, order_cuts, ranked, running
+from quietwave.session import materialise
 
 Sampler = Callable[[list, str, list], Column]
 
@@ -112,12 +113,19 @@ def prior_table(ids: DataFrame, key: str, choice: dict[str, tuple[str, list]], s
 
 def latin_hypercube(ids: DataFrame, key: str, lower: list[float], upper: list[float], stream: str, out: str = "draw",
                     rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """One draw per stratum and dimension; each dimension has its own distributed permutation."""
+    """One draw per stratum and dimension; each dimension has its own distributed permutation.
+
+    A rank over several chunks reads its input more than once, so it is written before the next
+    dimension ranks it: the work grows with the number of dimensions, not with its power of two.
+    """
     size = ids.agg(F.count(F.lit(1))).scalar()
     table = ids
     for d in range(len(lower)):
         keyed = table.withColumn("_u", uniform([key], f"{stream}.order.{d}"))
-        table = ranked(keyed, ["_u", key], name=f"_r{d}", rows_per_chunk=rows_per_chunk).drop("_u")
+        cuts = order_cuts(keyed, ["_u", key], rows_per_chunk)
+        table = running(keyed, ["_u", key], {f"_r{d}": ("count", None)}, cuts=cuts).drop("_u")
+        if cuts and d + 1 < len(lower):
+            table = materialise(table, "hypercube")
     table = table.withColumn("_size", size)
     values = [
         F.lit(float(lo)) + (float(hi) - float(lo)) * (F.col(f"_r{d}") - uniform([key], f"{stream}.in.{d}")) / F.col("_size")
