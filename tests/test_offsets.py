@@ -93,3 +93,13 @@ def test_hypercube_reads_grow_with_dimensions(spark):
     assert all(sorted(np.floor(draws[:, d] * 300).astype(int)) == list(range(300)) for d in range(5))
     one = {r["id"]: r["draw"] for r in priors.latin_hypercube(ids, "id", [0.0] * 5, [1.0] * 5, "cube").collect()}
     assert {r["id"]: r["draw"] for r in drawn.collect()} == one
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 901])
+def test_toeplitz_inverse(n):
+    lag = np.arange(n)
+    column = np.exp(-lag / 7) * np.cos(lag / 5) + 0.05 * (lag == 0)
+    dense = column[np.abs(np.subtract.outer(lag, lag))]
+    assert np.allclose(covariance.toeplitz_inverse(column), np.linalg.inv(dense), rtol=1e-9, atol=1e-9)
+    with pytest.raises(np.linalg.LinAlgError):
+        covariance.toeplitz_inverse(np.array([1.0, 2.0, 0.0]))

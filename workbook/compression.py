@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from quietwave.operators.posterior import compression_quality as quality
 from quietwave.plans.inversion import compress_ensemble
 from quietwave.plans.registries import COMPRESSORS
 from quietwave.session import materialise
-from workbook.registry import N, P, R, ctes, gradients, query, rnd, sims, table
+from workbook.registry import CHECKS, N, P, R, ctes, gradients, query, rnd, sims, table
 from workbook.traces import _PAIRED, checksum, noise_pairs
 
 THETA = [0.01 * a for a in range(P)]
@@ -107,8 +109,8 @@ def linear_log_likelihood(spark, sf_dir):
 
 
 @query("linear_synthesis", ctes("grad") + f", xs AS (SELECT id, i, list_dot_product(theta, g) * 2 AS x FROM sims CROSS JOIN grad) SELECT id, {R('sum(x * (i + 1))', 4)} AS checksum, {R('sum(x * x)', 5)} AS power FROM xs GROUP BY id")
-def linear_synthesis(spark, sf_dir):
-    made = C.synthesize(sims(spark, sf_dir).select("id", "theta"), gradients(spark, sf_dir), P, factor=2.0)
+def linear_synthesis(spark, sf_dir, **way):
+    made = C.synthesize(sims(spark, sf_dir).select("id", "theta"), gradients(spark, sf_dir), P, factor=2.0, **way)
     return made.select("id", rnd(checksum("x"), 4).alias("checksum"), rnd(A.power("x"), 5).alias("power"))
 
 
@@ -154,20 +156,20 @@ def _curved(candidates):
 
 @query("stencil_derivatives", ctes("grad") + f""", {_PAR}, f AS (SELECT max(CASE WHEN pos = 0 THEN fiducial END) AS a, max(CASE WHEN pos = 1 THEN fiducial END) AS b, max(CASE WHEN pos = 2 THEN fiducial END) AS c FROM par)
 SELECT p::INTEGER AS pos, i::INTEGER AS i, {R('g[p + 1] + CASE p WHEN 0 THEN b WHEN 1 THEN a WHEN 2 THEN 2 * c ELSE 0 END', 5)} AS gradient, {R('CASE WHEN p = 2 THEN 2 ELSE 0 END', 5)} AS curvature FROM grad CROSS JOIN f CROSS JOIN generate_series(0, 5) q(p)""")
-def stencil_derivatives(spark, sf_dir):
+def stencil_derivatives(spark, sf_dir, **way):
     p = params(spark, sf_dir)
-    cand = C.synthesize(C.stencil_candidates(p), gradients(spark, sf_dir), P, out="lin")
+    cand = C.synthesize(C.stencil_candidates(p), gradients(spark, sf_dir), P, out="lin", **way)
     d = C.first_and_second_derivatives(cand.withColumn("x", _curved(cand)), p)
     both = d.select("pos", F.posexplode(F.arrays_zip("gradient", "curvature")).alias("i", "z"))
     return both.select("pos", "i", rnd("z.gradient", 5).alias("gradient"), rnd("z.curvature", 5).alias("curvature"))
 
 
 @query("hessian", ctes("grad") + f" SELECT a::INTEGER AS i, b::INTEGER AS j, {R('CASE WHEN a + b = 1 THEN 1 WHEN a = 2 AND b = 2 THEN 2 ELSE 0 END', 4)} AS value, count(*) AS n FROM grad CROSS JOIN generate_series(0, 5) p(a) CROSS JOIN generate_series(0, 5) q(b) GROUP BY a, b")
-def hessian(spark, sf_dir):
+def hessian(spark, sf_dir, **way):
     p, g = params(spark, sf_dir), gradients(spark, sf_dir)
-    cand = C.synthesize(C.stencil_candidates(p), g, P, out="lin")
+    cand = C.synthesize(C.stencil_candidates(p), g, P, out="lin", **way)
     d = C.first_and_second_derivatives(cand.withColumn("x", _curved(cand)), p)
-    mixed = C.synthesize(C.mixed_candidates(p), g, P, out="lin")
+    mixed = C.synthesize(C.mixed_candidates(p), g, P, out="lin", **way)
     h = C.hessian(mixed.withColumn("x", _curved(mixed)), d, p)
     return h.select("i", "j", F.explode("h").alias("v")).groupBy("i", "j").agg(rnd(F.avg("v"), 4).alias("value"), F.count(F.lit(1)).alias("n"))
 
@@ -269,3 +271,8 @@ def multi_point_compression(spark, sf_dir):
     first = made.select("id", F.slice("estimate", 1, P).alias("e"), F.lit(0).alias("point"))
     second = made.select("id", F.zip_with(F.slice("estimate", P + 1, P), F.array(*[F.lit(t) for t in THETA]), lambda a, b: a + b).alias("e"), F.lit(1).alias("point"))
     return rows(first.unionByName(second).withColumn("back", _back("e", f)), "back", "score", 3, keys=("id", "point"))
+
+
+# The same results on the way that kernels beyond the broadcast size take.
+for _name, _query in {"linear_synthesis": linear_synthesis, "stencil_derivatives": stencil_derivatives, "hessian": hessian}.items():
+    query(f"{_name}_long_form", CHECKS[_name])(partial(_query, memory=0))
