@@ -152,8 +152,26 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without a match. Matches are few and small; rows without a key that match go too."""
-    work = Work(docs.sparkSession, "decontam")
-    hit = work.save(find_matches(docs, items, key, text, **options).select(F.col("doc_id").alias("_key")).distinct(), "hit")
-    return docs.join(hit, docs[key].eqNullSafe(hit["_key"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+                      rate: float = RATE, shortest: int = SHORTEST, slice_bytes: int = 8 << 20) -> DataFrame:
+    """The rows without a match. Each row goes by its own text alone, whatever its key: null and repeated keys take no other row along.
+
+    Texts are not shuffled. With more than one slice of items the rows left are written between the scans.
+    """
+    work, schema, last = Work(docs.sparkSession, "decontam"), docs.schema, None
+    for number, held in enumerate(item_slices(items, item_key, item_text, slice_bytes)):
+        shared = docs.sparkSession.sparkContext.broadcast(held)  # at most slice_bytes
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, rate, shortest)
+            for batch in batches:
+                clean = [not (t and matcher.items and matcher.matches(t)) for t in batch.column(text).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        if number:
+            docs = work.save(docs, f"left{number}")
+            if last:
+                work.drop(last)
+            last = f"left{number}"
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -38,3 +38,13 @@ def test_odd_and_empty_input(spark, odd, empty):
             docs = stage(spark, docs, SF)
             assert docs.columns == table.columns, name
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_contaminated_rows_go_one_by_one(spark):
+    item = "the committee found that seven of the nine samples had been stored at the wrong temperature"
+    rows = [(None, f"before {item} after"), (None, "clean text without a key"), (5, f"x {item}"), (5, "clean text of a repeated id"), (6, "other"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "an item that stands in no text of this table, as far as is known")], "item_id long, text string")
+    want = sorted(((k, t) for k, t in rows if item not in (t or "")), key=str)
+    for size in (8 << 20, 100):
+        assert sorted(map(tuple, decontam.drop_contaminated(docs, items, slice_bytes=size).collect()), key=str) == want
