@@ -56,6 +56,23 @@ def has_letter(raw: np.ndarray, ascii_letters: np.ndarray) -> bool:
     return bool(ascii_letters[raw].any()) or (bool((raw >= 128).any()) and any(c.isalpha() for c in raw.tobytes().decode("utf-8", "ignore")))
 
 
+def letters_table() -> np.ndarray:
+    return np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+
+
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter; needs no model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letters_table()
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(text))
+            held = [has_letter(data[a:b], letters) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield batch.filter(pa.array(held, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Model:
     """Landmark n-grams, kernel weights and labels; small, and built on the driver from the sample."""
 
@@ -147,7 +164,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", label: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_model = shared.value
-        lookup, letters = own_model.lookup(), np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+        lookup, letters = own_model.lookup(), letters_table()
         for batch in batches:
             data, offsets = text_bytes(batch.column(text))
             names, scores = [UND] * batch.num_rows, np.zeros(batch.num_rows)

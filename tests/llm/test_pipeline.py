@@ -48,3 +48,10 @@ def test_contaminated_rows_go_one_by_one(spark):
     want = sorted(((k, t) for k, t in rows if item not in (t or "")), key=str)
     for size in (8 << 20, 100):
         assert sorted(map(tuple, decontam.drop_contaminated(docs, items, slice_bytes=size).collect()), key=str) == want
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "some text", None), (2, "漢字", None), (3, "12 -- !!", None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    stage = dict(corpus_pipeline.STAGES)["language ID"]
+    assert sorted(map(tuple, stage(spark, docs, SF).collect())) == rows[:2]
