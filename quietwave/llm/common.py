@@ -55,6 +55,12 @@ class Work:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def within(self, name: str) -> Work:
+        """Work tables of a further step, in a folder of their own below this one."""
+        inner = Work.__new__(Work)
+        inner.spark, inner.root = self.spark, f"{self.root}/{name}"
+        return inner
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

@@ -8,9 +8,10 @@ tallied; pairs that reach the guaranteed minimum are kept and verified on all bi
 off in blocks of fixed size with a forest of links as output, so no task holds or emits all pairs of
 a list; lists of any length are split into pairs of blocks.
 
-`near_copies` finds texts of a shingle similarity of 0.8 or more in the same way: such pairs differ in
-more bits than bytes of 64 bits can guarantee to share, so it posts byte sets of a wider fingerprint,
-filters on 128 bits and verifies the links on the shingle sets themselves. `keep_first` goes by it.
+`near_copies` finds every two texts of a shingle similarity of 0.8 or more. Such pairs differ in more bits
+than bytes of 64 bits can guarantee to share, so a first pass posts byte sets of a wider fingerprint,
+filters on 128 bits and verifies the links on the shingle sets themselves; a second pass finds the pairs
+that are left without loss, by shared shingles (`prefix_pairs`). `keep_first` goes by it.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows
 are in one class; a null id stays in its class but names none (a component of null ids only is null);
@@ -304,39 +305,113 @@ def similar_links(classes: DataFrame, limit: int, block: int = BLOCK, small: int
     return dealt.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long")
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, sets: int = SETS) -> DataFrame:
-    """(key, component_id) of every row with a key: texts linked at a Jaccard similarity of word shingles of `similarity` or more.
+def common_shingles(rows: DataFrame, size: int, sample: int = 4000, most: int = 200_000) -> np.ndarray:
+    """(shingles, counts) of those that stand in two or more of about `sample` texts, the most common `most`, by shingle.
+
+    They only order the shingles of a text; whatever they are, no pair is lost by it.
+    """
+    total = rows.count()
+    some = rows.where(F.pmod(F.xxhash64(F.lit(11), "own"), F.lit(1 << 30)) <= (1 << 30) * min(1.0, sample / max(1, total)))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in each_text(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(raw, size)).view(np.int64))], names=["gram"])
+
+    grams = some.select("own", "text").dropDuplicates(["own"]).select("text").mapInArrow(shingles, "gram long")
+    found = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(most).collect()
+    table = np.array([tuple(r) for r in found], dtype=np.int64).reshape(-1, 2)
+    return table[np.argsort(table[:, 0])].T
+
+
+def shingle_prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a text's distinct ones, rarest first, so many that texts of the similarity share one of them.
+
+    Such texts share at least ceil(similarity x n) of the n shingles of each, so the first shared one in any
+    order that holds for all texts comes no later than at place n - ceil(similarity x n).
+    """
+    grams = hashes.view(np.int64)
+    at = np.minimum(np.searchsorted(common[0], grams), max(0, common.shape[1] - 1))
+    times = np.where(common[0][at] == grams, common[1][at], 0) if common.shape[1] else np.zeros(len(grams), np.int64)
+    return grams[np.lexsort((grams, times))][:len(grams) - int(np.ceil(similarity * len(grams) - 1e-6)) + 1]
+
+
+def prefix_pairs(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): every two nodes of different `part` that share a shingle of their prefixes and may reach the similarity.
+
+    Takes (node, part, n, prefix). Beyond a pair's first shared shingle at places i and j there are at most
+    min(n - i, m - j) shared ones, which with the sizes bounds the similarity; the bound drops no true pair.
+    """
+    posted = classes.select("node", "part", "n", F.posexplode("prefix").alias("at", "list"))
+    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    hot = sizes.where(F.col("n") > block).select("list", blocks.alias("blocks"))
+    count = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64(F.lit(9), "node"), count).cast("int")
+    parts = posted.join(hot, "list", "left").select("list", "node", "part", "n", "at", own.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    parts = parts.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "n", "at")
+    dealt = parts.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "own", "node")
+    share = similarity / (1 + similarity)
 
-    A wide SimHash finds the pairs: about 15 of 100 bits differ at a similarity of 0.8, too many for a
-    guarantee on 64 bits. Sets of three byte positions of further bits hold the lists, 128 bits are the
-    filter, and each link left is verified on the shingle sets of both texts. At 20 sets a pair of
-    similarity 0.8 meets with a chance of 0.94, of 0.85 with 0.99, of 0.9 with over 0.999. Signatures are
-    of distinct shingles, as the similarity is, so a shingle repeated many times does not outweigh the
-    others. Texts of equal 128 bits are one class. Null and empty texts are one class, linked to no other.
+    def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows (.., node, part, n, at) may reach the similarity."""
+        rest = np.minimum(x[..., 6] - x[..., 7], y[..., 6] - y[..., 7])
+        return (x[..., 5] != y[..., 5]) & (rest >= share * (x[..., 6] + y[..., 6]) - 1e-6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for table in whole_runs(batches, ("list", "i", "j", "own", "node", "part", "n", "at")):
+            starts = np.concatenate([[0], np.flatnonzero(np.any(table[1:, :3] != table[:-1, :3], axis=1)) + 1])
+            lengths = np.diff(np.concatenate([starts, [len(table)]]))
+            for start, length in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
+                held = table[start:start + length]
+                i, j = held[0, 1:3]
+                split = 0 if i == j else int((held[:, 3] == i).sum())
+                step = max(1, (1 << 18) // length)
+                for top in range(0, split or length, step):
+                    x = held[top:min(top + step, split or length)]
+                    good = possible(x[:, None], held[None, split:])
+                    if not split:
+                        good &= np.arange(len(held))[None] > np.arange(top, top + len(x))[:, None]
+                    p, q = np.nonzero(good)
+                    if len(p):
+                        yield batch_of(x[p, 4], held[split + q, 4])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_groups(docs: DataFrame, key: str, text: str, size: int, similarity: float, sets: int, work: Work) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, own, node), with `own` the hash of the text, and (node, chosen): the least (null, key, own) of each node's component.
+
+    A row is known by its key and its text, nulls included. Texts of equal shingle sets are one node.
     """
-    work = Work(docs.sparkSession, "near-copies")
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
     limit = int(128 * share + 2.5 * np.sqrt(128 * share * (1 - share)))  # 2.5 deviations beyond the expected bits
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own"))
     kind = rows.schema["key"].dataType
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, size))  # bounded by its `most`
+    columns = {"node": pa.int64(), "s0": pa.int64(), "s1": pa.int64(), "n": pa.int64(), "lists": pa.list_(pa.int32()), "prefix": pa.list_(pa.int64())}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_signature(h, sets) if len(h) else None for h in (np.unique(shingle_hashes(raw, size)) for raw in each_text(batch.column("text")))]
-            values = [pa.array([int(f[0][i]) if f else 0 for f in found], pa.int64()) for i in (0, 1)]
-            lists = pa.array([f[1] if f else [] for f in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("own"), *values, lists], names=["key", "own", "s0", "s1", "lists"])
-
-    schema = T.StructType([T.StructField("key", kind), *(T.StructField(c, T.LongType()) for c in ("own", "s0", "s1")), T.StructField("lists", T.ArrayType(T.IntegerType()))])
-    marked = work.save(rows.withColumn("own", own).mapInArrow(sign, schema), "marked")
-    node = F.xxhash64("s0", "s1").alias("node")
-    least = F.min(F.struct("key", "own"))
-    classes = work.save(marked.groupBy("s0", "s1").agg(least.alias("first"), F.min_by("lists", F.struct("key", "own")).alias("lists"))
-                        .select(node, "s0", "s1", "first", "lists"), "classes")
-    a, b = F.xxhash64("a0", "a1"), F.xxhash64("b0", "b1")
-    links = work.save(similar_links(classes, limit).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "candidates")
+            out: dict[str, list] = {c: [] for c in columns}
+            for raw in each_text(batch.column("text")):
+                h = np.unique(shingle_hashes(raw, size))
+                (s0, s1), lists = wide_signature(h, sets) if len(h) else ((0, 0), [])
+                node = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)
+                for c, value in zip(columns, (int(node), int(s0), int(s1), len(h), lists, shingle_prefix(h, shared.value, similarity) if len(h) else []), strict=True):
+                    out[c].append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("own"), *(pa.array(out[c], t) for c, t in columns.items())], names=["key", "own", *columns])
+
+    longs = [T.StructField(c, T.LongType()) for c in ("own", "node", "s0", "s1", "n")]
+    schema = T.StructType([T.StructField("key", kind), *longs, T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    marked = work.save(rows.select("key", "own", "text").mapInArrow(sign, schema), "marked")
+    named_row = F.struct(F.col("key").isNull().alias("unnamed"), "key", "own")
+    classes = work.save(marked.groupBy("node").agg(F.min(named_row).alias("first"), F.first(F.struct("s0", "s1", "n", "lists", "prefix")).alias("_"))
+                        .select("node", "first", "_.*"), "classes")
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,20 +420,52 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 found = [np.unique(shingle_hashes(raw, size)).view(np.int64) for raw in each_text(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(ends, "node").select("node", F.col("first.key").alias("key"), F.col("first.own").alias("own"))
-    # repeated rows of one key and text name one node
-    held = rows.withColumn("own", own).join(wanted, ["key", "own"]).select("node", "text").dropDuplicates(["node"])
-    grams = work.save(held.mapInArrow(shingle_sets, "node long, grams array<long>"), "grams")
-    pairs = links.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    near = work.save(pairs.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
-    joined = components(near, work)
-    member = classes.join(joined, "node", "left").select("s0", "s1", F.col("first.key").alias("key"), F.coalesce("component", "node").alias("component"))
-    smallest = member.groupBy("component").agg(F.min("key").alias("component_id"))
-    named = work.save(member.join(smallest, "component").select("s0", "s1", "component_id"), "named")
-    work.drop("classes", "candidates", "grams", "links")
-    return marked.join(named, ["s0", "s1"]).select(F.col("key").alias(key), "component_id")
+    def verified(links: DataFrame, name: str) -> DataFrame:
+        """The links whose ends reach the similarity on their shingle sets."""
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        wanted = classes.join(ends, "node").select("node", F.col("first.key").alias("k"), F.col("first.own").alias("o"))
+        # repeated rows of one key and text name one node
+        held = rows.join(wanted, rows["key"].eqNullSafe(wanted["k"]) & (rows["own"] == wanted["o"])).select("node", "text").dropDuplicates(["node"])
+        grams = work.save(held.mapInArrow(shingle_sets, "node long, grams array<long>"), f"{name}-grams")
+        pairs = links.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        near = work.save(pairs.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), name)
+        work.drop(f"{name}-grams")
+        return near
+
+    # first pass: by signature, each one by its least node; nodes of one signature hang on to that
+    signed = work.save(classes.where("n > 0").groupBy("s0", "s1").agg(F.min("node").alias("least"), F.first("lists").alias("lists")), "signed")
+    met = similar_links(signed, limit)
+    at = lambda end: signed.select(F.col("s0").alias(f"{end}0"), F.col("s1").alias(f"{end}1"), F.col("least").alias(end))
+    met = met.distinct().join(at("a"), ["a0", "a1"]).join(at("b"), ["b0", "b1"]).select("a", "b")
+    alike = classes.where("n > 0").select("node", "s0", "s1").join(signed.select("s0", "s1", "least"), ["s0", "s1"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    both_ways = met.unionByName(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = verified(work.save(both_ways, "candidates"), "links")
+    part = components(near, work)
+    # second pass: all pairs that are left between the groups so far
+    placed = work.save(classes.where("n > 0").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "n", "prefix"), "placed")
+    rest = verified(work.save(prefix_pairs(placed, similarity), "rest"), "more")
+    joined = components(near.unionByName(rest), work.within("joined"))
+    member = classes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    named = member.select("node", "component").join(member.groupBy("component").agg(F.min("first").alias("chosen")), "component")
+    named = work.save(named.select("node", "chosen"), "named")
+    work.drop("classes", "signed", "candidates", "links", "placed", "rest", "more")
+    return marked, named
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, sets: int = SETS) -> DataFrame:
+    """(key, component_id) of every row with a key: texts linked at a Jaccard similarity of word shingles of `similarity` or more.
+
+    First a wide SimHash finds most pairs: sets of three byte positions hold the lists, 128 bits are the
+    filter, and each link is verified on the shingle sets of both texts. Long lists give a forest of
+    candidates, which can fail where the pair that it stands for would not. So a second pass takes all
+    pairs between the groups so far that share one of their rarest shingles (`prefix_pairs`), which any two
+    texts of the similarity do, and verifies them. The groups are those of all pairs, whatever the length.
+    Null and empty texts are one class, linked to no other. Rows without a key are grouped too, but name no
+    group unless no row of it has a key.
+    """
+    marked, named = near_groups(docs, key, text, size, similarity, sets, Work(docs.sparkSession, "near-copies"))
+    return marked.where(F.col("key").isNotNull()).join(named, "node").select(F.col("key").alias(key), F.col("chosen.key").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -128,6 +128,28 @@ def test_near_copies_of_edited_texts(spark):
     assert sum(got[k] != want[k] for k in got) <= len(texts) // 50
 
 
+def planted_crowd(rng, crowd, pairs, shared=200, own=28):
+    """Texts of one boilerplate with a part of their own (similarity 0.78), some of them followed by a near copy (0.82)."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, texts = [word() for _ in range(shared)], {}
+    for i in range(crowd):
+        texts[2 * i] = " ".join(base + [word() for _ in range(own)])
+        if i < pairs:
+            words = texts[2 * i].split()
+            for at in (20, 60, 100, 140, -2):
+                words[at] = word()
+            texts[2 * i + 1] = " ".join(words)
+    return texts
+
+
+def test_near_copies_in_a_boilerplate_crowd(spark):
+    texts = planted_crowd(random.Random(3), 300, 80)
+    want = jaccard_classes(texts)
+    assert sum(k != v for k, v in want.items()) == 80
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == want
+
+
 @pytest.mark.parametrize("block, small", [(4096, 8), (7, 8), (7, 2)])
 def test_similar_links_keep_what_is_connected(spark, block, small):
     rng = random.Random(5)
