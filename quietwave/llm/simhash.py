@@ -468,16 +468,19 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return marked.where(F.col("key").isNotNull()).join(named, "node").select(F.col("key").alias(key), F.col("chosen.key").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest key, with all its columns.
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, sets: int = SETS) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest key and text hash, with all its columns.
 
-    Rows without a key are kept: nothing names them. Repeated rows of one key leave one row: ids that
-    occur twice are found on ids alone, and only their rows are put through a distinct by key.
+    A row is known by key and text: rows of one key with different texts are different documents. Rows
+    without a key come after all others and are grouped like them. Repeated rows of one key and text leave
+    one row: those that occur twice are found on hashes alone, and only they are put through a distinct.
     """
-    groups = near_copies(docs, key, text, size, similarity).select(F.col(key).alias("_key"), F.col("component_id"))
-    kept = groups.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count("*").alias("_n"))
-    rows = docs.join(kept, docs[key] == kept["_key"])
-    own = [docs[c] for c in docs.columns]
-    single = rows.where(kept["_n"] == 1).select(*own)
-    first = rows.where(kept["_n"] > 1).select(*own).dropDuplicates([key])
-    return single.unionByName(first).unionByName(docs.where(F.col(key).isNull()))
+    marked, named = near_groups(docs, key, text, size, similarity, sets, Work(docs.sparkSession, "near-copies"))
+    chosen = named.select(F.col("chosen.key").alias("k"), F.col("chosen.own").alias("o")).distinct()
+    sizes = marked.groupBy("key", "own").agg(F.count("*").alias("__n"))
+    kept = chosen.join(sizes, chosen["k"].eqNullSafe(sizes["key"]) & (chosen["o"] == sizes["own"])).select(F.col("k").alias("__k"), F.col("o").alias("__o"), "__n")
+    rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(kept, rows[key].eqNullSafe(kept["__k"]) & (rows["__own"] == kept["__o"]))
+    single = rows.where("__n = 1").select(*docs.columns)
+    first = rows.where("__n > 1").select(*docs.columns, "__own").dropDuplicates([key, "__own"]).drop("__own")
+    return single.unionByName(first)

@@ -150,6 +150,19 @@ def test_near_copies_in_a_boilerplate_crowd(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == want
 
 
+def test_keep_first_goes_by_rows(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(5, a), (5, b), (5, b), (7, c), (1, c + " more"), (7, d), (None, e), (None, e), (None, e + " more"), (None, f), (9, f), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter(map(tuple, simhash.keep_first(docs).collect()))
+    # of the two unnamed near copies either text may stay
+    unnamed = [r for r in kept if r[0] is None]
+    assert len(unnamed) == 1 and unnamed[0][1] in (e, e + " more") and kept[unnamed[0]] == 1
+    assert {r: n for r, n in kept.items() if r[0] is not None} == {(5, a): 1, (5, b): 1, (1, c + " more"): 1, (7, d): 1, (9, f): 1}
+
+
 @pytest.mark.parametrize("block, small", [(4096, 8), (7, 8), (7, 2)])
 def test_similar_links_keep_what_is_connected(spark, block, small):
     rng = random.Random(5)
