@@ -150,6 +150,18 @@ def test_near_copies_in_a_boilerplate_crowd(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == want
 
 
+def test_near_copies_of_short_texts(spark):
+    rng, texts = random.Random(4), {}
+    for i in range(120):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(8 + i % 7)]
+        texts[2 * i] = " ".join(words)
+        texts[2 * i + 1] = " ".join([*words, "further"] if i % 3 else words[:-1] + ["other"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = jaccard_classes(texts)
+    assert sum(k != v for k, v in want.items()) > 70
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == want
+
+
 def test_keep_first_goes_by_rows(spark):
     rng = random.Random(6)
     text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
