@@ -22,6 +22,7 @@ gives no rows; other columns are left out.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -280,16 +281,18 @@ def score(docs: DataFrame, learn: Column, held: Column, key: str = "doc_id", tex
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in runs(batches, ["chunk"]):
-            places = {r["places"].as_py() for r in group if r["kind"].as_py() == 2}
+            # equal chunks of several partitions have one number; each of them counts
+            places = Counter(r["places"].as_py() for r in group if r["kind"].as_py() == 2)
             if not places:
                 continue
             replies = by_range([{c: r[c].as_py() for c in ("kind", "range", "kept")} for r in group if r["kind"].as_py() != 2])
             kept = [np.concatenate([unpacked(r["kept"]) for r in own]) for own in replies]
-            word, pair, context = (x.ravel() for x in np.split(np.concatenate([np.frombuffer(x, dtype="<u4").reshape(3, -1) for x in places], axis=1), 3))
-            low, high = estimates(kept[0][word], kept[1][pair], kept[0][context], totals["sum_kept"], totals["distinct_kept"])
-            bins = np.where(high > 0, np.rint(BINS * np.log2(np.maximum(high, 1e-300) / low)), ZERO).astype(np.int64)
-            both, times = np.unique(np.stack([bucket(kept[0][context]), bins]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(times)], names=["bucket", "bin", "n"])
+            for raw, copies in places.items():
+                word, pair, context = np.frombuffer(raw, dtype="<u4").reshape(3, -1)
+                low, high = estimates(kept[0][word], kept[1][pair], kept[0][context], totals["sum_kept"], totals["distinct_kept"])
+                bins = np.where(high > 0, np.rint(BINS * np.log2(np.maximum(high, 1e-300) / low)), ZERO).astype(np.int64)
+                both, times = np.unique(np.stack([bucket(kept[0][context]), bins]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(times * copies)], names=["bucket", "bin", "n"])
 
     places = rows.mapInArrow(held_places, "kind int, chunk long, places binary")
     asked = replies.select("kind", "range", "chunk", "kept", F.lit(None).cast("binary").alias("places")).unionByName(

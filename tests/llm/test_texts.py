@@ -420,6 +420,19 @@ def test_lm_is_brute_force(spark):
     assert got.keys() == want.keys() and all(sorted(got[k]) == pytest.approx(sorted(want[k])) for k in want)
 
 
+def test_lm_equal_chunks_count_each(spark):
+    rng = random.Random(8)
+    one = [(i, " ".join(rng.choice("abcdefgh") for _ in range(30))) for i in range(8)]
+    other = [(i, " ".join("abcdefgh"[(i + j) % 8] for j in range(30))) for i in range(8)]
+    rows, got = one * 5 + other, []
+    for slices in (6, 1):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), "doc_id long, text string")
+        assert docs.rdd.getNumPartitions() == slices
+        got.append(sorted((r["doc_id"], r["base_score"], r["score"]) for r in lm.score(docs, F.lit(True), F.col("doc_id") % 2 == 1).collect()))
+    assert [r[0] for r in got[0]] == [r[0] for r in got[1]]
+    assert [r[2] for r in got[0]] == pytest.approx([r[2] for r in got[1]], rel=1e-9)
+
+
 def test_lm_odd_input(odd, empty):
     got = lm.score(odd, F.lit(True), F.lit(False)).collect()
     assert len(got) == 9 and {r["doc_id"]: r["n_tokens"] for r in got}[1] == 1
