@@ -93,13 +93,13 @@ def features(text: str, lexicon: dict[str, float], known: dict[str, tuple[float,
         gap = np.minimum(np.abs(places[np.minimum(right, len(places) - 1)] - hits), np.abs(places[np.maximum(right - 1, 0)] - hits))
         near = int((gap <= NEAR).sum())
     size = max(1, len(text))
-    capitals = sum(map(str.isupper, text)) if size < 200 else len(CAPITALS.findall(text))
+    capitals = len(CAPITALS.findall(text)) if text.isascii() else sum(map(str.isupper, text))  # the same number, ASCII is faster so
     return [len(hits) / n, weight / n, strongest, heavy / n, float(len(distinct)), prefix_hits / n, prefix_weight / n, near / n, len(second) / n, hidden / n,
             disguised / n, capitals / size, shouted / n, len(PUNCTUATION.findall(text)) / size, len(MARKS.findall(text)) / n, len(DIGITS.findall(text)) / size,
             float(np.log1p(len(words))), len(hits) / max(1, len(distinct)), float(bool(hits)), float(prefix_hits > 0)]
 
 
-CAPITALS, PUNCTUATION, MARKS, DIGITS = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\w\s]"), re.compile(r"[!?]"), re.compile(r"\d")
+CAPITALS, PUNCTUATION, MARKS, DIGITS = re.compile(r"[A-Z]"), re.compile(r"[^\w\s]"), re.compile(r"[!?]"), re.compile(r"\d")
 
 
 def with_features(df: DataFrame, text: str, lexicon: dict[str, float], name: str = "_features") -> DataFrame:

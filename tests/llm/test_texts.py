@@ -462,6 +462,12 @@ def test_toxicity_learns(spark):
     assert all((s >= 0.5) == (k % 6 == 0) for k, s in got.items())
 
 
+def test_toxicity_capitals_of_every_length():
+    at = toxicity.NAMES.index("capitals")
+    for part, share in (("ŒŠ ШЖ яж ", 4 / 9), ("AB ab ", 2 / 6), ("ÀÞ àþ ", 2 / 6)):
+        assert [toxicity.features(part * n, {}, {})[at] for n in (5, 50)] == pytest.approx([share, share])
+
+
 def test_toxicity_odd_input(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels, F.lit(True))
