@@ -1,4 +1,4 @@
-"""The ten registered queries: each operator on its whole table with production parameters."""
+"""The registered queries: each operator on its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwave.llm import chat, decontam, langid, lm, media, packing, sharding, simhash, suffix, toxicity
+from quietwave.llm import chat, clusters, decontam, langid, lm, media, packing, sharding, simhash, suffix, syncmers, toxicity, whitening
 from quietwave.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-# None of the ten can be said in SQL: learned models, hashes and tokenizers it lacks, ordered state.
+# Only the clustering can be said in SQL; the others need learned models, hashes and tokenizers it lacks, or ordered state.
 CHECKS: dict[str, str] = {}
 
 
@@ -101,3 +101,41 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(12)) == 0
     scored = lm.score(docs, fold != 1, held)
     return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_centroid_clustering")
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query("op13_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """Every vector against the 16 centroids, round by round."""
+    parts = ["""WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda c: NOT isfinite(c))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x AS centre FROM
+  (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM kept ORDER BY h, x LIMIT 16))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS MATERIALIZED (SELECT vec_id, x, arg_min(cluster, distance * 16 + cluster) AS cluster, min(distance) AS distance FROM
+  (SELECT r, vec_id, x, cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - centre[i]) * (x[i] - centre[i]))) AS BIGINT) AS distance FROM (SELECT row_number() OVER () AS r, * FROM kept), c{i}) GROUP BY r, vec_id, x)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS MATERIALIZED (SELECT cluster, list(floor_mean ORDER BY i) AS centre FROM
+  (SELECT cluster, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS floor_mean FROM d{i}, range(1, 65) t(i) GROUP BY cluster, i) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.centre, c.centre) AS centre FROM c{i} c LEFT JOIN m{i} m USING (cluster))""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(d.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY d.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(centre, ',')) AS centroid_sha256
+FROM d{rounds} d JOIN c{rounds} c USING (cluster)"""
+
+
+CHECKS["op12_centroid_clustering"] = _clustering_sql()
