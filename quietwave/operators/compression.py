@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietwave.functions.batches import on_blocks
-
+from quietwave.functions.batches import blocks, lists_of, on_blocks
+from quietwave.operators.factors import diagonal_factors, quadratic_forms
+from quietwave.operators.ordering import join_same
 from quietwave.session import materialise
 
 MATRIX_BYTES = 128 * 1024 * 1024
@@ -335,50 +336,124 @@ def solve_linear(scored: DataFrame, fisher: np.ndarray, theta: list[float], n: i
     return scored.withColumn("_s", job(F.col(score), F.col(misfit))).select(*scored.columns, "_s.*")
 
 
+def stacked_derivatives(simulated: DataFrame, observations: DataFrame, trace: list[str], deltas: list[float], out: str = "x") -> DataFrame:
+    """Per trace the p gradients and the residual end to end: observations joined with (trace, pos, offset, x) of a stencil.
+
+    pos -1 is the simulation at the centre. A trace without an observation or without a simulation is left out.
+    """
+    p, offsets = len(deltas), sorted(FIRST_WEIGHTS)
+    weights = np.zeros((p, 1 + p * len(offsets)))
+    for a in range(p):
+        for o, offset in enumerate(offsets):
+            weights[a, 1 + a * len(offsets) + o] = FIRST_WEIGHTS[offset] / (12 * deltas[a])
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "offset", "x")))
+    packed = simulated.groupBy(*trace).agg(F.flatten(F.transform(in_order, lambda s: s["x"])).alias("_flat"))
+
+    @F.arrow_udf("array<double>")
+    def job(flat: pa.Array, obs: pa.Array) -> pa.Array:
+        parts = []
+        for rows, block in blocks(obs):
+            table = np.stack([np.asarray(v, float) for v in flat.take(pa.array(rows)).to_numpy(zero_copy_only=False)])
+            table = _checked(table, weights.shape[1] * block.shape[1]).reshape(len(rows), weights.shape[1], -1)
+            parts.append((rows, np.concatenate([np.einsum("pk,rkn->rpn", weights, table).reshape(len(rows), -1), block - table[:, 0]], axis=1)))
+        return lists_of(len(obs), parts)
+
+    both = join_same(observations, packed, trace)
+    return both.withColumn(out, job(F.col("_flat"), F.col("obs"))).drop("_flat")
+
+
 def solve_iterative(
-    observations: DataFrame, start: DataFrame, simulate: Callable[[DataFrame], DataFrame], deltas: list[float],
-    variance: float, iterations: int = 20, damping: float = 0.001, adaptive: bool = True, single_step: bool = False,
+    observations: DataFrame, start: DataFrame, simulate: Callable[[DataFrame], DataFrame], deltas: list[float], variance: float | None = None,
+    iterations: int = 20, damping: float = 0.001, adaptive: bool = True, single_step: bool = False, trace: list[str] | None = None,
+    factors: DataFrame | None = None, factor_keys: list[str] | None = None, prior: tuple | None = None, tolerance: float | None = None, **way,
 ) -> DataFrame:
     """Damped Gauss-Newton for any forward model, all events of a step in one job.
 
-    observations (event, obs array), start (event, theta array); `simulate` maps rows
-    (event, pos, offset, theta) to the same rows with x array.  The state of p numbers
-    per event is written to the shared folder after each step, so lineage stays short.
-    `single_step` is two undamped steps.  Returns the history (event, iteration, theta, chi2).
+    observations (event, `trace` columns, obs array), start (event, theta array); `simulate` maps rows
+    (event, pos, offset, theta) to rows with the `trace` columns and x array. The noise is `variance` or a
+    table of `factors` with the observation columns `factor_keys`, see `factors`. A prior is its mean and
+    its variances or its covariance matrix; its precision joins F, and its pull the score.
+
+    Each trace gives the products of its gradients and residual with C^-1, p(p+3)/2+1 numbers, which are
+    summed per event by partial aggregates: an event may have any number of traces in any number of tasks.
+    An event stops once chi2 changes by no more than `tolerance` of it. The state of p numbers per event is
+    written to the shared folder after each step, so lineage stays short. `single_step` is two undamped
+    steps. An event of which a trace has no covariance or a null sample, and one without a trace, has null
+    results in its first step and no further ones.
+
+    Returns the history (event, iteration, theta, chi2, objective, converged): theta before the step, chi2 per
+    sample, and the chi-square plus that of the prior.
     """
-    p = len(deltas)
+    p, trace = len(deltas), list(trace or [])
     if single_step:
         iterations, damping, adaptive = 2, 0.0, False
+    mean, precision = np.zeros(p), np.zeros((p, p))
+    if prior is not None:
+        mean, spread = np.asarray(prior[0], float), np.asarray(prior[1], float)
+        precision = np.diag(1 / spread) if spread.ndim == 1 else np.linalg.inv(spread)
+    spark = observations.sparkSession
+    if factors is None:
+        if variance is None:
+            raise ValueError("give a variance or a table of factors")
+        factors = diagonal_factors(spark.range(1).select(F.lit(float(variance)).alias("variance")), [])
     shifts = [(-1, 0, 0.0)] + [(a, o, o * deltas[a]) for a in range(p) for o in FIRST_WEIGHTS]
     moves = F.array(*[F.struct(F.lit(a).alias("pos"), F.lit(o).alias("offset"), F.lit(float(s)).alias("s")) for a, o, s in shifts])
+    upper = np.triu_indices(p + 1)
+
+    @F.pandas_udf("theta array<double>, chi2 double, objective double, next array<double>, damping double, converged boolean")
+    def step(sums: pd.Series, samples: pd.Series, centre: pd.Series, lam: pd.Series, before: pd.Series) -> pd.DataFrame:
+        theta = np.stack([np.asarray(c, float) for c in centre])
+        forms = np.full((len(theta), p + 1, p + 1), np.nan)
+        forms[:, upper[0], upper[1]] = np.stack([np.full(len(upper[0]), np.nan) if s is None else np.asarray(s, float) for s in sums])
+        forms[:, upper[1], upper[0]] = forms[:, upper[0], upper[1]]
+        chi, last = forms[:, p, p] / samples.to_numpy(float), before.to_numpy(float)
+        lam = lam.to_numpy(float)
+        lam = _damp(lam, chi, last) if adaptive else lam
+        fisher = forms[:, :p, :p] + precision
+        score = forms[:, :p, p] + (mean - theta) @ precision
+        usable = np.isfinite(forms).all(axis=(1, 2))
+        left = np.where(usable[:, None, None], fisher + lam[:, None, None] * fisher * np.eye(p), np.eye(p))
+        move = np.where(usable[:, None], np.linalg.solve(left, np.where(usable[:, None], score, 0.0)[:, :, None])[:, :, 0], np.nan)
+        pull = np.einsum("ea,ab,eb->e", theta - mean, precision, theta - mean)
+        done = ~usable | (np.abs(last - chi) <= (-1.0 if tolerance is None else tolerance) * np.abs(chi))
+        none = [None if not u else v for u, v in zip(usable, theta + move)]
+        return pd.DataFrame({"theta": list(theta), "chi2": pd.Series(chi, dtype="Float64").where(usable), "objective": pd.Series(forms[:, p, p] + pull, dtype="Float64").where(usable),
+                             "next": none, "damping": lam, "converged": done})
 
-    def update(rows: pd.DataFrame) -> pd.DataFrame:
-        table = {(int(a), int(o)): np.asarray(v, float) for a, o, v in zip(rows["pos"], rows["offset"], rows["x"])}
-        head = rows.iloc[0]
-        theta, obs = np.asarray(head["centre"], float), np.asarray(head["obs"], float)
-        grad = np.array([sum(w * table[(a, o)] for o, w in FIRST_WEIGHTS.items()) / (12 * deltas[a]) for a in range(p)])
-        residual = obs - table[(-1, 0)]
-        chi = float(residual @ residual / variance / len(obs))
-        lam = float(_damp(np.array(head["damping"]), np.array(chi), np.array(head["before"]))) if adaptive else float(head["damping"])
-        fisher = grad @ grad.T / variance
-        left = fisher + lam * np.diag(np.diag(fisher))
-        step = np.linalg.solve(left, grad @ residual / variance)
-        return pd.DataFrame({"event": [head["event"]], "iteration": [int(head["iteration"])], "theta": [theta], "chi2": [chi],
-                             "next": [theta + step], "damping": [lam]})
-
-    event_type = observations.schema["event"].dataType.simpleString()
     state = start.select("event", "theta", F.lit(0).alias("iteration"), F.lit(float(damping)).alias("damping"), F.lit(float("inf")).alias("before"))
     history = None
     for it in range(iterations):
         moved = state.withColumn("_m", F.explode(moves)).select(
             "event", "_m.pos", "_m.offset",
             F.transform("theta", lambda v, k: v + F.when(k == F.col("_m.pos"), F.col("_m.s")).otherwise(0.0)).alias("theta"))
-        sims = simulate(moved).select("event", "pos", "offset", "x")
-        joined = sims.join(state.withColumnRenamed("theta", "centre"), "event").join(observations.select("event", "obs"), "event")
-        step = joined.groupBy("event").applyInPandas(
-            update, f"event {event_type}, iteration int, theta array<double>, chi2 double, next array<double>, damping double")
-        done = materialise(step, f"least-squares-{it}")
-        part = done.select("event", "iteration", "theta", "chi2")
+        stacked = stacked_derivatives(simulate(moved).select("event", *trace, "pos", "offset", "x"), observations, ["event", *trace], deltas)
+        forms = quadratic_forms(stacked.withColumn("_n", F.size("obs")), factors, list(factor_keys or []), p + 1, forms="_forms", **way)
+        whole = F.count("_forms") == F.count(F.lit(1))
+        sums = forms.groupBy("event").agg(F.sum("_n").alias("_n"), F.when(whole, F.array(*[F.sum(F.col("_forms")[i]) for i in range(len(upper[0]))])).alias("_sums"))
+        named = sums.withColumnRenamed("event", "_event")
+        joined = state.join(named, state["event"].eqNullSafe(named["_event"]), "left").drop("_event")
+        stepped = joined.withColumn("_s", step("_sums", F.coalesce("_n", F.lit(1)), "theta", "damping", "before"))
+        done = materialise(stepped.select("event", "iteration", "_s.*"), f"least-squares-{it}")
+        part = done.select("event", "iteration", "theta", "chi2", "objective", "converged")
         history = part if history is None else history.unionByName(part)
-        state = done.select("event", F.col("next").alias("theta"), F.lit(it + 1).alias("iteration"), "damping", F.col("chi2").alias("before"))
+        live = done.where(~F.col("converged"))
+        state = live.select("event", F.col("next").alias("theta"), F.lit(it + 1).alias("iteration"), "damping", F.col("chi2").alias("before"))
+        if live.isEmpty():
+            break
     return history
+
+
+def candidate_log_likelihood(residuals: DataFrame, factors: DataFrame, by: list[str], factor_keys: list[str], x: str = "x", **way) -> DataFrame:
+    """Log-likelihood of every candidate `by` from the residual traces of it, each with the covariance of its key.
+
+    chi2 = sum of r C^-1 r over the traces; log_likelihood = -chi2 / 2; normalised adds -(log det C + n log 2 pi) / 2.
+    Traces are reduced to two numbers in their tasks and summed by partial aggregates. A candidate of which
+    a trace has no covariance (or is null) has nulls.
+    """
+    forms = quadratic_forms(residuals.select(*by, *[k for k in factor_keys if k not in by], x), factors, factor_keys, x=x, forms="_forms", log_det="_log_det", **way)
+    whole = F.count("_forms") == F.count(F.lit(1))
+    sums = forms.groupBy(*by).agg(*[F.when(whole, F.sum(c)).alias(n) for n, c in {
+        "chi2": F.col("_forms")[0], "log_det": F.col("_log_det"), "_n": F.size(x)}.items()])
+    half = -F.col("chi2") / 2
+    return sums.select(*by, "chi2", "log_det", half.alias("log_likelihood"),
+                       (half - (F.col("log_det") + F.col("_n") * float(np.log(2 * np.pi))) / 2).alias("normalised"))

@@ -9,16 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietwave.functions.batches import blocks, lists_of
-from quietwave.functions.types import DOUBLES
-from quietwave.operators.ordering import with_totals
+from quietwave.operators.factors import PART_SAMPLES, colour, dense_factors, solve, toeplitz_factors
+from quietwave.operators.ordering import join_same, with_totals
 from quietwave.operators.traces import to_array
+from quietwave.session import materialise
 
-BLOCK_BYTES = 256 * 1024 * 1024
+BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def toeplitz_rows(cov: DataFrame, keys: list[str], k: str = "k", c: str = "c") -> DataFrame:
@@ -100,7 +99,7 @@ def mean_vectors(vectors: DataFrame, keys: list[str], x: str = "x") -> DataFrame
 def theory_covariance(realisations: DataFrame, keys: list[str], fiducial: DataFrame | None = None, x: str = "x") -> DataFrame:
     """sum_r (x_rt - m_t)(x_ru - m_u) / (R-1) per trace; m = fiducial trace or ensemble mean."""
     centre = fiducial if fiducial is not None else mean_vectors(realisations, keys, x)
-    residual = realisations.join(centre.select(*keys, F.col(x).alias("_m")), keys).select(
+    residual = join_same(realisations, centre.select(*keys, F.col(x).alias("_m")), keys).select(
         *keys, F.zip_with(x, "_m", lambda a, b: a - b).alias(x))
     return gram_rows(residual, keys, x).select(
         *keys, "t", F.transform("row", lambda v: F.try_divide(v, (F.col("n") - 1).cast("double"))).alias("row"))
@@ -127,105 +126,15 @@ def weighted_moments(df: DataFrame, groups: list[str], columns: list[str], weigh
                  F.try_divide(F.col(f"_s_{a}_{b}"), free).alias("cov")) for a, b in pairs])).alias("_p")).select(*groups, "_p.*")
 
 
-def solve_toeplitz(vectors: DataFrame, cov: DataFrame, keys: list[str], x: str = "x", out: str = "y") -> DataFrame:
-    """C^-1 x for Toeplitz blocks: the column of a block joins its vectors, tasks solve in batches."""
-    columns = to_array(cov, keys, "k", "c").withColumnRenamed("c", "_c")
-    return vectors.join(columns, keys).withColumn(out, _solve_columns(F.col("_c"), F.col(x))).drop("_c")
-
-
-def toeplitz_inverse(column: np.ndarray) -> np.ndarray:
-    """Inverse of the symmetric positive definite Toeplitz matrix of a first column, in O(n^2).
-
-    Durbin's recursion gives the first column f of the inverse; down each diagonal the inverse
-    grows by products of f and of f reversed (Gohberg and Semencul).
-    """
-    n = len(column)
-    if not np.all(column[:1] > 0):
-        raise np.linalg.LinAlgError("the Toeplitz matrix is not positive definite")
-    first = np.zeros(n)
-    first[0] = 1 / column[0]
-    for k in range(1, n):
-        off = column[k:0:-1] @ first[:k]
-        rest = 1 - off * off
-        if not rest > 0:
-            raise np.linalg.LinAlgError("the Toeplitz matrix is not positive definite")
-        first[:k + 1] = (first[:k + 1] - off * first[k::-1]) / rest
-    steps = np.outer(first, first / first[0])
-    steps[1:, 1:] -= np.outer(first[:0:-1], first[:0:-1] / first[0])
-    for i in range(1, n):
-        steps[i, 1:] += steps[i - 1, :-1]
-    return steps
-
-
-@F.arrow_udf(DOUBLES)
-def _solve_columns(columns: pa.Array, traces: pa.Array) -> pa.Array:
-    """Invert each distinct column of a batch once, then multiply all its traces together."""
-    parts = []
-    for (rows, cols), (_, block) in zip(blocks(columns), blocks(traces)):
-        distinct, member = np.unique(cols, axis=0, return_inverse=True)
-        for k, c in enumerate(distinct):
-            own = member == k
-            parts.append((rows[own], block[own] @ toeplitz_inverse(c)))
-    return lists_of(len(traces), parts)
-
-
-def _collect_blocks(blocks: DataFrame, keys: list[str]) -> dict:
-    found: dict = {}
-    for row in blocks.select(*keys, "t", "row").toLocalIterator():
-        found.setdefault(tuple(row[k] for k in keys), {})[row["t"]] = row["row"]
-    return {key: np.array([rows[t] for t in sorted(rows)]) for key, rows in found.items()}
+def solve_toeplitz(vectors: DataFrame, cov: DataFrame, keys: list[str], x: str = "x", out: str = "y", memory: int = BLOCK_BYTES) -> DataFrame:
+    """C^-1 x for Toeplitz columns (keys, k, c), each factored once; without a column of its key a vector gets null."""
+    factors = materialise(toeplitz_factors(cov, keys), "factors")
+    return solve(vectors, factors, keys, x, out, memory=memory)
 
 
 def apply_blocks(vectors: DataFrame, blocks: DataFrame, keys: list[str], mode: str, x: str = "x", out: str = "y",
-                 memory: int = BLOCK_BYTES, rows_per_task: int = 20_000) -> DataFrame:
-    """Dense blocks on the vectors of their key: mode solve (C^-1 x) or colour (L x, L L' = C).
-
-    Blocks up to `memory` bytes in all are broadcast as Cholesky factors.  Larger sets
-    are co-grouped with salted vectors, so a key with most of the vectors is split.
-    Both ways keep every vector; one whose key has no block gets a null result, and a null
-    key is a key like any other.
-    """
-    spark = vectors.sparkSession
-
-    def use(factor: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-        if mode == "colour":
-            return factor @ rhs
-        return np.linalg.solve(factor.T, np.linalg.solve(factor, rhs))
-
-    size = blocks.agg(F.sum(F.size("row")).cast("long").alias("n")).first()["n"] or 0
-    if size * 8 <= memory:
-        factors = {k: np.linalg.cholesky(b) for k, b in _collect_blocks(blocks, keys).items()}
-        shared = spark.sparkContext.broadcast(factors)
-
-        def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                result: dict = {}
-                for key, part in batch.groupby(keys, sort=False, dropna=False):
-                    factor = shared.value.get(_key(key))
-                    if factor is None:
-                        continue
-                    rhs = np.stack([np.asarray(v, float) for v in part[x]], 1)
-                    result.update(zip(part.index, use(factor, rhs).T))
-                yield batch.assign(**{out: [result.get(i) for i in batch.index]})
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
-        return vectors.mapInPandas(job, f"{fields}, `{out}` array<double>")
-
-    top = vectors.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    salts = int(-(-top // rows_per_task))
-    salted = vectors.withColumn("_salt", F.pmod(F.xxhash64(*vectors.columns), F.lit(salts)))
-    copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    names = [f.name for f in vectors.schema.fields]
-
-    def solve(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame()
-        if block.empty:
-            return rows[names].assign(**{out: [None] * len(rows)})
-        factor = np.linalg.cholesky(np.stack(list(block.sort_values("t")["row"])))
-        rhs = np.stack([np.asarray(v, float) for v in rows[x]], 1)
-        return rows[names].assign(**{out: list(use(factor, rhs).T)})
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
-    return salted.groupBy(*keys, "_salt").cogroup(copies.groupBy(*keys, "_salt")).applyInPandas(
-        solve, f"{fields}, `{out}` array<double>")
+                 memory: int = BLOCK_BYTES, part_samples: int = PART_SAMPLES) -> DataFrame:
+    """Dense blocks on the vectors of their key: mode solve (C^-1 x) or colour (L x, L L' = C), see `factors`."""
+    factors = materialise(dense_factors(blocks, keys, inverse=mode == "solve"), "factors")
+    use = solve if mode == "solve" else colour
+    return use(vectors, factors, keys, x, out, memory=memory, part_samples=part_samples)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quietwave.operators import compression, covariance, inference, intervals, noise, priors
+from quietwave.operators import compression, covariance, factors, inference, intervals, noise, priors
 
 OFFSET = 1e8
 
@@ -100,6 +100,6 @@ def test_toeplitz_inverse(n):
     lag = np.arange(n)
     column = np.exp(-lag / 7) * np.cos(lag / 5) + 0.05 * (lag == 0)
     dense = column[np.abs(np.subtract.outer(lag, lag))]
-    assert np.allclose(covariance.toeplitz_inverse(column), np.linalg.inv(dense), rtol=1e-9, atol=1e-9)
+    assert np.allclose(factors.toeplitz_inverse(column), np.linalg.inv(dense), rtol=1e-9, atol=1e-9)
     with pytest.raises(np.linalg.LinAlgError):
-        covariance.toeplitz_inverse(np.array([1.0, 2.0, 0.0]))
+        factors.toeplitz_inverse(np.array([1.0, 2.0, 0.0]))

@@ -35,7 +35,7 @@ def test_block_solves_agree_broadcast_salted_and_toeplitz(spark):
     blocks = V.toeplitz_rows(cov, ["station"])
     first = {r["id"]: r["y"] for r in V.solve_toeplitz(df, cov, ["station"]).collect()}
     second = {r["id"]: r["y"] for r in V.apply_blocks(df, blocks, ["station"], "solve").collect()}
-    third = {r["id"]: r["y"] for r in V.apply_blocks(df, blocks, ["station"], "solve", memory=0, rows_per_task=50).collect()}
+    third = {r["id"]: r["y"] for r in V.apply_blocks(df, blocks, ["station"], "solve", memory=0, part_samples=600).collect()}
     c = 2.0 * np.exp(-np.arange(12) / 20) * np.cos(0.22 * np.arange(12))
     c[0] *= 1.01
     dense = c[np.abs(np.subtract.outer(np.arange(12), np.arange(12)))]

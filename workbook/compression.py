@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quietwave.functions import arrays as A
 from quietwave.functions import parameters as T
 from quietwave.operators import compression as C
-from quietwave.operators.covariance import mean_vectors, solve_toeplitz
+from quietwave.operators.covariance import mean_vectors, solve_toeplitz, toeplitz_rows
+from quietwave.operators.factors import dense_factors, diagonal_factors, toeplitz_factors
 from quietwave.operators.noise import damped_cosine_columns
 from quietwave.operators.posterior import compression_quality as quality
 from quietwave.plans.inversion import compress_ensemble
@@ -273,6 +274,120 @@ def multi_point_compression(spark, sf_dir):
     return rows(first.unionByName(second).withColumn("back", _back("e", f)), "back", "score", 3, keys=("id", "point"))
 
 
+# --- covariances of two traces of 29 samples: diagonal, exponential, and exponential with growing amplitude ---
+
+def _trace_variances(spark):
+    return spark.range(2).select(F.col("id").cast("int").alias("trace"), (F.lit(0.02) * (1 + F.col("id"))).alias("variance"))
+
+
+def _exponential_columns(spark):
+    return damped_cosine_columns(_trace_variances(spark), 29, omega=0.0, jitter=0.0).select("trace", "k", "c")
+
+
+def _growing_rows(spark):
+    """amplitude_t C_tu amplitude_u with amplitude 1 + t / 10."""
+    rows = toeplitz_rows(_exponential_columns(spark), ["trace"])
+    return rows.withColumn("row", F.transform("row", lambda v, u: v * (1 + u / 10) * (1 + F.col("t") / 10)))
+
+
+FACTORS = {
+    "diagonal": lambda spark: diagonal_factors(_trace_variances(spark), ["trace"]),
+    "toeplitz": lambda spark: toeplitz_factors(_exponential_columns(spark), ["trace"]),
+    "dense": lambda spark: dense_factors(_growing_rows(spark), ["trace"]),
+}
+
+
+def halves(x):
+    """(trace, x): the two traces of a record of 58 samples."""
+    return F.posexplode(F.array(F.slice(x, 1, 29), F.slice(x, 30, 29))).alias("trace", "x")
+
+
+def _whitened_sql(kind, rows, value, by):
+    """Named selects: white(by, i, z) with sum(z * z) the quadratic form of each trace of 29; logs(l) the log determinant of both."""
+    scaled = f"{value} / (1 + (i % 29) / 10.0::DOUBLE)" if kind == "dense" else value
+    var = "(0.02::DOUBLE * (1 + i // 29))"
+    before = f"lag(e) OVER (PARTITION BY {by}, i // 29 ORDER BY i)"
+    step = "e" if kind == "diagonal" else f"CASE WHEN i % 29 = 0 THEN e ELSE (e - {_RHO} * {before}) / sqrt(1 - {_RHO} * {_RHO}) END"
+    corr = "0" if kind == "diagonal" else f"56 * ln(1 - {_RHO} * {_RHO})"
+    grow = "2 * 2 * (SELECT sum(ln(1 + t / 10.0::DOUBLE)) FROM generate_series(0, 28) q(t))" if kind == "dense" else "0"
+    return {"scaled": f"SELECT {by}, i, {scaled} AS e FROM {rows}", "white": f"SELECT {by}, i, ({step}) / sqrt({var}) AS z FROM scaled",
+            "logs": f"SELECT 29 * ln(0.02::DOUBLE) + 29 * ln(0.04::DOUBLE) + {corr} + {grow} AS l"}
+
+
+def _candidate_query(kind):
+    sql = ctes("grad", rs="SELECT id, i, list_dot_product(theta, g) - d[i + 1] AS r FROM sims CROSS JOIN grad", **_whitened_sql(kind, "rs", "r", "id")) + f"""
+SELECT id, {R('sum(z * z)', 4)} AS chi2, {R('max(l)', 6)} AS log_det, {R('-sum(z * z) / 2', 4)} AS log_likelihood, {R('-(sum(z * z) + max(l) + 58 * ln(2 * pi())) / 2', 4)} AS normalised FROM white CROSS JOIN logs GROUP BY id"""
+
+    def run(spark, sf_dir, **way):
+        made = C.synthesize(sims(spark, sf_dir), gradients(spark, sf_dir), P)
+        residuals = made.select("id", F.zip_with("x", "d", lambda a, b: a - b).alias("r")).select("id", halves("r"))
+        found = C.candidate_log_likelihood(residuals, materialise(FACTORS[kind](spark), "factors"), ["id"], ["trace"], **way)
+        return found.select("id", rnd("chi2", 4).alias("chi2"), rnd("log_det").alias("log_det"), rnd("log_likelihood", 4).alias("log_likelihood"), rnd("normalised", 4).alias("normalised"))
+
+    query(f"candidate_log_likelihood_{kind}", sql)(run)
+    query(f"candidate_log_likelihood_{kind}_grouped", sql)(partial(run, memory=0, part_samples=29 * 40))
+
+
+for _kind in FACTORS:
+    _candidate_query(_kind)
+
+
+PRIOR = ([0.05 * (a - 2) for a in range(P)], [0.01 * (1 + a) for a in range(P)])
+
+
+def _solve_sql(steps, damping, adaptive, prior):
+    """Damped steps from theta 0 with the products b, q and f of an event; the 6 x 6 systems by elimination."""
+    mean, inverse = [[repr(float(v)) for v in c] for c in (prior[0], [1 / v for v in prior[1]])] if prior else (["0.0"] * P, ["0.0"] * P)
+    fixed = f"[{', '.join(mean)}]::DOUBLE[] AS pm, [{', '.join(inverse)}]::DOUBLE[] AS pi"
+    out = [f"s0 AS MATERIALIZED (SELECT event, list_transform(range(6), lambda j: 0.0::DOUBLE) AS th, {damping}::DOUBLE AS lam, 'inf'::DOUBLE AS prev, b, q, f, {fixed} FROM nb JOIN nq USING (event) CROSS JOIN nf)"]
+    for k in range(steps):
+        lam = "CASE WHEN chi > 0.99 * prev THEN lam * 1.2 ELSE lam / 1.5 END" if adaptive else "lam"
+        out.append(f"c{k} AS MATERIALIZED (SELECT *, chi0 / 58 AS chi FROM (SELECT *, q - 2 * list_dot_product(b, th) + list_dot_product(th, list_transform(f, lambda r: list_dot_product(r, th))) AS chi0 FROM s{k}))")
+        out.append(f"l{k} AS MATERIALIZED (SELECT * REPLACE ({lam} AS lam) FROM c{k})")
+        out.append(f"""m{k}_0 AS MATERIALIZED (SELECT event, r, list_append(list_transform(range(1, 7), lambda j: f[r][j] + CASE WHEN j = r THEN pi[r] + lam * (f[r][r] + pi[r]) ELSE 0 END),
+  b[r] - list_dot_product(f[r], th) + pi[r] * (pm[r] - th[r])) AS row FROM l{k} CROSS JOIN range(1, 7) t(r))""")
+        for c in range(1, P + 1):
+            out.append(f"""m{k}_{c} AS MATERIALIZED (SELECT x.event, x.r, list_transform(range(1, 8), lambda j: CASE WHEN x.r = {c} THEN x.row[j] / y.row[{c}] ELSE x.row[j] - x.row[{c}] / y.row[{c}] * y.row[j] END) AS row
+  FROM m{k}_{c - 1} x JOIN m{k}_{c - 1} y ON x.event = y.event AND y.r = {c})""")
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT l.* EXCLUDE (chi, chi0) REPLACE (list_transform(range(1, 7), lambda j: th[j] + move[j]) AS th, chi AS prev) FROM l{k} l JOIN (SELECT event, list(row[7] ORDER BY r) AS move FROM m{k}_6 GROUP BY event) USING (event))")
+    union = " UNION ALL ".join(f"SELECT event, {k} AS iteration, th, chi, chi0 + list_sum(list_transform(range(1, 7), lambda j: pi[j] * (th[j] - pm[j]) * (th[j] - pm[j]))) AS objective FROM c{k}" for k in range(steps))
+    return ",\n" + ",\n".join(out) + f""", al AS MATERIALIZED ({union})
+SELECT event, iteration::INTEGER AS iteration, a::INTEGER AS a, {R('th[a + 1]', 5)} AS theta, {R('chi', 5)} AS chi2, {R('objective', 3)} AS objective, iteration = arg_min(iteration, chi) OVER (PARTITION BY event) AS best
+FROM al CROSS JOIN range(0, 6) t(a)"""
+
+
+def _products_sql(kind):
+    """nb(event, b), nq(event, q), nf(f): gradients and observations whitened trace by trace."""
+    white = _whitened_sql(kind, "both0", "v", "who")
+    return ctes("grad", ob="SELECT ens, i, avg(v) AS o FROM sl GROUP BY 1, 2",
+                both0="SELECT 'g' || a AS who, i, g[a + 1] AS v FROM grad CROSS JOIN range(0, 6) t(a) UNION ALL SELECT 'e' || ens, i, o FROM ob", **white,
+                gz="SELECT substr(who, 2)::INTEGER AS a, i, z FROM white WHERE who[1] = 'g'", ez="SELECT substr(who, 2)::INTEGER AS event, i, z FROM white WHERE who[1] = 'e'",
+                nb="SELECT event, list(v ORDER BY a) AS b FROM (SELECT event, a, sum(ez.z * gz.z) AS v FROM ez JOIN gz USING (i) GROUP BY 1, 2) GROUP BY event",
+                nq="SELECT event, sum(z * z) AS q FROM ez GROUP BY event",
+                nf="SELECT list(r ORDER BY a) AS f FROM (SELECT a, list(v ORDER BY b) AS r FROM (SELECT x.a, y.a AS b, sum(x.z * y.z) AS v FROM gz x JOIN gz y USING (i) GROUP BY 1, 2) GROUP BY a)").rstrip("\n")
+
+
+def _least_squares_query(name, kind, steps, prior, damping=0.0, adaptive=False, **way):
+    @query(name, _products_sql(kind) + _solve_sql(steps, damping, adaptive, prior))
+    def run(spark, sf_dir):
+        g = materialise(gradients(spark, sf_dir), "gradients")
+        means = mean_vectors(sims(spark, sf_dir).select("ens", "d"), ["ens"], "d").select(F.col("ens").alias("event"), "d")
+        obs = means.select("event", halves("d")).withColumnRenamed("x", "obs")
+        start = means.select("event", F.array_repeat(F.lit(0.0), P).alias("theta"))
+        simulate = lambda c: C.synthesize(c, g, P, out="whole").select("event", "pos", "offset", halves("whole"))
+        history = C.solve_iterative(obs, start, simulate, [0.1] * P, iterations=steps, damping=damping, adaptive=adaptive, trace=["trace"],
+                                    factors=materialise(FACTORS[kind](spark), "factors"), factor_keys=["trace"], prior=prior, **way)
+        best = history.groupBy("event").agg(F.min_by("iteration", F.struct("chi2", "iteration")).alias("_best"))
+        both = history.join(best, "event").select("event", "iteration", F.posexplode("theta").alias("a", "theta"), "chi2", "objective", (F.col("iteration") == F.col("_best")).alias("best"))
+        return both.select("event", "iteration", "a", rnd("theta", 5).alias("theta"), rnd("chi2", 5).alias("chi2"), rnd("objective", 3).alias("objective"), "best")
+
+
+_least_squares_query("least_squares_prior", "diagonal", 4, PRIOR, damping=0.5, adaptive=True)
+_least_squares_query("least_squares_toeplitz", "toeplitz", 2, None)
+_least_squares_query("least_squares_toeplitz_prior", "toeplitz", 4, PRIOR, damping=0.3, adaptive=True)
+_least_squares_query("least_squares_dense_prior_grouped", "dense", 2, PRIOR, memory=0, part_samples=29 * 7 * 4)
+
+
 # The same results on the way that kernels beyond the broadcast size take.
 for _name, _query in {"linear_synthesis": linear_synthesis, "stencil_derivatives": stencil_derivatives, "hessian": hessian}.items():
     query(f"{_name}_long_form", CHECKS[_name])(partial(_query, memory=0))

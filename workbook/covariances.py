@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from quietwave.functions import arrays as A
@@ -132,6 +134,44 @@ def dense_block_chi2(spark, sf_dir):
     return solved.select("id", rnd(A.dot("x", "y"), 5).alias("chi2"))
 
 
+# A third of the records has a null station, with a covariance of its own; another third a station without one.
+_LOST = "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE station END"
+_LOST_SQL = f"""nk AS (SELECT id, {_LOST} AS station, x FROM rec), nl AS (SELECT id, station, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM nk),
+np AS (SELECT station, avg(v * v) AS variance FROM nl WHERE station IS NULL OR station >= 0 GROUP BY 1), nd AS (SELECT id, station, i, v, lag(v) OVER (PARTITION BY id ORDER BY i) AS p FROM nl)
+SELECT nd.id, {R(f'sum(CASE WHEN p IS NULL THEN v * v ELSE pow(v - {RHO} * p, 2) / (1 - {RHO} * {RHO}) END) / max(variance)', 5)} AS chi2 FROM nd LEFT JOIN np ON nd.station IS NOT DISTINCT FROM np.station GROUP BY nd.id"""
+
+
+def _lost(spark, sf_dir):
+    lost = records(spark, sf_dir).select("id", F.expr(_LOST).alias("station"), "x")
+    power = lost.where("station IS NULL OR station >= 0").select("station", F.explode("x").alias("v")).groupBy("station").agg(F.avg(F.col("v") * F.col("v")).alias("variance"))
+    return lost, N.damped_cosine_columns(power, 64, omega=0.0, jitter=0.0).select("station", "k", "c")
+
+
+@query("toeplitz_chi2_unmatched", ctes("rec") + ", " + _LOST_SQL)
+def toeplitz_chi2_unmatched(spark, sf_dir, **way):
+    lost, cov = _lost(spark, sf_dir)
+    return V.solve_toeplitz(lost, cov, ["station"], **way).select("id", rnd(A.dot("x", "y"), 5).alias("chi2"))
+
+
+@query("dense_block_chi2_unmatched", ctes("rec") + ", " + _LOST_SQL)
+def dense_block_chi2_unmatched(spark, sf_dir, **way):
+    lost, cov = _lost(spark, sf_dir)
+    return V.apply_blocks(lost, V.toeplitz_rows(cov, ["station"]), ["station"], "solve", **way).select("id", rnd(A.dot("x", "y"), 5).alias("chi2"))
+
+
+query("dense_block_chi2_grouped", ctes("rec") + ", " + _LOST_SQL)(partial(dense_block_chi2_unmatched, memory=0, part_samples=64 * 20))
+
+
+@query("theory_covariance_null_key", ctes("rec") + f""", nk AS (SELECT id, {_LOST} AS station, x FROM rec), rl AS (SELECT id, station, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM nk),
+mean0 AS (SELECT station, i, avg(v) AS m FROM rl GROUP BY 1, 2), rs AS (SELECT rl.station, rl.id, rl.i, rl.v - m AS r FROM rl JOIN mean0 ON rl.i = mean0.i AND rl.station IS NOT DISTINCT FROM mean0.station),
+theory AS (SELECT a.station, a.i AS t, b.i AS u, sum(a.r * b.r) / (count(*) - 1) AS c FROM rs a JOIN rs b ON a.id = b.id GROUP BY 1, 2, 3)
+SELECT station, t::INTEGER AS t, {R('sum(c * (u + 1))', 7)} AS checksum, {R('sum(c * c)', 8)} AS power FROM theory GROUP BY station, t""")
+def theory_covariance_null_key(spark, sf_dir):
+    lost = records(spark, sf_dir).select(F.expr(_LOST).alias("station"), "x")
+    made = V.theory_covariance(lost, ["station"])
+    return made.select("station", "t", rnd(checksum("row"), 7).alias("checksum"), rnd(A.power("row"), 8).alias("power"))
+
+
 @query("diagonal_chi2", ctes("rl") + f", pw AS (SELECT station, component, avg(v * v) AS variance FROM rl GROUP BY 1, 2) SELECT id, {R('sum(v * v) / max(variance)', 6)} AS chi2, {R('sum(v * (i + 1)) / max(variance)', 5)} AS solved FROM rl JOIN pw USING (station, component) GROUP BY id")
 def diagonal_chi2(spark, sf_dir):
     power, _ = _exponential(spark, sf_dir)
