@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietwave.operators.ordering import ROWS_PER_CHUNK, running
+from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked, running
+from quietwave.session import materialise
 
-OBSERVED_BLOCK = 2_000
+BLOCK_ROWS, BLOCKS, PIVOTS, PART_ROWS = 20_000, 1 << 16, 1024, 5_000
 
 
 def posterior_weights(draws: DataFrame, event: list[str], logp: str = "logp") -> DataFrame:
@@ -38,52 +42,157 @@ def weighted_quantiles(draws: DataFrame, groups: list[str], value: str, row_id:
     ])).alias("_r")).select(*groups, "_r.*")
 
 
-def _nearest_block(prior: DataFrame, observed: list, event_type: str, row_id: str, stats: str, k: int) -> DataFrame:
-    keys = [row[0] for row in observed]
-    targets = np.array([row[1] for row in observed], float)
-    id_type = prior.schema[row_id].dataType.simpleString()
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_d = np.empty((len(keys), 0))
-        best_i = np.empty((len(keys), 0), dtype=object)
-        for batch in batches:
-            block = np.stack([np.asarray(v, float) for v in batch[stats]])
-            ids = batch[row_id].to_numpy(dtype=object)
-            rows = max(1, 4_000_000 // max(1, targets.size))
-            for at in range(0, len(block), rows):
-                part = block[at:at + rows]
-                d = np.sqrt(((targets[:, None, :] - part[None, :, :]) ** 2).sum(axis=2))
-                d = np.concatenate([best_d, d], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids[at:at + rows], (len(keys), len(part)))], axis=1)
-                order = np.stack([np.lexsort((i[e], d[e]))[:k] for e in range(len(keys))])
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        for e in range(len(keys)):
-            if best_d.shape[1]:
-                yield pd.DataFrame({"event": [keys[e]] * best_d.shape[1], row_id: best_i[e], "distance": best_d[e]})
-
-    return prior.select(row_id, stats).mapInPandas(
-        partial, f"event {event_type}, `{row_id}` {id_type}, distance double")
+@dataclass
+class BlockIndex:
+    """Blocks of prior rows: pivot, number of rows, least and greatest distance to the pivot."""
 
+    pivots: np.ndarray
+    cell: np.ndarray
+    count: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
 
-def nearest_draws(prior: DataFrame, observed: DataFrame, row_id: str, event: str, stats: str, k: int,
-                  block: int = OBSERVED_BLOCK) -> DataFrame:
-    """The k prior rows whose statistics lie nearest those of each observed event.
+    def bounds(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest possible distance of every point to the rows of every block, with room for rounding."""
+        away = _distances(points, self.pivots)[:, self.cell]
+        slack = 1e-12 * (away + self.outer)
+        return np.maximum(0.0, np.maximum(away - self.outer, self.inner - away)) - slack, away + self.outer + slack
+
+    def first_visit(self, greatest: np.ndarray, k: int) -> np.ndarray:
+        """Points x blocks: the blocks, by greatest distance, that hold k rows for sure."""
+        order = np.argsort(greatest, axis=1, kind="stable")
+        held = np.cumsum(self.count[order], axis=1)
+        taken = held - self.count[order] < k
+        out = np.zeros_like(taken)
+        np.put_along_axis(out, order, taken, 1)
+        return out
+
+
+def _distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Distances, points x others, in slices of bounded size; by differences, so that equal rows are at 0."""
+    out = np.empty((len(points), len(others)))
+    step = max(1, 4_000_000 // max(1, others.size))
+    for at in range(0, len(points), step):
+        out[at:at + step] = np.sqrt(((points[at:at + step, None, :] - others[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
+def _usable(stats: str) -> Column:
+    return F.col(stats).isNotNull() & F.forall(stats, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+
+def _assigned(prior: DataFrame, row_id: str, stats: str, pivots: np.ndarray) -> DataFrame:
+    """The nearest pivot of every row and the distance to it."""
+    @F.pandas_udf("cell int, radius double")
+    def nearest(rows: pd.Series) -> pd.DataFrame:
+        found = _distances(np.stack([np.asarray(v, float) for v in rows]), pivots)
+        cell = found.argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "radius": found[np.arange(len(found)), cell]})
 
-    The prior is scanned in place: a task keeps the k nearest of its own rows per event,
-    so k rows per event and task are shuffled and no pair table exists.  Observed events
-    are taken in blocks of bounded size, one scan each.
+    return prior.withColumn("_n", nearest(stats)).select(F.col(row_id).alias("_id"), F.col(stats).cast("array<double>").alias("_s"), "_n.*")
+
+
+def prior_index(prior: DataFrame, row_id: str, stats: str, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> tuple[DataFrame, BlockIndex]:
+    """Prior rows (_id, _s, block), written, and the bounds of their blocks.
+
+    Cells around pivots (a sample of the rows) are cut into rings of `block_rows` rows by distance to the
+    pivot. The driver gets the pivots and four numbers per block, at most about BLOCKS of them: beyond
+    that blocks grow.
+    """
+    usable = prior.where(_usable(stats))
+    total = usable.count()
+    if not total:
+        none = usable.select(F.lit(0).alias("block"), F.col(row_id).alias("_id"), F.col(stats).cast("array<double>").alias("_s"))
+        return none, BlockIndex(np.zeros((0, 1)), *(np.zeros(0) for _ in range(4)))
+    block_rows = max(block_rows, -(-total // BLOCKS))
+    wanted = min(pivots, -(-total // block_rows))
+    sample = usable.select(stats).orderBy(F.xxhash64(row_id, stats)).limit(wanted).collect()
+    points = np.array([r[0] for r in sample], float).reshape(len(sample), -1)
+    if len(points) > 1:
+        points = np.unique(points, axis=0)
+    placed = _assigned(usable, row_id, stats, points)
+    if total > block_rows:
+        placed = materialise(placed, "cells")
+        placed = ranked(placed, ["radius", "_id"], ["cell"], "_rank").withColumn("ring", F.floor((F.col("_rank") - 1) / block_rows).cast("int")).drop("_rank")
+    else:
+        placed = placed.withColumn("ring", F.lit(0))
+    placed = materialise(placed, "prior")
+    rows = placed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).orderBy("cell", "ring").collect()
+    index = BlockIndex(points, *(np.array([r[c] for r in rows], kind) for c, kind in (("cell", int), ("n", int), ("lo", float), ("hi", float))))
+    numbers = prior.sparkSession.createDataFrame([(r["cell"], r["ring"], b) for b, r in enumerate(rows)], "cell int, ring int, block int")
+    return placed.join(numbers, ["cell", "ring"]).select("block", "_id", "_s"), index
+
+
+def _visit(blocks: DataFrame, requests: DataFrame, k: int, id_type: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """The k nearest rows of each requested block: (_row, _id, distance). A block with many requests is split."""
+    counts = requests.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts"))
+    split = requests.join(counts, "block").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int")).drop("_parts")
+    copies = blocks.join(counts, "block").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        points, own = (np.array(t.column(c).to_pylist(), float).reshape(t.num_rows, -1) for t, c in ((rows, "_s"), (asked, "_t")))
+        ids = rows.column("_id").combine_chunks()
+        place = np.empty(len(ids), int)
+        place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        who, what, far = [], [], []
+        step = max(1, 4_000_000 // max(1, points.size))
+        for at in range(0, len(own) if len(ids) else 0, step):
+            found = _distances(own[at:at + step], points)
+            order = np.stack([np.lexsort((place, d))[:k] for d in found])
+            who.append(np.repeat(np.arange(at, at + len(found)), order.shape[1]))
+            what.append(order.ravel())
+            far.append(np.take_along_axis(found, order, 1).ravel())
+        pick = pa.array(np.concatenate(who) if who else np.zeros(0, int)), pa.array(np.concatenate(what) if what else np.zeros(0, int))
+        return pa.table([asked.column("_row").take(pick[0]), ids.take(pick[1]), pa.array(np.concatenate(far) if far else np.zeros(0))], names=["_row", "_id", "distance"])
+
+    return copies.groupBy("block", "_part").cogroup(split.groupBy("block", "_part")).applyInArrow(best, f"_row long, _id {id_type}, distance double")
+
+
+def nearest_draws(prior: DataFrame, observed: DataFrame, row_id: str, event: str, stats: str, k: int,
+                  block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, part_rows: int = PART_ROWS) -> DataFrame:
+    """The k prior rows whose statistics lie nearest those of each observed row: (event, row_id, distance, rank).
+
+    A metric index bounds the distance of an observed row to each block of prior rows by the triangle
+    inequality. First each row visits the blocks that hold k rows for sure and lie nearest; the k-th
+    distance found there then rules out all other blocks but those that may hold a nearer row, which are
+    visited second. The result is exact, ties by row_id. Observed rows stay distributed and each is a row
+    of its own, whatever its event; a block asked for by many of them is copied to several tasks. Rows
+    of the prior or observed rows that are null or hold a null or non-finite number take no part.
     """
-    parts = None
-    keyed = observed.select(event, stats)
-    blocks = max(1, -(-keyed.count() // block))
-    event_type = keyed.schema[event].dataType.simpleString()
-    for b in range(blocks):
-        rows = keyed.where(F.pmod(F.xxhash64(event), F.lit(blocks)) == b).collect()
-        if rows:
-            part = _nearest_block(prior, [(r[event], r[stats]) for r in rows], event_type, row_id, stats, k)
-            parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        id_type = prior.schema[row_id].dataType.simpleString()
-        parts = prior.sparkSession.createDataFrame([], f"event {event_type}, `{row_id}` {id_type}, distance double")
-    order = Window.partitionBy("event").orderBy("distance", row_id)
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    spark = prior.sparkSession
+    id_type, event_type = (df.schema[c].dataType.simpleString() for df, c in ((prior, row_id), (observed, event)))
+    blocks, index = prior_index(prior, row_id, stats, block_rows, pivots)
+    asked = observed.where(_usable(stats)).select(F.col(event).alias("event"), F.col(stats).cast("array<double>").alias("_t")).withColumn("_row", F.monotonically_increasing_id())
+    if not len(index.count):
+        return spark.createDataFrame([], f"event {event_type}, `{row_id}` {id_type}, distance double, rank int")
+    asked = materialise(asked, "observed")
+    shared = spark.sparkContext.broadcast(index)
+
+    def requests(limits: bool):
+        def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = shared.value
+            step = max(1, 2_000_000 // len(tree.count))
+            for batch in batches:
+                points = np.array(batch.column("_t").to_pylist(), float).reshape(batch.num_rows, -1)
+                for at in range(0, batch.num_rows, step):
+                    least, greatest = tree.bounds(points[at:at + step])
+                    chosen = tree.first_visit(greatest, k)
+                    if limits:
+                        kth = batch.column("_kth").to_numpy(zero_copy_only=False)[at:at + step]
+                        chosen = ~chosen & (least <= kth[:, None])
+                    row, block = np.nonzero(chosen)
+                    part = batch.slice(at, step).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_t"), pa.array(block.astype(np.int32))], names=["_row", "_t", "block"])
+        return job
+
+    schema = "_row long, _t array<double>, block int"
+    first = materialise(_visit(blocks, asked.select("_row", "_t").mapInArrow(requests(False), schema), k, id_type, part_rows), "nearest")
+    found = first
+    if len(index.count) > 1:
+        order = Window.partitionBy("_row").orderBy("distance")
+        kth = first.withColumn("_at", F.row_number().over(order)).where(F.col("_at") == k).select("_row", F.col("distance").alias("_kth"))
+        # with fewer than k rows in all, the first visit went everywhere
+        bounded = asked.join(kth, "_row").select("_row", "_t", "_kth")
+        found = first.unionByName(_visit(blocks, bounded.mapInArrow(requests(True), schema), k, id_type, part_rows))
+    ranks = found.withColumn("rank", F.row_number().over(Window.partitionBy("_row").orderBy("distance", "_id"))).where(F.col("rank") <= k)
+    return ranks.join(asked.select("_row", "event"), "_row").select("event", F.col("_id").alias(row_id), "distance", "rank")

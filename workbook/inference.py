@@ -37,3 +37,14 @@ def nearest_statistics_posterior(spark, sf_dir):
     s = sims(spark, sf_dir)
     observed = mean_vectors(s.select("ens", "theta"), ["ens"], "theta").select(F.col("ens").alias("event"), "theta")
     return N.nearest_draws(s, observed, "id", "event", "theta", 15).select("event", "id", "rank", rnd("distance").alias("distance"))
+
+
+@query("nearest_statistics_indexed", ctes("sims") + f""", o AS (SELECT id % 7 AS event, id AS oid, list_transform(theta, lambda t: t * 1.5) AS t FROM sims WHERE id % 5 = 0),
+r AS (SELECT event, oid, id, list_distance(theta, t) AS d, row_number() OVER (PARTITION BY oid ORDER BY list_distance(theta, t), id) AS k FROM sims CROSS JOIN o)
+SELECT nullif(event, 0) AS event, k::INTEGER AS rank, count(*) AS n, {R('sum(d)', 5)} AS distance, sum(id)::BIGINT AS ids FROM r WHERE k <= 8 GROUP BY 1, 2""")
+def nearest_statistics_indexed(spark, sf_dir):
+    """Small blocks, so that the index prunes, and many observed rows of one (also a null) event."""
+    s = sims(spark, sf_dir)
+    observed = s.where("id % 5 = 0").select(F.nullif(F.pmod("id", F.lit(7)), F.lit(0)).alias("event"), F.transform("theta", lambda t: t * 1.5).alias("theta"))
+    found = N.nearest_draws(s, observed, "id", "event", "theta", 8, block_rows=60, pivots=5, part_rows=20)
+    return found.groupBy("event", "rank").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("distance"), 5).alias("distance"), F.sum("id").alias("ids"))
