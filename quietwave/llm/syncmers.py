@@ -25,6 +25,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,7 +78,8 @@ def anchors(text: Column, mers: tuple[int, int], start: Column | int = 0) -> Col
     covering = [*range(0, k - s, s), k - s]  # inner places whose s-mers make up the k-mer
 
     def chosen(h: Column) -> Column:
-        edges = F.transform(_window_least(h, width), lambda m, i: F.when((F.get(h, i + (width - 1)) == m) | ((F.get(h, i) == m) & (i + width <= F.size(h))), i))
+        full = F.slice(_window_least(h, width), 1, F.greatest(F.size(h) - (width - 1), F.lit(0)))
+        edges = F.transform(full, lambda m, i: F.when((F.get(h, i + (width - 1)) == m) | (F.get(h, i) == m), i))
         return F.transform(F.filter(edges, lambda i: i.isNotNull()), lambda i: _pack(F.xxhash64(*[F.get(h, i + c) for c in covering]), start + i))
 
     return let(F.transform(pieces, lambda p: F.xxhash64(p)), chosen)
@@ -180,8 +182,13 @@ def with_next(df: DataFrame, key: str, text: str, carry: list[str], out: str = "
     cuts = order_cuts(rows, order, -(-most["n"] // chunks))
     first = rows.agg(F.min(F.struct(*order)).alias("f")).first()["f"]
     # a cut is the key of a row that exists: the first row of its chunk, which the chunk before needs too
-    heads = [(*cut, i) for i, cut in enumerate(cuts)] + [(*first, len(cuts))]
-    heads = df.sparkSession.createDataFrame(heads, rows.select(*order, F.lit(0).alias("_to")).schema).groupBy(*order).agg(F.collect_list("_to").alias("_to"))
+    heads: dict[tuple, list[int]] = {tuple(first): [len(cuts)]}
+    for i, cut in enumerate(cuts):
+        heads.setdefault(tuple(cut), []).append(i)
+    # at most 4097 heads, as a constant of the plan: Spark sees how small they are and joins without an exchange of the texts
+    listed = json.dumps([{**dict(zip(order, head, strict=True)), "_to": to} for head, to in heads.items()], default=str)
+    shape = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.select(*order).schema.fields)
+    heads = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), f"array<struct<{shape}, _to: array<int>>>")))
     placed = with_chunk(rows, order, cuts, "_chunk").join(heads, order, "left")
     own, ahead = F.struct(F.col("_chunk"), F.lit(0).alias("_ahead")), F.transform("_to", lambda c: F.struct(c.alias("_chunk"), F.lit(1).alias("_ahead")))
     sent = placed.withColumn("_at", F.explode(F.concat(F.array(own), F.coalesce(ahead, F.array().cast("array<struct<_chunk:int,_ahead:int>>")))))
@@ -201,8 +208,10 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
     long_enough = cut >= SHORT
     signed = texts.withColumn("_both", F.when(F.col("_n") < SHORT, F.struct(_short_sketch(F.col("_text"), size).alias("a"), F.array().cast("array<bigint>").alias("b")))
                               .otherwise(_long_sketches(F.col("_text"), F.col("_n"), size, kept=cut - k)))
-    signed = signed.select(key, "_text", "_n", F.col("_both.a").alias("_sketch"), F.col("_both.b").alias("_kept"))
-    paired = with_next(signed, key, "_text", ["_text", "_n", "_sketch"], "_next", chunk_bytes)
+    # what both hold goes through the exchange once: both are the least of their union, the second up to the cut
+    signed = signed.select(key, "_text", "_n", F.sort_array(F.array_union("_both.a", "_both.b")).alias("_anchors"))
+    paired = with_next(signed, key, "_text", ["_text", "_n", "_anchors"], "_next", chunk_bytes).withColumns({
+        "_sketch": F.slice("_anchors", 1, size), "_kept": F.slice(F.filter("_anchors", lambda x: _place(x) <= cut - k), 1, size), "_next_sketch": F.slice("_next._anchors", 1, size)})
     end = F.substring(F.col("_next._text"), F.lit(1), F.col("_n") - cut)
     edited = paired.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), cut), end)).withColumn("_end", F.concat(F.substring("_text", cut - k + 2, F.lit(k - 1)), end))
     merged = _sketch(F.sort_array(F.concat("_kept", _long_sketches(F.col("_end"), F.length("_end"), size, cut - k + 1)["a"])), size)
@@ -211,4 +220,4 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
         key, F.col("_n").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("_sketch"), F.col("_n")).alias("fingerprint"), as_text(F.col("_edited_sketch"), F.col("_m")).alias("edited_fingerprint"),
         likeness(F.col("_sketch"), F.col("_n"), F.col("_edited_sketch"), F.col("_m"), size).alias("near_edited"),
-        likeness(F.col("_sketch"), F.col("_n"), F.col("_next._sketch"), F.col("_next._n"), size).alias("near_next"))
+        likeness(F.col("_sketch"), F.col("_n"), F.col("_next_sketch"), F.col("_next._n"), size).alias("near_next"))
