@@ -220,13 +220,65 @@ def estimates(scored: DataFrame, fisher: np.ndarray, theta: list[float], damping
 
     def element(a: int) -> Column:
         total = F.lit(float(theta[a]))
-        for b in range(len(theta)):
+        for b in np.flatnonzero(inverse[a]).tolist():
             total = total + F.lit(float(inverse[a, b])) * F.col(score)[b]
         return total
 
     return scored.withColumn(out, F.array(*[element(a) for a in range(len(theta))]))
 
 
+def stacked_points(tables: list[DataFrame]) -> DataFrame:
+    """Gradient tables of several expansion points side by side: (i, g, w, d0, shift).
+
+    g and w are the arrays of all points end to end and d0 that of the first point; `shift` holds the part of each
+    score that comes from the difference of the fiducial values, w (d0 of the first point - own d0).
+    """
+    out = None
+    for k, table in enumerate(tables):
+        own = _weights(table).select("i", F.col("g").alias(f"_g{k}"), F.col("w").alias(f"_w{k}"), F.col("d0").alias(f"_d{k}"))
+        out = own if out is None else out.join(own, "i")
+    every = range(len(tables))
+    shift = F.concat(*[_shifted(k) for k in every])
+    return out.select("i", F.concat(*[f"_g{k}" for k in every]).alias("g"), F.concat(*[f"_w{k}" for k in every]).alias("w"), F.col("_d0").alias("d0"), shift.alias("shift"))
+
+
+def _shifted(k: int) -> Column:
+    return F.transform(f"_w{k}", lambda v: v * (F.col("_d0") - F.col(f"_d{k}")))
+
+
+def estimates_at_points(records: DataFrame, points: list[tuple[DataFrame, list[float]]], x: str = "x", out: str = "estimate", damping: float | None = None,
+                        prior: tuple | None = None, **way) -> DataFrame:
+    """theta_k + F_k^-1 s_k of every expansion point k, end to end, by one product per record.
+
+    The weights of all points form one matrix, so the records are read once and not shuffled, however many points
+    there are. `prior` is a mean and its variances, the same for all points.
+    """
+    p = len(points[0][1])
+    stacked = materialise(stacked_points([g for g, _ in points]), "points")
+    size = p * len(points)
+    blocks_only = np.kron(np.eye(len(points)), np.ones((p, p)))
+    fisher = fisher_matrix(stacked, size, None if prior is None else list(prior[1]) * len(points)) * blocks_only
+    offset = np.array(stacked.agg(F.array(*[F.sum(F.col("shift")[a]) for a in range(size)])).first()[0], float)
+    theta = [t for _, own in points for t in own]
+    if prior is not None:
+        offset += np.array([(m - t) / v for _, own in points for m, v, t in zip(*prior, own, strict=True)])
+    scored = scores(records, stacked, size, x, "_score", prior_term=offset.tolist(), **way)
+    inverse = np.linalg.inv(fisher if not damping else fisher + damping * np.diag(np.diag(fisher)))
+    lines = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.array(*[F.lit(float(v)) for v in line]).alias("line")) for t, line in zip(theta, inverse, strict=True)])
+    product = F.transform(lines, lambda r: r["t"] + F.aggregate(F.zip_with(r["line"], "_score", lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v))
+    return scored.withColumn(out, F.when(F.col("_score").isNotNull(), product)).drop("_score")
+
+
+def observed_information(records: DataFrame, gradients: DataFrame, fisher: np.ndarray, p: int, x: str = "x", score: str = "score", out: str = "information", **way) -> DataFrame:
+    """Score and observed information F - (second derivatives) C^-1 (D - D0) of each record, from one product.
+
+    `gradients` holds the p first and p * p second derivatives side by side.
+    """
+    both = scores(records, gradients, p + p * p, x, "_both", **way)
+    flat = [float(v) for v in np.asarray(fisher).ravel()]
+    return both.withColumns({score: F.slice("_both", 1, p), out: F.zip_with(F.array(*[F.lit(v) for v in flat]), F.slice("_both", p + 1, p * p), lambda f, h: f - h)}).drop("_both")
+
+
 def stack_estimates(parts: DataFrame, keys: list[str], point: str, estimate: str = "estimate", out: str = "stacked") -> DataFrame:
     """Estimates from several expansion points side by side, in point order."""
     packed = F.array_sort(F.collect_list(F.struct(point, estimate)))

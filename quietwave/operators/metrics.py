@@ -5,12 +5,15 @@ Inputs are trace rows with the synthetic array `x` and the observed array `obs`.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwave.functions import arrays as A
+from quietwave.functions.batches import blocks
 from quietwave.functions.signal import autocovariance, band_power, envelope
 
 TINY = 1e-12
@@ -85,15 +88,26 @@ class MetricRegistry:
     def names(self) -> list[str]:
         return list(self._metrics)
 
-    def evaluate(self, traces: DataFrame, keys: list[str]) -> DataFrame:
-        """Long table keys, metric, value; a metric that yields nothing for a row is NaN.
+    def evaluate(self, traces: DataFrame, keys: list[str], errors: bool = False) -> DataFrame:
+        """Long table keys, metric, value (and error); a metric that yields nothing for a row is NaN.
 
-        All metrics run in one pass over the traces and are turned into rows at the end.
+        All metrics run in one pass over the traces and are turned into rows at the end. A metric that cannot be
+        planned on these traces is NaN for all of them, a failing row of an `array_metric` is NaN; the
+        others are not touched. With `errors` the reason is kept beside the value.
         """
         wide, entries = traces, []
         for k, (name, metric) in enumerate(self._metrics.items()):
-            wide = metric(wide).withColumnRenamed("value", f"_value{k}")
-            entries.append(F.struct(F.lit(name).alias("metric"), F.coalesce(F.col(f"_value{k}"), F.lit(float("nan"))).alias("value")))
+            value, reason = F.lit(float("nan")), F.lit(None).cast("string")
+            try:
+                made = metric(wide)
+                failed = "error" in made.columns and "error" not in wide.columns
+                wide = made.withColumnRenamed("value", f"_value{k}")
+                value = F.coalesce(F.col(f"_value{k}").cast("double"), value)
+                if failed:
+                    wide, reason = wide.withColumnRenamed("error", f"_error{k}"), F.col(f"_error{k}")
+            except Exception as cause:
+                reason = F.lit(f"{type(cause).__name__}: {cause}"[:200])
+            entries.append(F.struct(F.lit(name).alias("metric"), value.alias("value"), *([reason.alias("error")] if errors else [])))
         return wide.select(*keys, F.inline(F.array(*entries)))
 
 
@@ -101,6 +115,40 @@ def column_metric(expression: Column) -> Callable[[DataFrame], DataFrame]:
     return lambda traces: traces.withColumn("value", expression)
 
 
+def array_metric(function: Callable[[np.ndarray, np.ndarray], np.ndarray], x: str = "x", obs: str = "obs") -> Callable[[DataFrame], DataFrame]:
+    """A metric from a NumPy function of two blocks (rows x samples) that gives a number per row.
+
+    It runs on whole Arrow batches, traces of one length together. If it raises there, the rows of that block are
+    tried one by one, and only those that raise are NaN, with the reason in the column `error`. Rows without
+    a trace, or with traces of different lengths, are such rows.
+    """
+    def row_by_row(one: np.ndarray, other: np.ndarray) -> Iterator[tuple[float, str | None]]:
+        for a, b in zip(one, other, strict=True):
+            try:
+                yield float(np.asarray(function(a[None], b[None]), float).reshape(-1)[0]), None
+            except Exception as cause:
+                yield float("nan"), f"{type(cause).__name__}: {cause}"[:200]
+
+    @F.arrow_udf("struct<value:double,error:string>")
+    def job(traces: pa.Array, observed: pa.Array) -> pa.Array:
+        values, reasons = np.full(len(traces), np.nan), np.full(len(traces), "ValueError: no two traces of one length", dtype=object)
+        for rows, block in blocks(traces):
+            for own, other in blocks(observed.take(pa.array(rows))):
+                if other.shape[1] != block.shape[1]:
+                    continue
+                at, one = rows[own], block[own]
+                try:
+                    found = np.asarray(function(one, other), float)
+                    if found.shape != (len(one),):
+                        raise ValueError(f"a metric of {len(one)} traces gave {found.shape}")
+                    values[at], reasons[at] = found, None
+                except Exception:
+                    values[at], reasons[at] = zip(*row_by_row(one, other), strict=True)
+        return pa.StructArray.from_arrays([pa.array(values), pa.array(reasons.tolist(), pa.string())], ["value", "error"])
+
+    return lambda traces: traces.withColumn("_m", job(x, obs)).withColumns({"value": F.col("_m.value"), "error": F.col("_m.error")}).drop("_m")
+
+
 def standard_metrics() -> MetricRegistry:
     registry = MetricRegistry()
     registry.add_metric("chi2", column_metric(chi2()))

@@ -17,6 +17,8 @@ from pyspark.sql.types import ArrayType
 ROWS_PER_CHUNK = 1_000_000
 CUT_SAMPLE = 4096
 TREE_CUTS = 64
+FEW_ROWS = 10_000
+NEAR_CUTS = 24
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,6 +93,19 @@ def with_chunk(df: DataFrame, keys: list[str], cuts: list[tuple], out: str = "_c
     return df
 
 
+def searched_chunk(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
+    """Chunk number by a binary search in one constant array: code of one size for any number of cuts.
+
+    Keys compare as structs, nulls first.
+    """
+    if not cuts:
+        return F.lit(0)
+    own = F.struct(*keys)
+    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, cut)]) for cut in cuts]).cast(ArrayType(df.select(*keys).schema))
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get(listed, at + half - 1) <= own, half).otherwise(0))
+
+
 def _aggregate(kind: str, value: str, keys: list[str]) -> Column:
     if kind == "count":
         return F.count(F.lit(1))
@@ -187,6 +202,32 @@ def ranked(
     return running(df, keys, {name: ("count", None)}, groups, rows_per_chunk=rows_per_chunk)
 
 
+def first_n(df: DataFrame, order: list[str], n: int, groups: list[str] | None = None, few: int = FEW_ROWS) -> DataFrame:
+    """The first n rows by `order` (of each group), in no particular order; of equal rows at the end any.
+
+    Up to `few` rows without groups go through Spark's own top-n. Otherwise the order is cut at sampled keys into
+    chunks well below n rows. Chunks are counted; those wholly among the first n are kept as they are, and only
+    the one in which the n-th row lies is ranked, in many tasks. So about n rows are kept and few more are ranked.
+    """
+    groups = list(groups or [])
+    if n <= few and not groups:
+        return df.orderBy(*order).limit(n)
+    if n <= 0:
+        return df.where(F.lit(False))
+    columns = df.columns
+    cuts = order_cuts(df, order, max(1, n // 8))
+    # the n-th row lies near the eighth cut, those of larger groups further on: few cuts in all, close ones first
+    cuts = cuts[:NEAR_CUTS] + cuts[NEAR_CUTS::max(1, len(cuts) // NEAR_CUTS)]
+    chunked = df.withColumn("_chunk", searched_chunk(df, order, cuts))
+    counts = chunked.groupBy(*groups, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_left", F.lit(n) - F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where("_left > 0").select(
+        *groups, "_chunk", "_left", (F.col("_left") >= F.col("_n")).alias("_whole"))
+    kept = join_same(chunked, needed, [*groups, "_chunk"])
+    part = ranked(kept.where("NOT _whole").withColumn("_tie", F.xxhash64(*columns)), [*order, "_tie"], groups, "_rank")
+    return kept.where("_whole").select(*columns).unionByName(part.where("_rank <= _left").select(*columns))
+
+
 def group_quantiles(
     df: DataFrame, groups: list[str], value: str, tie: str, quantiles: list[float],
     rows_per_chunk: int = ROWS_PER_CHUNK,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietwave.functions.draws import uniform
-from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked, with_totals
+from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked, running, with_totals
 
 SMALL_SIDE_ROWS = 10_000
 
@@ -28,29 +28,47 @@ def with_every(left: DataFrame, right: DataFrame, limit: int = SMALL_SIDE_ROWS)
     return spread.join(sliced, "_slice").drop("_slice")
 
 
-def arrivals(pairs: DataFrame, table: DataFrame, distance: str, step: float, by: list[str] | None = None) -> DataFrame:
-    """Add first and last arrival (seconds), linear between the distance bins of `table`.
+def bracketed(left: DataFrame, table: DataFrame, at: str, columns: list[str], by: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """Adds `columns` of `table`, linear between its rows next below and above the value `at` of each left row.
 
-    `table` has columns distance, first, last and optional `by` columns (depth bin);
-    its distances lie on a regular grid of `step` degrees.  Pairs beyond it keep null arrivals,
-    which later minima and maxima skip.
+    `table` has `by` columns (its bins), `key` (default: the name of `at`) on any grid, regular or not, each value
+    once per bin, and the columns. Its segments are dealt to buckets as wide as their average, so the join is on
+    equal bin and bucket: Spark broadcasts a small table, and sorts or splits otherwise. Left rows outside the
+    grid, without a bin or with a null get nulls; so do columns that are null at either end of a segment.
     """
-    by = by or []
-    order = Window.partitionBy(*by).orderBy("distance") if by else Window.partitionBy(F.lit(0)).orderBy("distance")
-    grid = table.select(
-        *by, F.round(F.col("distance") / step).cast("long").alias("_bin"),
-        F.col("first").alias("_f0"), F.col("last").alias("_l0"),
-        F.coalesce(F.lead("first").over(order), F.col("first")).alias("_f1"),
-        F.coalesce(F.lead("last").over(order), F.col("last")).alias("_l1"),
-    )
-    keyed = pairs.withColumn("_bin", F.floor(F.col(distance) / step))
-    share = F.col(distance) / step - F.col("_bin")
-    return (
-        keyed.join(grid, ["_bin", *by], "left")
-        .withColumn("first", F.col("_f0") + share * (F.col("_f1") - F.col("_f0")))
-        .withColumn("last", F.col("_l0") + share * (F.col("_l1") - F.col("_l0")))
-        .drop("_bin", "_f0", "_f1", "_l0", "_l1")
-    )
+    by, key = list(by or []), key or at
+    rows = table.select(*by, F.col(key).cast("double").alias("_a"), F.struct(F.col(key).cast("double").alias("_a"), *[F.col(c).cast("double").alias(c) for c in columns]).alias("_row")).where("_a IS NOT NULL")
+    spans = rows.groupBy(*by).agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.count(F.lit(1)).alias("n"))
+    size = spans.agg(F.max(F.col("hi") - F.col("lo")), F.avg("n")).first()
+    width = (size[0] / size[1]) if size[0] else 1.0
+    following = running(rows.withColumn("_down", -F.col("_a")), ["_down"], {"_next": ("last", "_row")}, by, before=True)
+    end = F.coalesce(F.col("_next._a"), F.col("_a"))
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    dealt = following.select(*[F.col(b).alias(f"_t_{b}") for b in by], "_a", "_row", "_next", F.explode(F.sequence(bucket(F.col("_a")), bucket(end))).alias("_bucket"))
+    named = left.withColumns({"_x": F.col(at).cast("double"), "_b": bucket(F.col(at).cast("double"))})
+    inside = (F.col("_x") >= F.col("_a")) & ((F.col("_x") < F.col("_next._a")) | (F.col("_next").isNull() & (F.col("_x") == F.col("_a"))))
+    same = [named[b].eqNullSafe(dealt[f"_t_{b}"]) for b in by]
+    joined = named.join(dealt, [F.col("_b") == F.col("_bucket"), inside, *same], "left")
+    share = (F.col("_x") - F.col("_a")) / (F.col("_next._a") - F.col("_a"))
+    between = {c: F.when(F.col("_next").isNull(), F.col(f"_row.{c}")).otherwise(F.col(f"_row.{c}") + share * (F.col(f"_next.{c}") - F.col(f"_row.{c}"))) for c in columns}
+    return joined.select(*left.columns, *[value.alias(c) for c, value in between.items()])
+
+
+def arrivals(pairs: DataFrame, table: DataFrame, distance: str, by: list[str] | None = None, phases: list[str] | None = None, first_p: bool = False) -> DataFrame:
+    """Add first and last arrival (seconds) of each pair, linear between the distances of `table`.
+
+    `table` has columns distance and `by` (depth bin), and either first and last, or a column of travel times for
+    each of `phases`, null where the phase does not arrive; `first_p` takes the phase P alone. Pairs beyond
+    the table keep null arrivals, which later minima and maxima skip.
+    """
+    if first_p:
+        phases = ["P"]
+    if phases is None:
+        return bracketed(pairs, table, distance, ["first", "last"], by, "distance")
+    timed = bracketed(pairs, table.withColumnsRenamed({p: f"_phase_{p}" for p in phases}), distance, [f"_phase_{p}" for p in phases], by, "distance")
+    times = [F.col(f"_phase_{p}") for p in phases]
+    first, last = (times[0], times[0]) if len(times) == 1 else (F.least(*times), F.greatest(*times))
+    return timed.withColumns({"first": first, "last": last}).drop(*[f"_phase_{p}" for p in phases])
 
 
 def station_arrival(first: str = "first", offset: float = 60.0) -> Column:

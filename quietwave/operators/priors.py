@@ -15,7 +15,7 @@ from quietwave.functions.batches import blocks, lists_of
 from quietwave.functions.draws import normal, uniform
 from quietwave.functions.normal import normal_cdf, normal_quantile
 from quietwave.functions.tensors import CONVENTIONS
-from quietwave.operators.ordering import ROWS_PER_CHUNK, order_cuts, ranked, running
+from quietwave.operators.ordering import ROWS_PER_CHUNK, first_n, order_cuts, ranked, running
 from quietwave.session import materialise
 
 Sampler = Callable[[list, str, list], Column]
@@ -174,7 +174,8 @@ def ensemble_size_sweep(draws: DataFrame, key: str, event: str, sizes: list[int]
     """Rows of each (size, repeat) subset; result name <event>_<size>_<repeat>."""
     spread = draws.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     keyed = spread.withColumn("_u", uniform([key, "repeat"], stream))
-    order = ranked(keyed, ["_u", key], ["repeat"], "_rank", rows_per_chunk)
+    drawn = first_n(keyed, ["_u", key], max(sizes), ["repeat"])
+    order = ranked(drawn, ["_u", key], ["repeat"], "_rank", rows_per_chunk)
     chosen = order.withColumn("size", F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("_rank"))))
     return chosen.withColumn("result", F.concat_ws("_", F.lit(event), "size", "repeat")).drop("_u", "_rank")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietwave.functions.angles import distance_degrees
 from quietwave.functions.draws import uniform
-from quietwave.operators.ordering import ROWS_PER_CHUNK, ranked
+from quietwave.operators.ordering import ROWS_PER_CHUNK, first_n, ranked
 
 VARIANCE_FLOOR = 1e-30
 
@@ -142,9 +142,9 @@ def match_methods(results: DataFrame, keys: list[str], method: str = "method") -
     return results.withColumn("key", F.explode(kept))
 
 
-def inside_prior_box(draws: DataFrame, bounds: dict[str, tuple[float, float]], n: int, order: str) -> DataFrame:
+def inside_prior_box(draws: DataFrame, bounds: dict[str, tuple[float, float]], n: int, order: str, **way) -> DataFrame:
     """The first n draws by `order` that lie strictly inside the location box."""
-    return within_extents(draws, bounds).orderBy(order).limit(n)
+    return first_n(within_extents(draws, bounds), [order], n, **way)
 
 
 def trace_lengths(long: DataFrame, keys: list[str], expected: int | None = None) -> DataFrame:

@@ -95,12 +95,9 @@ def _first_order(records: DataFrame, gradients: DataFrame, theta: list[float], d
     return C.estimates(C.scores(records, gradients, p, prior_term=term), fisher, theta, damping)
 
 
-def _many_points(records: DataFrame, points: list[tuple[DataFrame, list[float]]], keys: list[str], **options) -> DataFrame:
-    parts = None
-    for at, (gradients, theta) in enumerate(points):
-        part = _first_order(records, gradients, theta, **options).select(*keys, F.lit(at).alias("point"), "estimate")
-        parts = part if parts is None else parts.unionByName(part)
-    return C.stack_estimates(parts, keys, "point", out="estimate")
+def _many_points(records: DataFrame, points: list[tuple[DataFrame, list[float]]], keys: list[str], damping: float | None = None, **options) -> DataFrame:
+    prior = (options["prior_mean"], options["prior_variance"]) if options.get("prior_variance") is not None else None
+    return C.estimates_at_points(records, points, damping=damping, prior=prior).select(*keys, "estimate")
 
 
 def _second_order(records: DataFrame, gradients: DataFrame, p: int, **_) -> DataFrame:

@@ -56,3 +56,23 @@ def test_each_result_reaches_the_sink_once(spark, tmp_path):
         put(spark, [("b", at(5), 2.0), ("c", at(6), 3.0)], tmp_path / "in")
     got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
     assert sorted(r["station"] for r in got.collect()) == ["a", "b", "c"]
+
+
+def test_moments_over_restarts_equal_batch_and_forget_silent_keys(spark, tmp_path):
+    """Three micro-batches, each after a restart; a late row is dropped, a silent key is closed and comes back."""
+    steps = [
+        [("a", at(i), float(i)) for i in range(20)] + [("b", at(3), 1.0), ("b", at(4), None)],
+        [("a", at(i), 100.0 + i) for i in range(200, 240)],
+        [("a", at(1), 5e5), ("b", at(245), 9.0), ("a", at(250), 7.0)],  # the first is far behind the watermark
+    ]
+    for rows in steps:
+        put(spark, rows, tmp_path / "in")
+        stream = L.file_stream(spark, str(tmp_path / "in"))
+        L.write_latest(L.running_moments(stream, "ts", ["station"], "x", "5 minutes", 60 * 60 * 1000), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r["station"]: r for r in L.read_moments(spark, str(tmp_path / "out"), ["station"]).collect()}
+    values = {"a": [float(i) for i in range(20)] + [100.0 + i for i in range(200, 240)] + [7.0], "b": [1.0, 9.0]}
+    for k, v in values.items():
+        assert got[k]["n"] == len(v) and got[k]["mean"] == pytest.approx(sum(v) / len(v))
+        assert got[k]["sd"] == pytest.approx((sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)) ** 0.5)
+    raw = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
+    assert raw.where("station = 'b' AND closed").count() == 1 and raw.where("station = 'b'").select("epoch").distinct().count() == 2

@@ -388,6 +388,34 @@ _least_squares_query("least_squares_toeplitz_prior", "toeplitz", 4, PRIOR, dampi
 _least_squares_query("least_squares_dense_prior_grouped", "dense", 2, PRIOR, memory=0, part_samples=29 * 7 * 4)
 
 
+def _two_points(spark, sf_dir):
+    """The fiducial point, and one with doubled gradients and other fiducial values."""
+    g = materialise(gradients(spark, sf_dir), "gradients")
+    other = g.select("i", F.transform("g", lambda v: 2 * v).alias("g"), "v", (F.col("d0") + 0.01 * F.pmod("i", F.lit(3))).alias("d0"))
+    return [(g, THETA), (other, [0.0] * P)]
+
+
+_POINTS_SQL = ctes("grad", nb=f"""SELECT id * 2 + k AS event, list(s ORDER BY a) AS b FROM (SELECT id, k, a, sum(g[a + 1] * (sl.v - d0 - k * 0.01::DOUBLE * (i % 3)) / grad.v) / (1 + k) AS s
+  FROM sl JOIN (SELECT i, g, v, d0 FROM grad) grad USING (i) CROSS JOIN range(0, 2) u(k) CROSS JOIN range(0, 6) t(a) GROUP BY 1, 2, 3) GROUP BY 1""",
+    nq="SELECT event, 0.0::DOUBLE AS q FROM nb",
+    nf="SELECT list(r ORDER BY a) AS f FROM (SELECT a, list(v ORDER BY b) AS r FROM (SELECT a, b, sum(g[a + 1] * g[b + 1] / v) AS v FROM grad CROSS JOIN range(0, 6) t(a) CROSS JOIN range(0, 6) u(b) GROUP BY 1, 2) GROUP BY a)").rstrip("\n")
+
+
+@query("multi_point_estimates", _POINTS_SQL + _solve_sql(1, 0.0, False, None).split(", al AS")[0] + f"""
+SELECT event // 2 AS id, (a + 6 * (event % 2))::INTEGER AS a, {R('th[a + 1] + CASE WHEN event % 2 = 0 THEN 0.01 * a ELSE 0 END', 5)} AS estimate FROM s1 CROSS JOIN range(0, 6) t(a)""")
+def multi_point_estimates(spark, sf_dir):
+    made = COMPRESSORS["multi_optimal_score"](sims(spark, sf_dir).select("id", F.col("d").alias("x")), _two_points(spark, sf_dir), ["id"])
+    return rows(made, "estimate", "estimate", 5)
+
+
+@query("observed_information", ctes("grad") + f", {FISHER}, h AS (SELECT sl.id, a, b, sum(g[a + 1] * g[b + 1] * (sl.v - d0) / gr.v) AS h FROM (SELECT i, g, v, d0 FROM grad) gr JOIN sl USING (i) CROSS JOIN range(0, 6) p(a) CROSS JOIN range(0, 6) q(b) GROUP BY 1, 2, 3) SELECT id, (a * 6 + b)::INTEGER AS a, {R('f - h', 3)} AS information FROM h JOIN fi USING (a, b)")
+def observed_information(spark, sf_dir):
+    g = materialise(gradients(spark, sf_dir), "gradients")
+    second = F.flatten(F.transform("g", lambda a: F.transform("g", lambda b: a * b)))
+    made = C.observed_information(sims(spark, sf_dir).select("id", "d"), g.withColumn("g", F.concat("g", second)), C.fisher_matrix(g, P), P, "d")
+    return rows(made, "information", "information", 3)
+
+
 # The same results on the way that kernels beyond the broadcast size take.
 for _name, _query in {"linear_synthesis": linear_synthesis, "stencil_derivatives": stencil_derivatives, "hessian": hessian}.items():
     query(f"{_name}_long_form", CHECKS[_name])(partial(_query, memory=0))

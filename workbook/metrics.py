@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quietwave.operators import metrics as K
@@ -106,6 +107,23 @@ def custom_metric_registry(spark, sf_dir):
     return K.summarise(values, traces(spark, sf_dir)).select("ens", "metric", rnd("mean").alias("mean"))
 
 
+@query("metrics_that_fail", ctes("lg") + f""", {OBS}, m AS (SELECT id, ens, avg(abs(v - o)) AS away, max(abs(v)) AS peak, max(CASE WHEN i = 0 THEN v END) AS head FROM j GROUP BY 1, 2)
+SELECT id, metric, {R("CASE metric WHEN 'away' THEN away WHEN 'picky' THEN CASE WHEN head <= 0 THEN peak END END")} AS value, metric = 'broken' OR (metric = 'picky' AND head > 0) AS failed FROM m CROSS JOIN (SELECT unnest(['away', 'picky', 'broken']) AS metric)""")
+def metrics_that_fail(spark, sf_dir):
+    """One metric that works, one that raises for half of the rows, and one on a column that is not there."""
+    def picky(x, obs):
+        if (x[:, 0] > 0).any():
+            raise ArithmeticError("starts above zero")
+        return np.abs(x).max(axis=1)
+
+    registry = K.MetricRegistry()
+    registry.add_metric("away", K.array_metric(lambda x, obs: np.abs(x - obs).mean(axis=1)))
+    registry.add_metric("picky", K.array_metric(picky))
+    registry.add_metric("broken", K.column_metric(F.col("not_there")))
+    values = registry.evaluate(observed(spark, sf_dir), ["id"], errors=True)
+    return values.select("id", "metric", rnd(F.when(~F.isnan("value"), F.col("value"))).alias("value"), F.col("error").isNotNull().alias("failed"))
+
+
 @query("best_synthetics", ctes("lg") + f", {OBS}, c AS ({CHI}), r AS (SELECT ens, id, chi2, row_number() OVER (PARTITION BY ens ORDER BY chi2, id) AS rank FROM c) SELECT ens, id, rank::INTEGER AS rank, {R('chi2', 7)} AS chi2 FROM r WHERE rank <= 20")
 def best_synthetics(spark, sf_dir):
     values = observed(spark, sf_dir).select("ens", "id", K.chi2().alias("value"))

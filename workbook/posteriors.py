@@ -156,6 +156,34 @@ def kernel_density_grid(spark, sf_dir):
     return density(spark, sf_dir).select("ens", "ix", "iy", rnd("density", 5).alias("density"))
 
 
+# Group -1 has one sample, group -2 samples on a line; the others as they are.
+_DEGENERATE = "dg AS (SELECT ens, theta[1] AS x, theta[2] AS y FROM sims UNION ALL SELECT -1, theta[1], theta[2] FROM sims WHERE id = 3 UNION ALL SELECT -2, theta[1], 2 * theta[1] FROM sims WHERE id < 40)"
+_DG_KERNELS = """st AS (SELECT ens, pow(count(*), -1 / 3.0::DOUBLE) AS f, count(*) AS n, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM dg GROUP BY ens),
+sc AS (SELECT ens, n, xx * f AS xx, yy * f AS yy, xy * f AS xy, CASE WHEN xx * yy - xy * xy > 1e-12 * xx * yy THEN (xx * yy - xy * xy) * f * f END AS det FROM st),
+gr AS (SELECT a AS ix, b AS iy, -0.3 + 0.05 * a::DOUBLE AS gx, -0.3 + 0.05 * b::DOUBLE AS gy FROM generate_series(0, 12) p(a) CROSS JOIN generate_series(0, 12) q(b))"""
+
+
+def degenerate(spark, sf_dir):
+    s = sims(spark, sf_dir).select("id", F.col("ens").cast("int").alias("ens"), F.col("theta")[0].alias("x"), F.col("theta")[1].alias("y"))
+    one, line = s.where("id = 3").withColumn("ens", F.lit(-1)), s.where("id < 40").withColumns({"ens": F.lit(-2), "y": 2 * F.col("x")})
+    return s.unionByName(one).unionByName(line).drop("id")
+
+
+@query("kernel_density_degenerate", ctes("sims") + f""", {_DEGENERATE}, {_DG_KERNELS}
+SELECT sc.ens, ix::INTEGER AS ix, iy::INTEGER AS iy, {R('sum(exp(-0.5 * (yy * pow(x - gx, 2) - 2 * xy * (x - gx) * (y - gy) + xx * pow(y - gy, 2)) / det)) / max(n) / (2 * pi() * sqrt(max(det)))', 5)} AS density FROM dg JOIN sc USING (ens) CROSS JOIN gr GROUP BY 1, 2, 3""")
+def kernel_density_degenerate(spark, sf_dir):
+    return P.kde_on_grid(degenerate(spark, sf_dir), ["ens"], "x", "y", _GX, _GX).select("ens", "ix", "iy", rnd("density", 5).alias("density"))
+
+
+@query("kernel_density_binned", ctes("sims") + f""", {_DEGENERATE}, {_DG_KERNELS}, pl AS (SELECT ens, (x + 0.3) / 0.025 AS px, (y + 0.3) / 0.025 AS py FROM dg),
+nd AS (SELECT ens, floor(px) + a AS i, floor(py) + b AS j, sum((CASE WHEN a = 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) * (CASE WHEN b = 1 THEN py - floor(py) ELSE 1 - py + floor(py) END)) AS c
+ FROM pl CROSS JOIN generate_series(0, 1) u(a) CROSS JOIN generate_series(0, 1) v(b) GROUP BY 1, 2, 3)
+SELECT sc.ens, ix::INTEGER AS ix, iy::INTEGER AS iy, {R('sum(c * exp(-0.5 * (yy * pow(0.025 * (i - 2 * ix), 2) - 2 * xy * 0.025 * (i - 2 * ix) * 0.025 * (j - 2 * iy) + xx * pow(0.025 * (j - 2 * iy), 2)) / det)) / max(n) / (2 * pi() * sqrt(max(det)))', 5)} AS density
+FROM nd JOIN sc USING (ens) CROSS JOIN gr GROUP BY 1, 2, 3""")
+def kernel_density_binned(spark, sf_dir):
+    return P.kde_binned(degenerate(spark, sf_dir), ["ens"], "x", "y", _GX, _GX, fine=2).select("ens", "ix", "iy", rnd("density", 5).alias("density"))
+
+
 @query("highest_density_thresholds", ctes("sims") + f""", {_KDE}, c AS (SELECT ens, density, sum(density) OVER (PARTITION BY ens ORDER BY density DESC, ix, iy ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY ens) AS share FROM kde), l AS (SELECT unnest([0.6827::DOUBLE, 0.9545::DOUBLE]) AS level)
 SELECT ens, level, {R('max(density)', 5)} AS threshold FROM c JOIN l ON share >= level GROUP BY 1, 2""")
 def highest_density_thresholds(spark, sf_dir):

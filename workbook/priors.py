@@ -148,6 +148,36 @@ def perturbed_layers_smooth(spark, sf_dir):
     return p.select("model", "copy", F.size("vp").alias("n"), rnd(checksum("thickness"), 5).alias("thickness"), rnd(checksum("vp"), 5).alias("vp"), rnd(checksum("vs"), 5).alias("vs"), rnd(checksum("rho"), 5).alias("rho"))
 
 
+_FIELDS = ("shared", "p", "s", "h")
+
+
+def _deep_sql():
+    """Models of one part each, about 30 layers; fields smoothed by a sum over mirrored neighbours."""
+    noise = " UNION ALL ".join(f"SELECT '{f}' AS field, model, copy, i, {normal_sql('model, copy, i', f'deep.{f}')} AS w FROM lc" for f in _FIELDS)
+    return f"""WITH ly AS (SELECT l_partkey AS model, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity::DOUBLE, 5.0::DOUBLE + l_discount * 20, 3.0::DOUBLE + l_tax * 20) - 1 AS i, l_quantity::DOUBLE AS h, 5.0::DOUBLE + l_discount * 20 AS vp, 3.0::DOUBLE + l_tax * 20 AS vs FROM lineitem),
+md AS (SELECT model, count(*) AS n, coalesce(median(h) FILTER (WHERE i < m - 1), max(h)) AS spacing FROM (SELECT *, count(*) OVER (PARTITION BY model) AS m FROM ly) GROUP BY model),
+si AS (SELECT model, n, greatest(0.5::DOUBLE, 5.0::DOUBLE / spacing) AS sigma, floor(4 * greatest(0.5::DOUBLE, 5.0::DOUBLE / spacing) + 0.5)::BIGINT AS radius FROM md),
+lc AS (SELECT model, i, copy FROM ly CROSS JOIN range(0, 2) t(copy)), nz AS ({noise}),
+kw AS (SELECT model, n, s, exp(-0.5::DOUBLE * (s / sigma) * (s / sigma)) AS k FROM (SELECT *, unnest(generate_series(-radius, radius)) AS s FROM si)),
+nb AS (SELECT model, i, s, k, CASE WHEN pos < n THEN pos ELSE 2 * n - 1 - pos END AS j FROM (SELECT ly.model, i, s, k, n, ((i + s) % (2 * n) + 2 * n) % (2 * n) AS pos FROM ly JOIN kw USING (model))),
+sm AS (SELECT field, nb.model, copy, nb.i, sum(k * w) / sum(k) AS f FROM nb JOIN nz ON nz.model = nb.model AND nz.i = nb.j GROUP BY 1, 2, 3, 4),
+un AS (SELECT *, (f - avg(f) OVER q) / (stddev_pop(f) OVER q + 1e-16::DOUBLE) AS u FROM sm WINDOW q AS (PARTITION BY field, model, copy)),
+wd AS (SELECT model, copy, i, max(CASE field WHEN 'h' THEN u END) AS uh, sqrt(0.9::DOUBLE) * max(CASE field WHEN 'shared' THEN u END) + sqrt(0.1::DOUBLE) * max(CASE field WHEN 'p' THEN u END) AS up,
+ sqrt(0.9::DOUBLE) * max(CASE field WHEN 'shared' THEN u END) + sqrt(0.1::DOUBLE) * max(CASE field WHEN 's' THEN u END) AS us FROM un GROUP BY 1, 2, 3),
+pe AS (SELECT model, copy, i, h * exp(0.03::DOUBLE * uh) AS h, vp * exp(0.03::DOUBLE * up / stddev_pop(up) OVER q) AS vp, vs * exp(0.03::DOUBLE * us / stddev_pop(us) OVER q) AS vs FROM wd JOIN ly USING (model, i) WINDOW q AS (PARTITION BY model, copy))
+SELECT model, copy::INTEGER AS copy, count(*)::INTEGER AS n, {R('sum(h * (i + 1))', 4)} AS thickness, {R('sum(vp * (i + 1))', 4)} AS vp, {R('sum(CASE WHEN vs > vp / sqrt(2.0::DOUBLE) THEN 0.99 * vp / sqrt(2.0::DOUBLE) ELSE vs END * (i + 1))', 4)} AS vs FROM pe GROUP BY 1, 2"""
+
+
+@query("perturbed_layers_smooth_deep", _deep_sql())
+def perturbed_layers_smooth_deep(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    layer = F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("h"), (F.lit(5.0) + F.col("l_discount") * 20).alias("vp"), (F.lit(3.0) + F.col("l_tax") * 20).alias("vs"))
+    packed = lines.groupBy(F.col("l_partkey").alias("model")).agg(F.array_sort(F.collect_list(layer)).alias("l"))
+    models = packed.select("model", *[F.col("l")[c].alias(n) for c, n in (("h", "thickness"), ("vp", "vp"), ("vs", "vs"))])
+    p = D.perturb_smooth(models, 2, "deep")
+    return p.select("model", "copy", F.size("vp").alias("n"), rnd(checksum("thickness"), 4).alias("thickness"), rnd(checksum("vp"), 4).alias("vp"), rnd(checksum("vs"), 4).alias("vs"))
+
+
 @query("stacked_models", ctes("layers") + f", c AS (SELECT model, layer, k, vp FROM layers CROSS JOIN generate_series(-1, 1) q(k)) SELECT model, k::INTEGER AS copy, count(*) AS n, {R('max(CASE WHEN k = -1 THEN vp END)', 5)} AS fiducial_vp FROM c GROUP BY 1, 2")
 def stacked_models(spark, sf_dir):
     f = layers(spark, sf_dir)

@@ -45,7 +45,7 @@ def pairs(spark, sf_dir):
 
 
 def arrived(spark, sf_dir):
-    return J.arrivals(pairs(spark, sf_dir), travel_times(spark), "distance", 1.0)
+    return J.arrivals(pairs(spark, sf_dir), travel_times(spark), "distance")
 
 
 def blackouts(spark, sf_dir):
@@ -76,6 +76,31 @@ def arrival_lookup(spark, sf_dir):
         "event_id", "station", rnd("first", 4).alias("first_s"), rnd("last", 4).alias("last_s"), rnd(J.station_arrival(), 4).alias("station_arrival"))
 
 
+def phase_table(spark):
+    """P and S on an irregular grid, closer at short distances, for three depth bins; P ends at 98 degrees, the table at 120."""
+    k = F.col("id").cast("double")
+    d = spark.range(0, 181).select((k * k / 270).alias("distance")).withColumn("depth_bin", F.explode(F.array(*[F.lit(b) for b in range(3)])))
+    x, deep = F.col("distance"), F.col("depth_bin")
+    return d.select("depth_bin", "distance", F.when(x <= 98, 10 * x - 0.02 * x * x - 3 * deep).alias("P"), (18 * x - 0.03 * x * x - 5 * deep).alias("S"))
+
+
+_PHASES = _SEL_FULL + f""", pt AS (SELECT b AS depth_bin, k * k / 270.0::DOUBLE AS d FROM (SELECT k::DOUBLE AS k FROM generate_series(0, 180) q(k)) CROSS JOIN generate_series(0, 2) z(b)),
+ph AS (SELECT *, CASE WHEN d <= 98 THEN 10 * d - 0.02::DOUBLE * d * d - 3 * depth_bin END AS p, 18 * d - 0.03::DOUBLE * d * d - 5 * depth_bin AS s FROM pt),
+sg AS (SELECT *, lead(d) OVER w AS d1, lead(p) OVER w AS p1, lead(s) OVER w AS s1 FROM ph WINDOW w AS (PARTITION BY depth_bin ORDER BY d)),
+dp AS (SELECT p.*, floor(c.depth / 3)::INTEGER AS depth_bin FROM pairs p JOIN catalogue c USING (event_id)),
+iv AS (SELECT dp.event_id, dp.station, CASE WHEN d1 IS NULL THEN p ELSE p + (distance - d) / (d1 - d) * (p1 - p) END AS pt, CASE WHEN d1 IS NULL THEN s ELSE s + (distance - d) / (d1 - d) * (s1 - s) END AS st
+ FROM dp LEFT JOIN sg ON dp.depth_bin = sg.depth_bin AND distance >= d AND (distance < d1 OR (d1 IS NULL AND distance = d)))"""
+
+
+@query("arrival_lookup_depth", _PHASES + f" SELECT event_id, station, {R('least(pt, st)', 4)} AS first_s, {R('greatest(pt, st)', 4)} AS last_s, {R('pt', 4)} AS first_p FROM iv")
+def arrival_lookup_depth(spark, sf_dir):
+    """Depth bins (some not in the table), pairs beyond its last distance, all phases and P alone."""
+    placed = pairs(spark, sf_dir).withColumn("depth_bin", F.floor(F.col("depth") / 3).cast("int"))
+    both = J.arrivals(placed, phase_table(spark), "distance", ["depth_bin"], ["P", "S"]).withColumnsRenamed({"first": "first_s", "last": "last_s"})
+    alone = J.arrivals(both, phase_table(spark), "distance", ["depth_bin"], first_p=True)
+    return alone.select("event_id", "station", rnd("first_s", 4).alias("first_s"), rnd("last_s", 4).alias("last_s"), rnd("first", 4).alias("first_p"))
+
+
 @query("blackout_intervals", _SEL_FULL + " SELECT event_id, s // 1000 AS s_ms, e // 1000 AS e_ms FROM black")
 def blackout_intervals(spark, sf_dir):
     return blackouts(spark, sf_dir).select("event_id", F.floor(F.col("s") / 1000).alias("s_ms"), F.floor(F.col("e") / 1000).alias("e_ms"))
