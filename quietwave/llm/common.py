@@ -61,6 +61,10 @@ class Work:
         inner.spark, inner.root = self.spark, f"{self.root}/{name}"
         return inner
 
+    def release(self) -> None:
+        """Asks the driver to collect what is no longer referred to, so that Spark deletes the shuffle files of steps that are over."""
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

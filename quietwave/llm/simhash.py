@@ -263,16 +263,27 @@ def nearest_tree(words: np.ndarray, split: int, limit: int) -> list[tuple[int, i
     return out
 
 
-def similar_links(classes: DataFrame, limit: int, block: int = BLOCK, small: int = 8) -> DataFrame:
+def long_lists(posted: DataFrame, member: list[str], work: Work | None, name: str, block: int = BLOCK, share: int = 16) -> DataFrame:
+    """(list, blocks) of lists that hold about more than `block` members, told from one in `share` members.
+
+    This only decides into how many blocks a list is dealt; every list is compared in full whatever it says. So
+    the lists themselves are exchanged once, not a second time to count them. The table is written, and
+    Spark joins it by its known size.
+    """
+    some = posted.where(F.pmod(F.xxhash64(F.lit(13), *member), F.lit(share)) == 0)
+    counted = some.groupBy("list").agg((F.count("*") * share).alias("n")).where(F.col("n") > block)
+    work = work or Work(posted.sparkSession, "lists")
+    return work.save(counted.select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks")), name)
+
+
+def similar_links(classes: DataFrame, limit: int, block: int = BLOCK, small: int = 8, work: Work | None = None) -> DataFrame:
     """(a0, a1, b0, b1): links between signatures (s0, s1) that meet in one of their `lists` and differ in at most `limit` bits.
 
     Lists of up to `small` signatures give all their pairs; longer ones the least spanning forest of each
     pair of blocks.
     """
     posted = classes.select(F.explode("lists").alias("list"), "s0", "s1")
-    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    hot = sizes.where(F.col("n") > block).select("list", blocks.alias("blocks"))
+    hot = long_lists(posted, ["s0", "s1"], work, "long", block)
     count = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64(F.lit(9), "s0", "s1"), count).cast("int")
     parts = posted.join(hot, "list", "left").select("list", "s0", "s1", own.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
@@ -336,16 +347,14 @@ def shingle_prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) ->
     return grams[np.lexsort((grams, times))][:len(grams) - int(np.ceil(similarity * len(grams) - 1e-6)) + 1]
 
 
-def prefix_pairs(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+def prefix_pairs(classes: DataFrame, similarity: float, block: int = BLOCK, work: Work | None = None) -> DataFrame:
     """(a, b): every two nodes of different `part` that share a shingle of their prefixes and may reach the similarity.
 
     Takes (node, part, n, prefix). Beyond a pair's first shared shingle at places i and j there are at most
     min(n - i, m - j) shared ones, which with the sizes bounds the similarity; the bound drops no true pair.
     """
     posted = classes.select("node", "part", "n", F.posexplode("prefix").alias("at", "list"))
-    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    hot = sizes.where(F.col("n") > block).select("list", blocks.alias("blocks"))
+    hot = long_lists(posted, ["node"], work, "long-prefix", block)
     count = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64(F.lit(9), "node"), count).cast("int")
     parts = posted.join(hot, "list", "left").select("list", "node", "part", "n", "at", own.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
@@ -435,21 +444,23 @@ def near_groups(docs: DataFrame, key: str, text: str, size: int, similarity: flo
 
     # first pass: by signature, each one by its least node; nodes of one signature hang on to that
     signed = work.save(classes.where("n > 0").groupBy("s0", "s1").agg(F.min("node").alias("least"), F.first("lists").alias("lists")), "signed")
-    met = similar_links(signed, limit)
+    met = similar_links(signed, limit, work=work)
     at = lambda end: signed.select(F.col("s0").alias(f"{end}0"), F.col("s1").alias(f"{end}1"), F.col("least").alias(end))
     met = met.distinct().join(at("a"), ["a0", "a1"]).join(at("b"), ["b0", "b1"]).select("a", "b")
     alike = classes.where("n > 0").select("node", "s0", "s1").join(signed.select("s0", "s1", "least"), ["s0", "s1"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     both_ways = met.unionByName(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = verified(work.save(both_ways, "candidates"), "links")
     part = components(near, work)
+    work.drop("signed", "candidates")
     # second pass: all pairs that are left between the groups so far
     placed = work.save(classes.where("n > 0").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "n", "prefix"), "placed")
-    rest = verified(work.save(prefix_pairs(placed, similarity), "rest"), "more")
+    work.release()
+    rest = verified(work.save(prefix_pairs(placed, similarity, work=work), "rest"), "more")
     joined = components(near.unionByName(rest), work.within("joined"))
     member = classes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     named = member.select("node", "component").join(member.groupBy("component").agg(F.min("first").alias("chosen")), "component")
     named = work.save(named.select("node", "chosen"), "named")
-    work.drop("classes", "signed", "candidates", "links", "placed", "rest", "more")
+    work.drop("classes", "links", "placed", "rest", "more", "long", "long-prefix")
     return marked, named
 
 
