@@ -10,7 +10,8 @@ Items reach the tasks in slices of at most `slice_bytes`; more items than that t
 their number has no cap.
 
 Defined results: null and empty texts match nothing; empty items match nothing; items below `shortest`
-signs, where a budget would match by chance, match exactly; equal items are separate items; repeated
+signs, where a budget would match by chance, match exactly; equal items are separate items; an item key may
+be of any plain type, and null; repeated
 documents are separate documents; an empty table on either side gives no matches.
 """
 
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quietwave.llm.common import Work
 
@@ -132,7 +134,7 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """(key, item key, distance, end): the best match of each item in each document that holds it."""
     out = None
     id_type, item_type = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, distance int, match_end long"
+    schema, named = f"doc_id {id_type}, item_id {item_type}, distance int, match_end long", to_arrow_type(items.schema[item_key].dataType)
     for held in item_slices(items, item_key, item_text, slice_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(held)  # at most slice_bytes
 
@@ -142,7 +144,7 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                 found = [(row, *m) for row, t in enumerate(batch.column(1).to_pylist()) if t and matcher.items for m in matcher.matches(t)]
                 rows = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), pa.array([f[1] for f in found], None if found else pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())],
+                    [batch.column(0).take(rows), pa.array([f[1] for f in found], named), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())],
                     names=["doc_id", "item_id", "distance", "match_end"])
 
         part = docs.select(key, text).mapInArrow(run, schema)

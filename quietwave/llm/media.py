@@ -54,6 +54,9 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         place = found.end()
     columns, rows = fields[:2]
     depth = 3 if kind in b"36" else 1
+    # a plain sample takes a byte at least, a packed one a bit
+    if min(fields) < 0 or rows * columns * depth > 8 * len(raw) or not 0 < fields[-1 if kind not in b"14" else 0] or (kind not in b"14" and fields[2] > 65535):
+        raise ValueError("a header that does not fit its file")
     if kind == b"1":
         values = np.frombuffer(re.sub(rb"[^01]", b"", raw[place:]), np.uint8)[:rows * columns] - 48
     elif kind == b"4":
@@ -75,6 +78,8 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     start, head, columns, rows, bits, packed = number(10), number(14), number(18), number(22, signed=True), number(28, 2), number(30)
     if packed or bits not in (8, 24, 32):
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
+    if rows * columns and abs(rows) * columns * bits // 8 > len(raw):
+        raise ValueError("a header that does not fit its file")
     stride = (columns * bits // 8 + 3) // 4 * 4
     body = np.frombuffer(raw, np.uint8, stride * abs(rows), start).reshape(abs(rows), stride)[:, :columns * bits // 8]
     body = body[::-1] if rows > 0 else body
@@ -155,7 +160,7 @@ def media_features(df: DataFrame, media: str = "media", side: int = 16, keep: li
         own = [len(raw), hashlib.sha256(raw).hexdigest()]
         try:
             samples = decode(raw)
-        except (ValueError, TypeError, IndexError):
+        except (ValueError, TypeError, IndexError, OverflowError):
             return (None, None, None, *own, None, None)
         payload = samples.tobytes()
         shades = grey(samples)

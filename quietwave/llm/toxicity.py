@@ -184,10 +184,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     docs = docs.drop(name)
     if model.trees is None:
         return docs.withColumn(name, F.lit(float(model.rate)))
-    dense = with_features(docs, text, model.lexicon).withColumn("_vector", array_to_vector("_features"))
+    # the row goes along as one column, so that no name of it meets a working column
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    dense = with_features(held, "text", model.lexicon).withColumn("_vector", array_to_vector("_features"))
     trees = model.trees.setFeaturesCol("_vector").setProbabilityCol("_probability").setRawPredictionCol("_margin").setPredictionCol("_class")
-    raw = trees.transform(dense).withColumn("_raw", vector_to_array("_probability")[1])
+    raw = trees.transform(dense).select("row", vector_to_array("_probability")[1].alias("_raw"))
     if model.curve is None:
-        return raw.select(*docs.columns, F.col("_raw").alias(name))
+        return raw.select("row.*", F.col("_raw").alias(name))
     curve = model.curve.setFeaturesCol("_raw").setPredictionCol("_level")
-    return curve.transform(raw).select(*docs.columns, (0.99 * F.col("_level") + 0.01 * F.col("_raw")).alias(name))
+    return curve.transform(raw).select("row.*", (0.99 * F.col("_level") + 0.01 * F.col("_raw")).alias(name))
