@@ -14,8 +14,9 @@ Texts are cut into overlapping slices, so the arrays of places stay small at any
 The anchors of an edited text (own beginning, end of another) are those of the own beginning, which lie
 before the cut and are known, and those of the new end, so a text is read once and a quarter.
 
-`with_next` finds the following row by cuts of the order at sampled keys: one exchange of the texts,
-chunks of bounded bytes (at most 4096 chunks), and the first row of a chunk sent to the one before as well.
+`with_next` finds the following row by cuts of the order at sampled keys: one exchange of the texts, in
+chunks of about 16 MB (at most 16 384 of them, which is 6 GB each at 100 TB), four to a task, and the first
+row of a chunk sent to the one before as well.
 
 Defined results: null texts are empty; an empty text has no anchor, likeness 1 to another empty text and
 0 to any other. Rows follow each other by key, nulls first, then by hash of the text; equal rows in any
@@ -32,12 +33,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwave.llm.common import Work
-from quietwave.operators.ordering import order_cuts, with_chunk
 
 LONG_MERS, SHORT_MERS, SHORT = (12, 5), (5, 2), 48
 SIZE, PLACE_BITS, HASH_BITS = 64, 27, 36
 SLICE, BLOCK = 1 << 14, 1 << 20
-CHUNK_BYTES, EQUAL_ROWS = 64 << 20, 100_000
+CHUNK_BYTES, MOST_CHUNKS, EQUAL_ROWS = 16 << 20, 1 << 14, 100_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -178,22 +178,33 @@ def with_next(df: DataFrame, key: str, text: str, carry: list[str], out: str = "
     if most["most"] > equal_rows:
         # many equal rows: a row number, fixed by writing it, lets a cut fall between them
         rows = work.save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    chunks = max(1, -(-most["b"] // chunk_bytes))
-    cuts = order_cuts(rows, order, -(-most["n"] // chunks))
-    first = rows.agg(F.min(F.struct(*order)).alias("f")).first()["f"]
+    chunks = min(MOST_CHUNKS, -(-most["b"] // chunk_bytes))
+    sample = rows.select(*order).sample(min(1.0, chunks * 16 / most["n"]), 17).collect() if chunks > 1 else []
+    sample = sorted(tuple(r) for r in sample)
+    cuts = sorted({sample[len(sample) * c // chunks] for c in range(1, chunks)}) if sample else []
+    first = tuple(rows.agg(F.min(F.struct(*order)).alias("f")).first()["f"])
+    shape = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.select(*order).schema.fields)
+
+    def constant(values: list[dict], kind: str) -> Column:
+        """A table of the driver as a constant of the plan: Spark sees how small it is."""
+        return F.from_json(F.lit(json.dumps(values, default=str)), f"array<{kind}>")
+
+    def named(row: tuple) -> dict:
+        return dict(zip(order, row, strict=True))
+
+    listed, halves = constant([named(c) for c in cuts], f"struct<{shape}>"), [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    own = F.struct(*order)
+    chunk = F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda at, half: at + F.when(F.get(listed, at + half - 1) <= own, half).otherwise(0)) if cuts else F.lit(0)
     # a cut is the key of a row that exists: the first row of its chunk, which the chunk before needs too
-    heads: dict[tuple, list[int]] = {tuple(first): [len(cuts)]}
+    heads: dict[tuple, list[int]] = {first: [len(cuts)]}
     for i, cut in enumerate(cuts):
-        heads.setdefault(tuple(cut), []).append(i)
-    # at most 4097 heads, as a constant of the plan: Spark sees how small they are and joins without an exchange of the texts
-    listed = json.dumps([{**dict(zip(order, head, strict=True)), "_to": to} for head, to in heads.items()], default=str)
-    shape = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.select(*order).schema.fields)
-    heads = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), f"array<struct<{shape}, _to: array<int>>>")))
-    placed = with_chunk(rows, order, cuts, "_chunk").join(heads, order, "left")
-    own, ahead = F.struct(F.col("_chunk"), F.lit(0).alias("_ahead")), F.transform("_to", lambda c: F.struct(c.alias("_chunk"), F.lit(1).alias("_ahead")))
-    sent = placed.withColumn("_at", F.explode(F.concat(F.array(own), F.coalesce(ahead, F.array().cast("array<struct<_chunk:int,_ahead:int>>")))))
-    after = Window.partitionBy("_at._chunk").orderBy("_at._ahead", *order)
-    return sent.withColumn(out, F.lead(F.struct(*carry)).over(after)).where("_at._ahead = 0").select(*df.columns, out)
+        heads.setdefault(cut, []).append(i)
+    to_rows = constant([{**named(head), "_to": to} for head, to in heads.items()], f"struct<{shape}, _to: array<int>>")
+    placed = rows.withColumn("_chunk", chunk).join(df.sparkSession.range(1).select(F.inline(to_rows)), order, "left")
+    every = F.concat(F.array(F.struct(F.col("_chunk"), F.lit(0).alias("_ahead"))), F.transform(F.coalesce("_to", F.array().cast("array<int>")), lambda c: F.struct(c.alias("_chunk"), F.lit(1).alias("_ahead"))))
+    sent = placed.select(*df.columns, *order, F.inline(every)).repartition(max(1, chunks // 4), "_chunk")
+    after = Window.partitionBy("_chunk").orderBy("_ahead", *order)
+    return sent.withColumn(out, F.lead(F.struct(*carry)).over(after)).where("_ahead = 0").select(*df.columns, out)
 
 
 def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text", share: int = 4, size: int = SIZE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
