@@ -142,20 +142,26 @@ def fisher_matrix(gradients: DataFrame, p: int, prior_variance: list[float] | No
     return out
 
 
-def _bounded_rows(df: DataFrame, limit: int) -> list | None:
-    """Rows in order of i when there are at most `limit`, else None; one bounded job."""
-    rows = df.limit(limit + 1).collect() if limit else []
-    if not rows or len(rows) > limit:
+def _bounded_table(df: DataFrame, row_bytes: int, memory: int) -> pa.Table | None:
+    """The rows in order of i as one Arrow table if they fit in `memory`, else None.
+
+    They are written once, counted, and come to the driver from all tasks at a time; nothing passes through one task.
+    """
+    if memory < row_bytes:
         return None
-    return sorted(rows, key=lambda r: r["i"])
+    held = materialise(df, "bounded")
+    rows = held.count()
+    return held.toArrow().sort_by("i") if 0 < rows <= memory // row_bytes else None
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
 
 
 def _small_matrix(gradients: DataFrame, p: int, memory: int) -> tuple | None:
     """(C^-1 G^T, d0) as arrays when p x n fits in `memory`, else None."""
-    rows = _bounded_rows(_weights(gradients).select("i", "w", "d0"), memory // (8 * (p + 1)))
-    if rows is None:
-        return None
-    return np.array([r["w"] for r in rows], float), np.array([r["d0"] for r in rows], float)
+    table = _bounded_table(_weights(gradients).select("i", "w", "d0"), 8 * (p + 1), memory)
+    return None if table is None else (_matrix(table, "w"), table.column("d0").to_numpy())
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
@@ -301,9 +307,9 @@ def synthesize(params: DataFrame, kernels: DataFrame, p: int, theta: str = "thet
     stays one row: a null vector has a null record, a null element makes it NaN, and a
     vector of another length than p is an error.
     """
-    rows = _bounded_rows(kernels.select("i", "g"), memory // (8 * p))
-    if rows is not None:
-        shared = params.sparkSession.sparkContext.broadcast(np.array([r["g"] for r in rows], float).T * factor)
+    table = _bounded_table(kernels.select("i", "g"), 8 * p, memory)
+    if table is not None:
+        shared = params.sparkSession.sparkContext.broadcast(_matrix(table, "g").T * factor)
 
         @F.arrow_udf("array<double>")
         def job(thetas: pa.Array) -> pa.Array:

@@ -8,7 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietwave.functions.batches import blocks, lists_of
@@ -283,8 +283,9 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
 
 def stair_profile(layers: DataFrame, model: list[str], layer: str = "layer", thickness: str = "thickness",
                   values: list[str] | None = None, top: float = 0.0) -> DataFrame:
-    """Running depth and two rows (top and bottom edge) per layer."""
-    deep = running(layers, [layer], {"_depth": ("sum", thickness)}, model).withColumn("bottom", F.col("_depth") + F.lit(top))
+    """Running depth and two rows (top and bottom edge) per layer. A model has few layers, so a plain window holds it."""
+    above = Window.partitionBy(*model).orderBy(layer).rowsBetween(Window.unboundedPreceding, 0)
+    deep = layers.withColumn("_depth", F.sum(thickness).over(above)).withColumn("bottom", F.col("_depth") + F.lit(top))
     edges = F.array(F.struct(F.lit(0).alias("edge"), (F.col("bottom") - F.col(thickness)).alias("depth")),
                     F.struct(F.lit(1).alias("edge"), F.col("bottom").alias("depth")))
     return deep.withColumn("_e", F.explode(edges)).select(*model, layer, *(values or []), "_e.edge", "_e.depth")

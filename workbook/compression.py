@@ -335,22 +335,22 @@ for _kind in FACTORS:
 PRIOR = ([0.05 * (a - 2) for a in range(P)], [0.01 * (1 + a) for a in range(P)])
 
 
-def _solve_sql(steps, damping, adaptive, prior):
-    """Damped steps from theta 0 with the products b, q and f of an event; the 6 x 6 systems by elimination."""
+def _solve_sql(steps, damping, adaptive, prior, t=""):
+    """Damped steps from theta 0 with the products b, q and f of an event; the 6 x 6 systems by elimination. `t` sets its names apart."""
     mean, inverse = [[repr(float(v)) for v in c] for c in (prior[0], [1 / v for v in prior[1]])] if prior else (["0.0"] * P, ["0.0"] * P)
     fixed = f"[{', '.join(mean)}]::DOUBLE[] AS pm, [{', '.join(inverse)}]::DOUBLE[] AS pi"
-    out = [f"s0 AS MATERIALIZED (SELECT event, list_transform(range(6), lambda j: 0.0::DOUBLE) AS th, {damping}::DOUBLE AS lam, 'inf'::DOUBLE AS prev, b, q, f, {fixed} FROM nb JOIN nq USING (event) CROSS JOIN nf)"]
+    out = [f"s{t}0 AS MATERIALIZED (SELECT event, list_transform(range(6), lambda j: 0.0::DOUBLE) AS th, {damping}::DOUBLE AS lam, 'inf'::DOUBLE AS prev, b, q, f, {fixed} FROM nb JOIN nq USING (event) CROSS JOIN nf)"]
     for k in range(steps):
         lam = "CASE WHEN chi > 0.99 * prev THEN lam * 1.2 ELSE lam / 1.5 END" if adaptive else "lam"
-        out.append(f"c{k} AS MATERIALIZED (SELECT *, chi0 / 58 AS chi FROM (SELECT *, q - 2 * list_dot_product(b, th) + list_dot_product(th, list_transform(f, lambda r: list_dot_product(r, th))) AS chi0 FROM s{k}))")
-        out.append(f"l{k} AS MATERIALIZED (SELECT * REPLACE ({lam} AS lam) FROM c{k})")
-        out.append(f"""m{k}_0 AS MATERIALIZED (SELECT event, r, list_append(list_transform(range(1, 7), lambda j: f[r][j] + CASE WHEN j = r THEN pi[r] + lam * (f[r][r] + pi[r]) ELSE 0 END),
-  b[r] - list_dot_product(f[r], th) + pi[r] * (pm[r] - th[r])) AS row FROM l{k} CROSS JOIN range(1, 7) t(r))""")
+        out.append(f"c{t}{k} AS MATERIALIZED (SELECT *, chi0 / 58 AS chi FROM (SELECT *, q - 2 * list_dot_product(b, th) + list_dot_product(th, list_transform(f, lambda r: list_dot_product(r, th))) AS chi0 FROM s{t}{k}))")
+        out.append(f"l{t}{k} AS MATERIALIZED (SELECT * REPLACE ({lam} AS lam) FROM c{t}{k})")
+        out.append(f"""m{t}{k}_0 AS MATERIALIZED (SELECT event, r, list_append(list_transform(range(1, 7), lambda j: f[r][j] + CASE WHEN j = r THEN pi[r] + lam * (f[r][r] + pi[r]) ELSE 0 END),
+  b[r] - list_dot_product(f[r], th) + pi[r] * (pm[r] - th[r])) AS row FROM l{t}{k} CROSS JOIN range(1, 7) u(r))""")
         for c in range(1, P + 1):
-            out.append(f"""m{k}_{c} AS MATERIALIZED (SELECT x.event, x.r, list_transform(range(1, 8), lambda j: CASE WHEN x.r = {c} THEN x.row[j] / y.row[{c}] ELSE x.row[j] - x.row[{c}] / y.row[{c}] * y.row[j] END) AS row
-  FROM m{k}_{c - 1} x JOIN m{k}_{c - 1} y ON x.event = y.event AND y.r = {c})""")
-        out.append(f"s{k + 1} AS MATERIALIZED (SELECT l.* EXCLUDE (chi, chi0) REPLACE (list_transform(range(1, 7), lambda j: th[j] + move[j]) AS th, chi AS prev) FROM l{k} l JOIN (SELECT event, list(row[7] ORDER BY r) AS move FROM m{k}_6 GROUP BY event) USING (event))")
-    union = " UNION ALL ".join(f"SELECT event, {k} AS iteration, th, chi, chi0 + list_sum(list_transform(range(1, 7), lambda j: pi[j] * (th[j] - pm[j]) * (th[j] - pm[j]))) AS objective FROM c{k}" for k in range(steps))
+            out.append(f"""m{t}{k}_{c} AS MATERIALIZED (SELECT x.event, x.r, list_transform(range(1, 8), lambda j: CASE WHEN x.r = {c} THEN x.row[j] / y.row[{c}] ELSE x.row[j] - x.row[{c}] / y.row[{c}] * y.row[j] END) AS row
+  FROM m{t}{k}_{c - 1} x JOIN m{t}{k}_{c - 1} y ON x.event = y.event AND y.r = {c})""")
+        out.append(f"s{t}{k + 1} AS MATERIALIZED (SELECT l.* EXCLUDE (chi, chi0) REPLACE (list_transform(range(1, 7), lambda j: th[j] + move[j]) AS th, chi AS prev) FROM l{t}{k} l JOIN (SELECT event, list(row[7] ORDER BY r) AS move FROM m{t}{k}_6 GROUP BY event) USING (event))")
+    union = " UNION ALL ".join(f"SELECT event, {k} AS iteration, th, chi, chi0 + list_sum(list_transform(range(1, 7), lambda j: pi[j] * (th[j] - pm[j]) * (th[j] - pm[j]))) AS objective FROM c{t}{k}" for k in range(steps))
     return ",\n" + ",\n".join(out) + f""", al AS MATERIALIZED ({union})
 SELECT event, iteration::INTEGER AS iteration, a::INTEGER AS a, {R('th[a + 1]', 5)} AS theta, {R('chi', 5)} AS chi2, {R('objective', 3)} AS objective, iteration = arg_min(iteration, chi) OVER (PARTITION BY event) AS best
 FROM al CROSS JOIN range(0, 6) t(a)"""
@@ -416,6 +416,34 @@ def observed_information(spark, sf_dir):
     return rows(made, "information", "information", 3)
 
 
+# Estimates themselves, against the normal equations solved by SQL; the score-side checks above would not see a wrong F.
+_ONE_POINT_SQL = ctes("grad", nb="SELECT id AS event, list(s ORDER BY a) AS b FROM (SELECT id, a, sum(g[a + 1] * (sl.v - d0) / gr.v) AS s FROM (SELECT i, g, v, d0 FROM grad) gr JOIN sl USING (i) CROSS JOIN range(0, 6) t(a) GROUP BY 1, 2) GROUP BY 1",
+    nq="SELECT id AS event, sum((sl.v - d0) * (sl.v - d0) / gr.v) AS q FROM (SELECT i, v, d0 FROM grad) gr JOIN sl USING (i) GROUP BY 1",
+    nf="SELECT list(r ORDER BY a) AS f FROM (SELECT a, list(v ORDER BY b) AS r FROM (SELECT a, b, sum(g[a + 1] * g[b + 1] / v) AS v FROM grad CROSS JOIN range(0, 6) t(a) CROSS JOIN range(0, 6) u(b) GROUP BY 1, 2) GROUP BY a)").rstrip("\n")
+
+
+@query("estimate_values", _ONE_POINT_SQL + _solve_sql(1, 0.1, False, None, "d").split(", al AS")[0] + _solve_sql(1, 0.0, False, None).split(", al AS")[0] + f"""
+SELECT s1.event AS id, a::INTEGER AS a, {R('s1.th[a + 1] + 0.01 * a', 5)} AS plain, {R('sd1.th[a + 1] + 0.01 * a', 5)} AS damped FROM s1 JOIN sd1 ON s1.event = sd1.event CROSS JOIN range(0, 6) t(a)""")
+def estimate_values(spark, sf_dir):
+    g = materialise(gradients(spark, sf_dir), "gradients")
+    f = C.fisher_matrix(g, P)
+    scored = C.scores(sims(spark, sf_dir).select("id", "d"), g, P, "d")
+    both = C.estimates(C.estimates(scored, f, THETA), f, THETA, damping=0.1, out="damped").select("id", F.posexplode(F.arrays_zip(F.col("estimate").alias("plain"), "damped")).alias("a", "z"))
+    return both.select("id", "a", rnd("z.plain", 5).alias("plain"), rnd("z.damped", 5).alias("damped"))
+
+
+@query("least_squares_linear_theta", _ONE_POINT_SQL + _solve_sql(3, 0.2, True, None).split(", al AS")[0] + f""", al AS (SELECT event, 0 AS k, th, chi FROM c0 UNION ALL SELECT event, 1, th, chi FROM c1 UNION ALL SELECT event, 2, th, chi FROM c2)
+SELECT event AS id, a::INTEGER AS a, {R('arg_min(th, chi)[a + 1] + 0.01 * a', 5)} AS theta, {R('min(chi)', 5)} AS chi2, arg_min(k, chi)::BIGINT AS iteration FROM al CROSS JOIN range(0, 6) t(a) GROUP BY event, a""")
+def least_squares_linear_theta(spark, sf_dir):
+    g = materialise(gradients(spark, sf_dir), "gradients")
+    s = sims(spark, sf_dir).select("id", "d")
+    level = g.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "d0", "v"))), lambda r: F.struct(r["d0"].alias("d0"), r["v"].alias("v"))).alias("level"))
+    misfit = F.aggregate(F.zip_with("d", "level", lambda x, r: (x - r["d0"]) * (x - r["d0"]) / r["v"]), F.lit(0.0), lambda a, v: a + v) / N
+    scored = C.scores(s.crossJoin(level).withColumn("misfit", misfit).drop("level"), g, P, "d")
+    solved = C.solve_linear(scored, C.fisher_matrix(g, P), THETA, N, "misfit", iterations=3, damping=0.2)
+    return solved.select("id", F.posexplode("theta").alias("a", "theta"), "chi2", "iteration").select("id", "a", rnd("theta", 5).alias("theta"), rnd("chi2", 5).alias("chi2"), F.col("iteration").cast("long").alias("iteration"))
+
+
 # The same results on the way that kernels beyond the broadcast size take.
 for _name, _query in {"linear_synthesis": linear_synthesis, "stencil_derivatives": stencil_derivatives, "hessian": hessian}.items():
     query(f"{_name}_long_form", CHECKS[_name])(partial(_query, memory=0))
