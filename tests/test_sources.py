@@ -56,3 +56,20 @@ def test_missing_truth_and_empty_ensemble_are_errors(spark, tmp_path):
     spark.createDataFrame([], "id int").write.parquet(str(tmp_path / "e"))
     with pytest.raises(FileNotFoundError):
         R.read_ensemble(spark, str(tmp_path / "e"), required=True)
+
+
+def test_archive_manifest_decides_and_the_archive_is_read_once(spark, tmp_path):
+    day = 86_400_000_000
+    rows = [(s, c, d * day + h * day // 24, 1.0) for s in "ab" for c in "Z12" for d in range(3) for h in range(24) if not (s == "b" and c == "2" and d == 1)]
+    write = lambda rows, mode: R.write_archive(spark.createDataFrame(rows, "station string, channel string, ts long, x double"), str(tmp_path / "a"), mode)
+    write([r for r in rows if r[2] < day], "errorifexists")
+    write([r for r in rows if r[2] >= day], "append")
+    one_day = R.read_archive(spark, str(tmp_path / "a"), day, 2 * day - 1)
+    assert {r["station"] for r in one_day.select("station").distinct().collect()} == {"a"} and one_day.count() == 72
+    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<channel:string,ts:bigint,x:double>") == 1  # other scans are of the manifest
+    # a range inside a day may fall into a gap: station b has no channel 2 there, and both have none between the hours
+    within = R.read_archive(spark, str(tmp_path / "a"), 10 * day // 24 - 5, 11 * day // 24 + 5)
+    assert within.count() == 12
+    assert R.read_archive(spark, str(tmp_path / "a"), 10 * day // 24 + 5, 11 * day // 24 - 5).count() == 0
+    assert R.read_archive(spark, str(tmp_path / "a"), day + 10 * day // 24 - 5, day + 11 * day // 24 + 5).select("station").distinct().collect()[0][0] == "a"
