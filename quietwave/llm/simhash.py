@@ -11,7 +11,8 @@ a list; lists of any length are split into pairs of blocks.
 `near_copies` finds every two texts of a shingle similarity of 0.8 or more. Such pairs differ in more bits
 than bytes of 64 bits can guarantee to share, so a first pass posts byte sets of a wider fingerprint,
 filters on 128 bits and verifies the links on the shingle sets themselves; a second pass finds the pairs
-that are left without loss, by shared shingles (`prefix_pairs`). `keep_first` goes by it.
+that are left without loss, by shared shingles (`prefix_pairs`). Candidates of both passes are first held
+to a bound by tallies of their shingles' hash ranges (`may_reach`), so whole sets meet only where it may count. `keep_first` goes by it.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows
 are in one class; a null id stays in its class but names none (a component of null ids only is null);
@@ -20,11 +21,12 @@ an empty table gives no rows; other columns pass through `fingerprints`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -391,6 +393,34 @@ def prefix_pairs(classes: DataFrame, similarity: float, block: int = BLOCK, work
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def shingle_tally(grams: np.ndarray, bins: int = 256) -> bytes | None:
+    """Number of shingles in each of `bins` ranges of their hashes, a byte each; None if one does not fit."""
+    counts = np.bincount((grams.view(np.uint64) >> np.uint64(65 - bins.bit_length())).astype(np.int64), minlength=bins) if len(grams) else np.zeros(bins, np.int64)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def may_reach(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps pairs (a, b, x, y) whose tallies x and y allow the similarity.
+
+    Two texts share at most the sum of the lesser counts of each range, so the bound drops no true pair;
+    a pair with a text without a tally is kept.
+    """
+    share = similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            x, y = batch.column("x"), batch.column("y")
+            both = np.flatnonzero(pc.and_(pc.is_valid(x), pc.is_valid(y)).to_numpy(zero_copy_only=False))
+            if len(both):
+                p, q = (np.stack([np.frombuffer(v, np.uint8) for v in c.take(pa.array(both)).to_pylist()]) for c in (x, y))
+                shared = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+                keep[both] = shared >= share * (p.sum(axis=1, dtype=np.int64) + q.sum(axis=1, dtype=np.int64)) - 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def near_groups(docs: DataFrame, key: str, text: str, size: int, similarity: float, sets: int, work: Work) -> tuple[DataFrame, DataFrame]:
     """Rows (key, own, node), with `own` the hash of the text, and (node, chosen): the least (null, key, own) of each node's component.
 
@@ -417,29 +447,44 @@ def near_groups(docs: DataFrame, key: str, text: str, size: int, similarity: flo
 
     longs = [T.StructField(c, T.LongType()) for c in ("own", "node", "s0", "s1", "n")]
     schema = T.StructType([T.StructField("key", kind), *longs, T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    marked = work.save(rows.select("key", "own", "text").mapInArrow(sign, schema), "marked")
+    posted = work.save(rows.select("key", "own", "text").mapInArrow(sign, schema), "posted")
     named_row = F.struct(F.col("key").isNull().alias("unnamed"), "key", "own")
-    classes = work.save(marked.groupBy("node").agg(F.min(named_row).alias("first"), F.first(F.struct("s0", "s1", "n", "lists", "prefix")).alias("_"))
+    classes = work.save(posted.groupBy("node").agg(F.min(named_row).alias("first"), F.first(F.struct("s0", "s1", "n", "lists", "prefix")).alias("_"))
                         .select("node", "first", "_.*"), "classes")
-
-    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [np.unique(shingle_hashes(raw, size)).view(np.int64) for raw in each_text(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "grams"])
-
-    def verified(links: DataFrame, name: str) -> DataFrame:
-        """The links whose ends reach the similarity on their shingle sets."""
+    # the arrays are with the classes from here on
+    marked = work.save(posted.select("key", "own", "node"), "marked")
+    work.drop("posted")
+
+    def each_set(form: Callable[[np.ndarray], object], kind: pa.DataType, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    found = [form(np.unique(shingle_hashes(raw, size)).view(np.int64)) for raw in each_text(part.column("text"))]
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, kind)], names=["node", name])
+        return run
+
+    def texts_of(links: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+        """(node, text) of the ends of links; repeated rows of one key and text name one node several times."""
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-        wanted = classes.join(ends, "node").select("node", F.col("first.key").alias("k"), F.col("first.own").alias("o"))
-        # repeated rows of one key and text name one node
-        held = rows.join(wanted, rows["key"].eqNullSafe(wanted["k"]) & (rows["own"] == wanted["o"])).select("node", "text").dropDuplicates(["node"])
-        grams = work.save(held.mapInArrow(shingle_sets, "node long, grams array<long>"), f"{name}-grams")
-        pairs = links.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        # written, so that Spark knows its size and need not exchange all texts for a few of them
+        wanted = work.save(classes.join(ends, "node").select("node", F.col("first.key").alias("k"), F.col("first.own").alias("o")), name)
+        return rows.join(wanted, rows["key"].eqNullSafe(wanted["k"]) & (rows["own"] == wanted["o"])).select("node", "text")
+
+    def verified(links: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+        """The links whose ends reach the similarity on their shingle sets; their tallies come first."""
+        tallies = texts_of(links, classes, f"{name}-ends").mapInArrow(each_set(shingle_tally, pa.binary(), "tally"), "node long, tally binary")
+        tallies = work.save(tallies.dropDuplicates(["node"]), f"{name}-tallies")
+        tally = lambda end, x: tallies.select(F.col("node").alias(end), F.col("tally").alias(x))
+        likely = links.join(tally("a", "x"), "a").join(tally("b", "y"), "b").select("a", "b", "x", "y")
+        likely = work.save(likely.mapInArrow(may_reach(similarity), "a long, b long"), f"{name}-likely")
+        held = texts_of(likely, classes, f"{name}-likely-ends").dropDuplicates(["node"])
+        grams = work.save(held.mapInArrow(each_set(lambda x: x, pa.list_(pa.int64()), "grams"), "node long, grams array<long>"), f"{name}-grams")
+        pairs = likely.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         near = work.save(pairs.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), name)
-        work.drop(f"{name}-grams")
+        work.drop(*(f"{name}-{part}" for part in ("ends", "tallies", "likely", "likely-ends", "grams")))
+        work.release()
         return near
 
     # first pass: by signature, each one by its least node; nodes of one signature hang on to that
@@ -449,18 +494,23 @@ def near_groups(docs: DataFrame, key: str, text: str, size: int, similarity: flo
     met = met.distinct().join(at("a"), ["a0", "a1"]).join(at("b"), ["b0", "b1"]).select("a", "b")
     alike = classes.where("n > 0").select("node", "s0", "s1").join(signed.select("s0", "s1", "least"), ["s0", "s1"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     both_ways = met.unionByName(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = verified(work.save(both_ways, "candidates"), "links")
+    near = verified(work.save(both_ways, "candidates"), classes, "links")
     part = components(near, work)
     work.drop("signed", "candidates")
     # second pass: all pairs that are left between the groups so far
     placed = work.save(classes.where("n > 0").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "n", "prefix"), "placed")
+    firsts = work.save(classes.select("node", "first"), "firsts")
+    work.drop("classes")
+    work.release()
+    rest = work.save(prefix_pairs(placed, similarity, work=work), "rest")
+    work.drop("placed")
     work.release()
-    rest = verified(work.save(prefix_pairs(placed, similarity, work=work), "rest"), "more")
+    rest = verified(rest, firsts, "more")
     joined = components(near.unionByName(rest), work.within("joined"))
-    member = classes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    member = firsts.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     named = member.select("node", "component").join(member.groupBy("component").agg(F.min("first").alias("chosen")), "component")
     named = work.save(named.select("node", "chosen"), "named")
-    work.drop("classes", "links", "placed", "rest", "more", "long", "long-prefix")
+    work.drop("firsts", "links", "rest", "more", "long", "long-prefix")
     return marked, named
 
 
@@ -486,12 +536,18 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     without a key come after all others and are grouped like them. Repeated rows of one key and text leave
     one row: those that occur twice are found on hashes alone, and only they are put through a distinct.
     """
-    marked, named = near_groups(docs, key, text, size, similarity, sets, Work(docs.sparkSession, "near-copies"))
+    work = Work(docs.sparkSession, "near-copies")
+    marked, named = near_groups(docs, key, text, size, similarity, sets, work)
     chosen = named.select(F.col("chosen.key").alias("k"), F.col("chosen.own").alias("o")).distinct()
-    sizes = marked.groupBy("key", "own").agg(F.count("*").alias("__n"))
-    kept = chosen.join(sizes, chosen["k"].eqNullSafe(sizes["key"]) & (chosen["o"] == sizes["own"])).select(F.col("k").alias("__k"), F.col("o").alias("__o"), "__n")
+    sizes = marked.groupBy("key", "own").agg(F.count("*").alias("n"))
+    judged = sizes.join(chosen, chosen["k"].eqNullSafe(sizes["key"]) & (chosen["o"] == sizes["own"]), "left")
+    judged = judged.select(F.col("key").alias("__k"), F.col("own").alias("__o"), F.col("o").isNull().alias("__gone"), "n")
+    # only keys that go or repeat are written, so a small table decides and the texts stay where they are
+    judged = work.save(judged.where("__gone or n > 1").drop("n"), "judged")
+    work.drop("marked", "named")
+    work.release()
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(kept, rows[key].eqNullSafe(kept["__k"]) & (rows["__own"] == kept["__o"]))
-    single = rows.where("__n = 1").select(*docs.columns)
-    first = rows.where("__n > 1").select(*docs.columns, "__own").dropDuplicates([key, "__own"]).drop("__own")
+    rows = rows.join(judged, rows[key].eqNullSafe(judged["__k"]) & (rows["__own"] == judged["__o"]), "left")
+    single = rows.where("__gone is null").select(*docs.columns)
+    first = rows.where("not __gone").select(*docs.columns, "__own").dropDuplicates([key, "__own"]).drop("__own")
     return single.unionByName(first)
