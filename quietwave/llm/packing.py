@@ -12,6 +12,7 @@ null id is kept; an empty table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -28,6 +29,18 @@ from quietwave.llm.common import Work
 # Below this code point texts need no composition and lower-case sign by sign.
 PLAIN_LIMIT = 0x0130
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+# The rules of the word vocabulary, which `WordIds` follows by itself. Any other file goes by its own tokenizer.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def word_rules(own) -> bool:
+    """Whether a tokenizer has the normaliser, split rule, byte signs and special strings of the word vocabulary."""
+    shown = json.loads(own.to_str())
+    split, signs = (((shown["pre_tokenizer"] or {}).get("pretokenizers") or []) + [{}, {}])[:2]
+    return (shown["normalizer"] == NORMALIZER and split.get("pattern") == {"Regex": SPLIT} and split.get("invert") is True and split.get("behavior") == "Removed"
+            and signs.get("type") == "ByteLevel" and not signs.get("add_prefix_space") and signs.get("use_regex") is False
+            and {t["content"] for t in shown["added_tokens"]} == set(SPECIAL))
 
 
 def plain_pattern() -> re.Pattern:
@@ -62,18 +75,18 @@ class WordCache(dict):
 
 
 class WordIds:
-    """Ids of texts under the lower-casing word vocabulary, as little-endian 32-bit bytes; each distinct word is encoded once."""
+    """Ids of texts as little-endian 32-bit bytes; under the lower-casing word vocabulary each distinct word is encoded once."""
 
     def __init__(self, path: str, words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.cache = WordCache(self.own.model, words)
+        self.by_word, self.cache = word_rules(self.own), WordCache(self.own.model, words)
         self.pattern, self.other = plain_pattern(), re.compile(f"[^\x00-{chr(PLAIN_LIMIT - 1)}]")
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if self.other.search(text) or SPECIAL[0] in text or SPECIAL[1] in text:
+            if not self.by_word or self.other.search(text) or SPECIAL[0] in text or SPECIAL[1] in text:
                 yield np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 yield b"".join(map(self.cache.__getitem__, self.pattern.findall(text.lower())))

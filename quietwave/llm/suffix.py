@@ -37,6 +37,7 @@ from quietwave.llm.common import Work, text_bytes
 LENGTH, GRAM = 200, 32
 MOST = 50_000
 BLOCK = 1 << 20
+PLACES = 1 << 15
 FACTORS = np.random.RandomState(7).randint(1, 2**62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,8 +60,11 @@ def words_at(data: np.ndarray, count: int) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(data[:8].view("<u8"), shape=(count,), strides=(1,), writeable=False)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(place, text row, left, right, anchor hash, context hash) of all anchors of texts that lie end to end."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, places: int = PLACES) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, text row, left, right, anchor hash, context hash) of all anchors of texts that lie end to end, `places` at a time.
+
+    Where a text repeats one byte, every byte is an anchor; the slices hold its contexts to a bound.
+    """
     n, grams = len(data), length - GRAM + 1
     left = grams - 1
     padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length + 8, np.uint8)])
@@ -74,19 +78,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         least[max(a, b - length + 1):b] = 0
     best = sliding(np.concatenate([np.zeros(grams - 1, np.uint64), least]), grams, np.maximum)
-    place = np.flatnonzero(best == hashes)
-    row = np.searchsorted(offsets, place, side="right") - 1
-    before, behind = np.minimum(left, place - offsets[row]), np.minimum(length, offsets[row + 1] - place)
-    context = np.lib.stride_tricks.sliding_window_view(padded[:n + left + length], left + length)[place]
-    context = np.ascontiguousarray(np.pad(context, ((0, 0), (0, -(left + length) % 8))))
-    short, column = np.flatnonzero((before < left) | (behind < length)), np.arange(context.shape[1])
-    own = context[short]
-    own[(column < left - before[short, None]) | (column >= left + behind[short, None])] = 0
-    context[short] = own
-    total = before.astype(np.uint64) * FACTORS[253] + behind.astype(np.uint64) * FACTORS[254]
-    for j, word in enumerate(context.view("<u8").T):
-        total += word * FACTORS[8 + j % 240] + (word >> np.uint64(32)) * FACTORS[9 + j % 240]
-    return place - offsets[row], row, before, behind, hashes[place].view(np.int64), mixed(total, FACTORS[252]).view(np.int64)
+    every = np.flatnonzero(best == hashes)
+    del least, best
+    windows = np.lib.stride_tricks.sliding_window_view(padded[:n + left + length], left + length)
+    column = np.arange(left + length + -(left + length) % 8)
+    for start in range(0, len(every), places):
+        place = every[start:start + places]
+        row = np.searchsorted(offsets, place, side="right") - 1
+        before, behind = np.minimum(left, place - offsets[row]), np.minimum(length, offsets[row + 1] - place)
+        context = np.ascontiguousarray(np.pad(windows[place], ((0, 0), (0, -(left + length) % 8))))
+        short = np.flatnonzero((before < left) | (behind < length))
+        own = context[short]
+        own[(column < left - before[short, None]) | (column >= left + behind[short, None])] = 0
+        context[short] = own
+        total = before.astype(np.uint64) * FACTORS[253] + behind.astype(np.uint64) * FACTORS[254]
+        for j, word in enumerate(context.view("<u8").T):
+            total += word * FACTORS[8 + j % 240] + (word >> np.uint64(32)) * FACTORS[9 + j % 240]
+        yield place - offsets[row], row, before, behind, hashes[place].view(np.int64), mixed(total, FACTORS[252]).view(np.int64)
 
 
 ANCHORS = "text_id binary, at int, before short, behind short, anchor long, context long"
@@ -105,10 +113,10 @@ def find_anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 stop = min(stop, batch.num_rows)
                 part = data[offsets[start]:offsets[stop]]
                 if len(part) >= length:
-                    at, row, before, behind, anchor, context = anchors(part, offsets[start:stop + 1] - offsets[start], length)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(start + row)), pa.array(at.astype(np.int32)), pa.array(before.astype(np.int16)), pa.array(behind.astype(np.int16)), pa.array(anchor), pa.array(context)],
-                        names=["text_id", "at", "before", "behind", "anchor", "context"])
+                    for at, row, before, behind, anchor, context in anchors(part, offsets[start:stop + 1] - offsets[start], length):
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(start + row)), pa.array(at.astype(np.int32)), pa.array(before.astype(np.int16)), pa.array(behind.astype(np.int16)), pa.array(anchor), pa.array(context)],
+                            names=["text_id", "at", "before", "behind", "anchor", "context"])
                 start = stop
 
     return texts.select("text_id", "text").mapInArrow(run, ANCHORS)
