@@ -313,15 +313,22 @@ def assemble_kernels(responses: DataFrame, keys: list[str], azimuth: str, back_a
     """Kernels (keys, component Z/N/E, element, i, value) from the ten responses of a station.
 
     `responses` has keys, response 0..9, x array, azimuth and back-azimuth in degrees.
-    Each response is weighted into the kernels it feeds, rotation included, and summed.
+    The responses of a sample come into one row and are weighted into the kernels, rotation included.
+    A sample without the last response belongs to an unfinished station and gives no row; a kernel
+    that lacks another response it is made of is null, not the sum of the rest.
     """
-    az, baz = F.radians(azimuth), F.radians(back_azimuth)
+    last = max(rule[2] for rule in RESPONSE_RULES)
+    long = responses.select(*keys, "response", F.radians(azimuth).alias("_az"), F.radians(back_azimuth).alias("_baz"), F.posexplode("x").alias("i", "_x"))
+    wide = long.groupBy(*keys, "i").agg(
+        F.max("_az").alias("_az"), F.max("_baz").alias("_baz"),
+        *[F.max(F.when(F.col("response") == r, F.col("_x"))).alias(f"_g{r}") for r in range(last + 1)]).where(F.col(f"_g{last}").isNotNull())
+    az, baz = F.col("_az"), F.col("_baz")
     angle = {"one": F.lit(1.0), "cos1": F.cos(az), "sin1": F.sin(az), "cos2": F.cos(2 * az), "sin2": F.sin(2 * az)}
     turned = {"Z": [("Z", F.lit(1.0))], "R": [("N", -F.cos(baz)), ("E", -F.sin(baz))], "T": [("N", F.sin(baz)), ("E", -F.cos(baz))]}
-    entries = [
-        F.struct(F.lit(r).alias("r"), F.lit(target).alias("component"), F.lit(e).alias("element"), (F.lit(w) * angle[f] * spin).alias("w"))
-        for c, e, r, w, f in RESPONSE_RULES for target, spin in turned[c]]
-    fed = F.filter(F.array(*entries), lambda s: s["r"] == F.col("response"))
-    long = responses.withColumn("_f", F.explode(fed)).select(
-        *keys, "_f.component", "_f.element", "_f.w", F.posexplode("x").alias("i", "_x"))
-    return long.groupBy(*keys, "component", "element", "i").agg(F.sum(F.col("w") * F.col("_x")).alias("value"))
+    sums: dict[tuple, Column] = {}
+    for c, e, r, w, f in RESPONSE_RULES:
+        for target, spin in turned[c]:
+            term = F.lit(w) * angle[f] * spin * F.col(f"_g{r}")
+            sums[target, e] = sums[target, e] + term if (target, e) in sums else term
+    entries = [F.struct(F.lit(target).alias("component"), F.lit(e).alias("element"), value.alias("value")) for (target, e), value in sums.items()]
+    return wide.withColumn("_k", F.explode(F.array(*entries))).select(*keys, "_k.component", "_k.element", "i", "_k.value")

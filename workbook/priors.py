@@ -122,7 +122,7 @@ c AS (SELECT station, i, e, v[e] AS vz, -r[e] * cos(z) + t[e] * sin(z) AS vn, -r
 u AS (SELECT station, e, i, unnest(['Z', 'N', 'E']) AS component, unnest([vz, vn, ve]) AS k FROM c)
 SELECT station, component, e::INTEGER AS element, {R('sum(k * (i + 1))', 5)} AS checksum FROM u GROUP BY 1, 2, 3""")
 def green_kernel_assembly(spark, sf_dir):
-    t = traces(spark, sf_dir).select(F.floor(F.col("id") / 10).alias("station"), (F.col("id") % 10).cast("int").alias("response"), "x")
+    t = traces(spark, sf_dir).select(F.expr("id div 10").alias("station"), (F.col("id") % 10).cast("int").alias("response"), "x")
     t = t.withColumns({"az": F.pmod(F.col("station") * 13, F.lit(360)), "baz": F.pmod(F.col("station") * 29, F.lit(360))})
     k = D.assemble_kernels(t, ["station"], "az", "baz")
     return k.groupBy("station", "component", "element").agg(rnd(F.sum(F.col("value") * (F.col("i") + 1)), 5).alias("checksum"))
