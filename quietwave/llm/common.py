@@ -50,9 +50,9 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, fresh_path(spark, name)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def within(self, name: str) -> Work:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quietwave.llm import chat, clusters, decontam, langid, lm, media, packing, sharding, simhash, suffix, syncmers, toxicity, whitening
 from quietwave.llm.common import crc_fold
+from quietwave.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Only the clustering can be said in SQL; the others need learned models, hashes and tokenizers it lacks, or ordered state.
@@ -69,10 +70,15 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_external_shuffle_sharding")
 def external_shuffle_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", sharding.record_size("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = sharding.shuffle_into_shards(docs, "doc_id", "size", 24)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    """Whole documents go into the shards; sizes and checksums are taken from the texts read back from them."""
+    docs = table(spark, sf_dir, "documents")
+    placed = sharding.shuffle_into_shards(docs.withColumn("size", sharding.record_size("text")), "doc_id", "size", 24)
+    path = fresh_path(spark, "sharded")
+    sharding.write_shards(placed, path, placed=True)
+    stored = sharding.read_shards(spark, path, placed.schema)
+    return stored.select(
+        "doc_id", sharding.record_size("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 @query("op7_media_columns")
