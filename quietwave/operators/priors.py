@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietwave.functions.batches import blocks, lists_of
-from quietwave.functions.draws import normal, uniform
+from quietwave.functions.draws import normal, normal_rows, uniform
 from quietwave.functions.normal import normal_cdf, normal_quantile
 from quietwave.functions.tensors import CONVENTIONS
 from quietwave.operators.ordering import ROWS_PER_CHUNK, first_n, order_cuts, ranked, running
@@ -244,12 +244,6 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
     Models are rows with arrays thickness, vp, vs (one entry per layer).
     """
     spread = models.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    index = F.sequence(F.lit(0), F.size("vp") - 1)
-
-    def white(field: str) -> Column:
-        return F.transform(index, lambda i: normal([key, "copy", i], f"{stream}.{field}"))
-
-    spread = spread.withColumns({f"_w_{field}": white(field) for field in ("shared", "p", "s", "h")})
     common_part = max(0.0, min(1.0, correlation))
     # rows: Vp, Vs; columns: the shared field and the two own fields
     mixing = np.sqrt([[common_part, 1 - common_part, 0], [common_part, 0, 1 - common_part]])
@@ -267,14 +261,25 @@ def perturb_smooth(models: DataFrame, copies: int, stream: str, key: str = "mode
         return h * np.exp(smooth_fields(own_h, spacing, length, std_thickness)), vp * factors[0], vs * factors[1]
 
     @F.arrow_udf("struct<thickness:array<double>,vp:array<double>,vs:array<double>>")
-    def job(h: pa.Array, vp: pa.Array, vs: pa.Array, w0: pa.Array, w1: pa.Array, w2: pa.Array, w3: pa.Array) -> pa.Array:
+    def job(keys: pa.Array, h: pa.Array, vp: pa.Array, vs: pa.Array) -> pa.Array:
         results: list = [[], [], []]
-        for columns in zip(*[blocks(c) for c in (h, vp, vs, w0, w1, w2, w3)]):
-            for out, values in zip(results, block(*[part for _, part in columns])):
-                out.append((columns[0][0], values))
+        for columns in zip(*[blocks(c) for c in (h, vp, vs)]):
+            rows, n = columns[0][0], columns[0][1].shape[1]
+            made = [np.empty((len(rows), n)) for _ in results]
+            # a smoothing takes 2 n^2 numbers a model
+            step = max(1, 1_000_000 // max(1, 2 * n * n))
+            for at in range(0, len(rows) if n else 0, step):
+                own = slice(at, at + step)
+                names = keys.take(pa.array(rows[own]))
+                white = normal_rows(names, np.full(len(names), n), [f"{stream}.{field}" for field in ("shared", "p", "s", "h")])
+                for out, values in zip(made, block(*[part[own] for _, part in columns], *white.reshape(4, -1, n))):
+                    out[own] = values
+            for out, values in zip(results, made):
+                out.append((rows, values))
         return pa.StructArray.from_arrays([lists_of(len(h), parts) for parts in results], ["thickness", "vp", "vs"])
 
-    out = spread.withColumn("_m", job("thickness", "vp", "vs", "_w_shared", "_w_p", "_w_s", "_w_h"))
+    # the draws of layer i are those of `normal([key, "copy", i], ...)`
+    out = spread.withColumn("_m", job(F.concat_ws("|", F.col(key).cast("string"), F.col("copy").cast("string")), "thickness", "vp", "vs"))
     keep = [c for c in models.columns if c not in ("thickness", "vp", "vs")]
     out = out.select(*keep, "copy", "_m.*")
     out = out.withColumn("vs", F.zip_with("vp", "vs", limit_vs))

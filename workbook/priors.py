@@ -142,7 +142,7 @@ def perturbed_layers_independent(spark, sf_dir):
 
 @query("perturbed_layers_smooth")
 def perturbed_layers_smooth(spark, sf_dir):
-    packed = layers(spark, sf_dir).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("layer", "thickness", "vp", "vs"))).alias("l"))
+    packed = layers(spark, sf_dir).groupBy("model").agg(F.sort_array(F.collect_list(F.struct("layer", "thickness", "vp", "vs"))).alias("l"))
     models = packed.select("model", *[F.col("l")[c].alias(c) for c in ("thickness", "vp", "vs")])
     p = D.perturb_smooth(models, 2, "smooth")
     return p.select("model", "copy", F.size("vp").alias("n"), rnd(checksum("thickness"), 5).alias("thickness"), rnd(checksum("vp"), 5).alias("vp"), rnd(checksum("vs"), 5).alias("vs"), rnd(checksum("rho"), 5).alias("rho"))
@@ -172,7 +172,7 @@ SELECT model, copy::INTEGER AS copy, count(*)::INTEGER AS n, {R('sum(h * (i + 1)
 def perturbed_layers_smooth_deep(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     layer = F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("h"), (F.lit(5.0) + F.col("l_discount") * 20).alias("vp"), (F.lit(3.0) + F.col("l_tax") * 20).alias("vs"))
-    packed = lines.groupBy(F.col("l_partkey").alias("model")).agg(F.array_sort(F.collect_list(layer)).alias("l"))
+    packed = lines.groupBy(F.col("l_partkey").alias("model")).agg(F.sort_array(F.collect_list(layer)).alias("l"))
     models = packed.select("model", *[F.col("l")[c].alias(n) for c, n in (("h", "thickness"), ("vp", "vp"), ("vs", "vs"))])
     p = D.perturb_smooth(models, 2, "deep")
     return p.select("model", "copy", F.size("vp").alias("n"), rnd(checksum("thickness"), 4).alias("thickness"), rnd(checksum("vp"), 4).alias("vp"), rnd(checksum("vs"), 4).alias("vs"))
