@@ -11,8 +11,10 @@ LAYER_FIELDS = ["thickness", "vp", "vs", "rho", "qp", "qs"]
 def parse_layer_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Rows of six numbers; lines that are blank or comments drop out."""
     keep = [c for c in lines.columns if c != line]
-    text = F.trim(F.regexp_replace(F.col(line), "#.*", ""))
-    parts = lines.withColumn("_p", F.split(text, r"\s+")).where(F.length(text) > 0)
+    # cut at single blanks, which needs no pattern; the generator evaluates a line once for filter and fields
+    text = F.translate(F.substring_index(line, "#", 1), "\t\r\n\f\v", "     ")
+    fields = F.array_remove(F.split(text, " "), "")
+    parts = lines.select(*keep, F.explode(F.filter(F.array(fields), lambda p: F.size(p) > 0)).alias("_p"))
     return parts.select(*keep, *[F.col("_p")[k].cast("double").alias(f) for k, f in enumerate(LAYER_FIELDS)])
 
 
