@@ -44,3 +44,24 @@ def test_fewer_rows_than_wanted_and_none(spark):
     got = N.nearest_draws(p, spark.createDataFrame([("a", [1.0])], "e string, s array<double>"), "id", "e", "s", 5, block_rows=1).collect()
     assert [(r["id"], r["distance"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0, 1), (2, 2.0, 2)]
     assert N.nearest_draws(p.where("false"), p.selectExpr("'a' e", "s"), "id", "e", "s", 5).collect() == []
+
+
+@pytest.mark.parametrize("task_rows", [8, 50, 300])
+def test_two_levels_of_boxes_equal_all_distances(spark, task_rows):
+    rng = np.random.default_rng(4)
+    prior = [(i, rng.normal(size=4).tolist()) for i in range(700)] + [(2000 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(90)]
+    observed = [(f"e{i}", (1.5 * rng.normal(size=4)).tolist()) for i in range(60)] + [("same", [0.5, 0.5, 0.5, 0.5])]
+    p, o = spark.createDataFrame(prior, "id long, s array<double>").repartition(4), spark.createDataFrame(observed, "e string, s array<double>")
+    got = N.nearest_draws(p, o, "id", "e", "s", 6, block_rows=5, pivots=5, part_rows=2, task_rows=task_rows).collect()
+    assert sorted([(r["event"], r["id"], round(r["distance"], 9), r["rank"]) for r in got], key=str) == brute(prior, observed, 6)
+
+
+def test_blocks_asked_for_do_not_grow_with_the_table(spark):
+    rng = np.random.default_rng(6)
+    points, asked = rng.normal(size=(16_000, 6)), 1.5 * rng.normal(size=(40, 6))
+    visits = []
+    for n in (4000, 16_000):
+        _, index = N.prior_index(spark.createDataFrame([(i, points[i].tolist()) for i in range(n)], "id long, s array<double>"), "id", "s", 64, 5)
+        kth = np.sort(np.sqrt(((asked[:, None] - points[None, :n]) ** 2).sum(axis=2)), axis=1)[:, 7]
+        visits.append((index.bounds(asked)[0] <= kth[:, None]).sum(axis=1).mean())
+    assert visits[1] < 2.5 * visits[0]  # in proportion to the table it would be 4
