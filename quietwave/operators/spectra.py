@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+SLICE_ROWS = 256
+
 
 def _nearest_power_of_two(x: float) -> int:
     low = 2.0 ** np.floor(np.log2(x))
@@ -21,7 +23,8 @@ def _map_traces(df: DataFrame, keys: list[str], x: str, transform, columns: str)
     key_schema = StructType([f for f in df.select(*keys).schema.fields])
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        # a trace becomes hundreds of rows, so a batch is worked on in slices
+        for batch in (whole[at:at + SLICE_ROWS] for whole in batches for at in range(0, len(whole), SLICE_ROWS)):
             lengths = batch[x].map(len)
             for n, part in batch.groupby(lengths, sort=False):
                 result = transform(np.stack([np.asarray(v, float) for v in part[x]]))
