@@ -31,25 +31,27 @@ FEW_LABELS = 10_000
 
 
 def folded_bytes() -> np.ndarray:
-    """Byte to sign: letters in lower case, bytes of longer signs as they are, all else a space."""
+    """Byte to sign: 1 for a space, letters in lower case, bytes of longer signs as they are, all else a space; numbered without gaps."""
     table = np.full(256, 32, dtype=np.uint32)
     for code in range(256):
         if code >= 128 or chr(code).isalpha():
             table[code] = code if code >= 128 else ord(chr(code).lower())
-    return table
+    return (np.unique(table, return_inverse=True)[1] + 1).astype(np.uint32)
+
+
+SIGNS = int(folded_bytes().max()) + 1
 
 
 def gram_codes(raw: np.ndarray, fold: np.ndarray) -> np.ndarray:
     """Distinct n-grams of a text, each as a number that also tells its length, ascending."""
-    signs = fold[raw]
-    signs = np.concatenate([[np.uint32(32)], signs, [np.uint32(32)]]).astype(np.uint32)
+    signs = np.concatenate([[np.uint32(1)], fold[raw], [np.uint32(1)]]).astype(np.uint32)
     out, code = [], signs
     for n in GRAMS:
         if n > 1:
-            code = (code[:-1] << np.uint32(8)) | signs[n - 1:]
+            code = code[:-1] * np.uint32(SIGNS) + signs[n - 1:]
         found = np.sort(code)
         out.append(found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found)
-    return np.concatenate(out)  # signs are at least 32, so lengths do not collide
+    return np.concatenate(out)  # signs are at least 1, so lengths do not collide
 
 
 def has_letter(raw: np.ndarray, ascii_letters: np.ndarray) -> bool:
@@ -80,8 +82,9 @@ class Model:
         self.labels, self.codes, self.landmarks, self.weights = labels, codes, landmarks, weights
 
     def lookup(self) -> np.ndarray:
-        table = np.full(1 << 24, -1, dtype=np.int32)
-        table[self.codes] = np.arange(len(self.codes), dtype=np.int32)
+        kind = np.int16 if len(self.codes) < 1 << 15 else np.int32
+        table = np.full(SIGNS ** max(GRAMS), -1, dtype=kind)  # some 8 MB in each task
+        table[self.codes] = np.arange(len(self.codes), dtype=kind)
         return table
 
     def decide(self, present: np.ndarray, own: np.ndarray) -> np.ndarray:
