@@ -421,6 +421,31 @@ def may_reach(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def mark_bits(wanted: DataFrame, each: int = 16, most: int = 1 << 26) -> np.ndarray:
+    """A bit table of the hashes `mark`: `each` bits or more for one of them, `most` (8 MiB) in all.
+
+    It rules rows out where they are read, so that a few wanted texts need no exchange of all. What it lets through
+    is joined exactly; a full table lets more through and loses none.
+    """
+    bits = min(most, 1 << max(10, (each * wanted.count()).bit_length()))
+    at = F.col("mark").bitwiseAND(F.lit(bits - 1).cast("long")).alias("at")
+    words = wanted.select(at).groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("held")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
+    return out
+
+
+def marked_rows(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be among those of a bit table."""
+    at = marks.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def set_node(hashes: np.ndarray) -> int:
+    """The number of a set of shingles, given in order."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
+
+
 def near_groups(docs: DataFrame, key: str, text: str, size: int, similarity: float, sets: int, work: Work) -> tuple[DataFrame, DataFrame]:
     """Rows (key, own, node), with `own` the hash of the text, and (node, chosen): the least (null, key, own) of each node's component.
 
@@ -440,8 +465,7 @@ def near_groups(docs: DataFrame, key: str, text: str, size: int, similarity: flo
             for raw in each_text(batch.column("text")):
                 h = np.unique(shingle_hashes(raw, size))
                 (s0, s1), lists = wide_signature(h, sets) if len(h) else ((0, 0), [])
-                node = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)
-                for c, value in zip(columns, (int(node), int(s0), int(s1), len(h), lists, shingle_prefix(h, shared.value, similarity) if len(h) else []), strict=True):
+                for c, value in zip(columns, (set_node(h), int(s0), int(s1), len(h), lists, shingle_prefix(h, shared.value, similarity) if len(h) else []), strict=True):
                     out[c].append(value)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("own"), *(pa.array(out[c], t) for c, t in columns.items())], names=["key", "own", *columns])
 
@@ -455,31 +479,31 @@ def near_groups(docs: DataFrame, key: str, text: str, size: int, similarity: flo
     marked = work.save(posted.select("key", "own", "node"), "marked")
     work.drop("posted")
 
-    def each_set(form: Callable[[np.ndarray], object], kind: pa.DataType, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    spark = docs.sparkSession
+
+    def each_set(links: DataFrame, classes: DataFrame, form: Callable[[np.ndarray], object], kind: tuple[str, pa.DataType, str], name: str) -> DataFrame:
+        """(node, form of its shingles) of the ends of links, and of a few other texts; made where the texts are read."""
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        wanted = work.save(classes.join(ends, "node").select(F.xxhash64("first.key", "first.own").alias("mark")), name)
+        table = spark.sparkContext.broadcast(mark_bits(wanted))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                batch = batch.filter(pa.array(marked_rows(table.value, batch.column("mark").to_numpy())))
                 for at in range(0, batch.num_rows, 200):
-                    part = batch.slice(at, 200)
-                    found = [form(np.unique(shingle_hashes(raw, size)).view(np.int64)) for raw in each_text(part.column("text"))]
-                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, kind)], names=["node", name])
-        return run
+                    held = [np.unique(shingle_hashes(raw, size)) for raw in each_text(batch.column("text").slice(at, 200))]
+                    yield pa.RecordBatch.from_arrays([pa.array([set_node(h) for h in held], pa.int64()), pa.array([form(h.view(np.int64)) for h in held], kind[1])], names=["node", kind[0]])
 
-    def texts_of(links: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-        """(node, text) of the ends of links; repeated rows of one key and text name one node several times."""
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-        # written, so that Spark knows its size and need not exchange all texts for a few of them
-        wanted = work.save(classes.join(ends, "node").select("node", F.col("first.key").alias("k"), F.col("first.own").alias("o")), name)
-        return rows.join(wanted, rows["key"].eqNullSafe(wanted["k"]) & (rows["own"] == wanted["o"])).select("node", "text")
+        # repeated rows of one key and text give a node several times
+        return rows.select(F.xxhash64("key", "own").alias("mark"), "text").mapInArrow(run, f"node long, {kind[0]} {kind[2]}").dropDuplicates(["node"])
 
     def verified(links: DataFrame, classes: DataFrame, name: str) -> DataFrame:
         """The links whose ends reach the similarity on their shingle sets; their tallies come first."""
-        tallies = texts_of(links, classes, f"{name}-ends").mapInArrow(each_set(shingle_tally, pa.binary(), "tally"), "node long, tally binary")
-        tallies = work.save(tallies.dropDuplicates(["node"]), f"{name}-tallies")
+        tallies = work.save(each_set(links, classes, shingle_tally, ("tally", pa.binary(), "binary"), f"{name}-ends"), f"{name}-tallies")
         tally = lambda end, x: tallies.select(F.col("node").alias(end), F.col("tally").alias(x))
         likely = links.join(tally("a", "x"), "a").join(tally("b", "y"), "b").select("a", "b", "x", "y")
         likely = work.save(likely.mapInArrow(may_reach(similarity), "a long, b long"), f"{name}-likely")
-        held = texts_of(likely, classes, f"{name}-likely-ends").dropDuplicates(["node"])
-        grams = work.save(held.mapInArrow(each_set(lambda x: x, pa.list_(pa.int64()), "grams"), "node long, grams array<long>"), f"{name}-grams")
+        grams = work.save(each_set(likely, classes, lambda x: x, ("grams", pa.list_(pa.int64()), "array<long>"), f"{name}-likely-ends"), f"{name}-grams")
         pairs = likely.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         near = work.save(pairs.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), name)
@@ -542,12 +566,21 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     sizes = marked.groupBy("key", "own").agg(F.count("*").alias("n"))
     judged = sizes.join(chosen, chosen["k"].eqNullSafe(sizes["key"]) & (chosen["o"] == sizes["own"]), "left")
     judged = judged.select(F.col("key").alias("__k"), F.col("own").alias("__o"), F.col("o").isNull().alias("__gone"), "n")
-    # only keys that go or repeat are written, so a small table decides and the texts stay where they are
+    # only keys that go or repeat are written and joined; other rows stay where they are
     judged = work.save(judged.where("__gone or n > 1").drop("n"), "judged")
     work.drop("marked", "named")
     work.release()
+    table = docs.sparkSession.sparkContext.broadcast(mark_bits(judged.select(F.col("__o").alias("mark"))))
+
+    @F.arrow_udf("boolean")
+    def judged_row(marks: pa.Array) -> pa.Array:
+        return pa.array(marked_rows(table.value, marks.to_numpy()))
+
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("__judged", judged_row("__own"))
+    other = rows.where("not __judged").select(*docs.columns)
+    rows = rows.where("__judged")
     rows = rows.join(judged, rows[key].eqNullSafe(judged["__k"]) & (rows["__own"] == judged["__o"]), "left")
     single = rows.where("__gone is null").select(*docs.columns)
     first = rows.where("not __gone").select(*docs.columns, "__own").dropDuplicates([key, "__own"]).drop("__own")
-    return single.unionByName(first)
+    return other.unionByName(single).unionByName(first)
