@@ -22,6 +22,8 @@ from quietwave.operators.ordering import join_same
 from quietwave.session import materialise
 
 MATRIX_BYTES = 128 * 1024 * 1024
+# Of the long way of `synthesize`: samples in a block of kernels, rows that share a copy of it, bytes of records in a task.
+BLOCK_SAMPLES, GROUP_ROWS, PART_BYTES = 4096, 65_536, 32 * 1024 * 1024
 # Five-point stencil, offset -> weight, over 12 delta and 12 delta^2.
 FIRST_WEIGHTS = {-2: 1.0, -1: -8.0, 1: 8.0, 2: -1.0}
 SECOND_WEIGHTS = {-2: -1.0, -1: 16.0, 0: -30.0, 1: 16.0, 2: -1.0}
@@ -303,7 +305,8 @@ def synthesize(params: DataFrame, kernels: DataFrame, p: int, theta: str = "thet
                memory: int = MATRIX_BYTES) -> DataFrame:
     """x(i) = factor * sum_a theta_a K_a(i); kernels are rows (i, g array<double>).
 
-    Kernels beyond `memory` are joined element by element.  Either way every row of `params`
+    Kernels beyond `memory` are packed into blocks of samples and joined block by block: a row and a block give
+    a piece of the record at once, and only pieces are put together.  Either way every row of `params`
     stays one row: a null vector has a null record, a null element makes it NaN, and a
     vector of another length than p is an error.
     """
@@ -317,14 +320,25 @@ def synthesize(params: DataFrame, kernels: DataFrame, p: int, theta: str = "thet
 
         return params.withColumn(out, job(F.col(theta)))
     held = _numbered(params, "synthesize")
-    long = kernels.select("i", F.posexplode("g").alias("a", "_k")).join(
-        held.select("_row", F.posexplode(theta).alias("a", "_m")), "a")
-    element = F.coalesce("_m", F.lit(float("nan"))) * F.col("_k")
-    sums = long.groupBy("_row", "i").agg((F.sum(element) * factor).alias("_v"))
-    packed = F.array_sort(F.collect_list(F.struct("i", "_v")))
-    made = sums.groupBy("_row").agg(F.transform(packed, lambda s: s["_v"]).alias("_made"))
-    none = F.array().cast("array<double>")
-    return held.join(made, "_row", "left").withColumn(out, _of_length(theta, F.lit(p), F.coalesce("_made", none))).drop("_row", "_made")
+    kernels = materialise(kernels.select("i", "g"), "kernels")
+    rows, samples = held.count(), kernels.count()
+    groups, parts = rows // GROUP_ROWS + 1, max(params.sparkSession.sparkContext.defaultParallelism, -(-rows * 8 * (samples + 16) // PART_BYTES))
+    sample = F.struct(F.col("i"), F.col("g"))
+    packed = kernels.groupBy(F.coalesce(F.floor(F.col("i") / BLOCK_SAMPLES), F.lit(-1)).alias("_block")).agg(F.array_sort(F.collect_list(sample)).alias("_k"))
+    # written, so that Spark joins the copies by their known size
+    packed = materialise(packed.select("_block", F.transform("_k", lambda s: s["g"]).alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group")), "blocks")
+    vectors = held.where(F.size(theta) == p).select("_row", F.pmod("_row", F.lit(groups)).cast("int").alias("_group"), F.col(theta).alias("_m")).repartition(parts, "_row")
+    named = vectors.crossJoin(packed.select("_block").distinct()) if samples > BLOCK_SAMPLES else vectors
+    joined = named.join(packed, ["_group", "_block"] if samples > BLOCK_SAMPLES else ["_group"])
+    nan = F.lit(float("nan"))
+    dot = lambda g: sum((F.coalesce(F.col("_m")[a], nan) * F.coalesce(g[a], nan) for a in range(1, p)), F.coalesce(F.col("_m")[0], nan) * F.coalesce(g[0], nan)) * factor
+    piece = F.struct("_block", F.transform("_k", dot).alias("_v"))
+    kind = "struct<_block:bigint,_v:array<double>>"
+    pieces = joined.select("_row", piece.cast(kind).alias("_piece"), F.lit(None).cast(params.select(F.struct(*params.columns)).schema[0].dataType).alias("_own"))
+    whole = held.select("_row", F.lit(None).cast(kind).alias("_piece"), F.struct(*params.columns).alias("_own"))
+    met = pieces.unionByName(whole).repartition(parts, "_row").groupBy("_row").agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list("_piece")).alias("_pieces"))
+    record = F.flatten(F.transform("_pieces", lambda s: s["_v"]))
+    return met.select("_own.*", record.alias("_made")).withColumn(out, _of_length(theta, F.lit(p), F.col("_made"))).drop("_made")
 
 
 def log_prior(u: str, theta: str | None = None, mean: list[float] | None = None, variance: list[float] | None = None) -> Column:
