@@ -1,5 +1,8 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
 from quietwave.llm import decontam
 from tests.llm.test_texts import jaccard_classes, repeats
@@ -55,3 +58,20 @@ def test_language_stage_without_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     stage = dict(corpus_pipeline.STAGES)["language ID"]
     assert sorted(map(tuple, stage(spark, docs, SF).collect())) == rows[:2]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_texts_come_to_python_in_bounded_batches(spark, name, stage):
+    """Whatever the stage runs in Python gets batches of bounded bytes; one split of texts is not one batch."""
+    docs = spark.createDataFrame([(i, f"text number {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    long = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('some words ', 800) text")
+    nbytes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        stage(spark, docs, SF)
+        sizes = [r["n"] for r in long.mapInArrow(nbytes, "n long").collect()]
+    finally:
+        spark.conf.set(key, held)
+    assert sum(sizes) > 25_000_000 and max(sizes) < 4.5 * (1 << 20), name
